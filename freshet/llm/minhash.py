@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -209,9 +210,7 @@ def _id_filter(ids: DataFrame):
     bits[table["w"].to_numpy()] = table["bits"].to_numpy()
 
     @F.pandas_udf(T.BooleanType())
-    def test(h):
-        import pandas as pd
-
+    def test(h: pd.Series) -> pd.Series:
         v = h.to_numpy()
         return pd.Series((bits[v >> 6] >> (v & 63)) & 1 == 1)
 
