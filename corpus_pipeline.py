@@ -1,2 +1,61 @@
-STAGES, ORACLE_SQL = [], None
-def run(spark, sf_dir): ...
+"""From raw documents to piece ids: five stages, each written as Parquet and read again as the next one's input."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from freshet.llm import langid, quality
+from freshet.llm.classifier_queries import language_model, quality_model
+from freshet.llm.minhash import near_duplicates
+from freshet.llm.mixing import count_words, emit
+from freshet.llm.sentencepiece_queries import encoded
+from freshet.shared import keep
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text is rejected as no language if the filter of its best language holds fewer of its n-grams than this part.
+LEAST_HITS = 0.35
+LEAST_QUALITY = 0.3
+
+
+def language_id(spark, docs, sf_dir):
+    """Texts without letters, and those whose n-grams are hardly known in any language, go."""
+    got = langid.predict(docs.select(*COLUMNS), language_model(docs))
+    return got.where((F.col("lang_pred") != "und") & (F.col("lang_hits") >= LEAST_HITS)).select(*COLUMNS)
+
+
+def quality_classifier(spark, docs, sf_dir):
+    """Texts that are scored below LEAST_QUALITY go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score(docs.select(*COLUMNS), quality_model(docs, labels)).where(F.col("quality_score") >= LEAST_QUALITY).select(*COLUMNS)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """Of each component of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixing(spark, docs, sf_dir):
+    """Documents are repeated or left out so that sources come near their target shares."""
+    return emit(docs.select(*COLUMNS), count_words(F.col("text")))
+
+
+def sentencepiece(spark, docs, sf_dir):
+    """Piece ids of every text, and whether they decode to it again."""
+    return encoded(docs, ("lang", "source"))
+
+
+STAGES = [
+    ("language ID", language_id), ("quality classifier", quality_classifier), ("MinHash near-dedup", near_dedup), ("mixing", mixing), ("SentencePiece", sentencepiece),
+]
+
+
+def run(spark, sf_dir):
+    """The stages over documents; the last one's rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir), "stage")
+    return docs
+
+
+ORACLE_SQL = None

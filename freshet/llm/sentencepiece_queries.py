@@ -9,13 +9,19 @@ from freshet.llm.sentencepiece import Pieces, decode, encode
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def op3_sentencepiece(spark, sf_dir, model=MODEL):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+def encoded(docs, keep_cols=(), model=MODEL):
+    """(doc_id, <keep_cols...>, n_pieces, piece_ids, decodes) of documents; nulls for a null text. A text that holds
+    the space mark itself decodes to spaces there, as in the library, and is compared so."""
     pieces = Pieces.load(model)
-    ids = encode(docs.withColumn("text_crc32", F.crc32(F.encode(F.translate("text", "▁", " "), "UTF-8"))), pieces, keep_cols=("text_crc32",))
-    back = decode(ids, pieces)
-    whole = F.crc32(F.encode("decoded", "UTF-8")).eqNullSafe(F.col("text_crc32"))
-    return back.select("doc_id", F.size("piece_ids").alias("n_pieces"), "piece_ids", whole.alias("decodes"))
+    mark = F.crc32(F.encode(F.translate("text", "▁", " "), "UTF-8"))
+    back = decode(encode(docs.withColumn("_crc32", mark), pieces, keep_cols=(*keep_cols, "_crc32")), pieces)
+    whole = F.crc32(F.encode("decoded", "UTF-8")).eqNullSafe(F.col("_crc32"))
+    n = F.when(F.col("piece_ids").isNotNull(), F.size("piece_ids"))
+    return back.select("doc_id", *keep_cols, n.alias("n_pieces"), "piece_ids", whole.alias("decodes"))
+
+
+def op3_sentencepiece(spark, sf_dir):
+    return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {"op3_sentencepiece": op3_sentencepiece}
