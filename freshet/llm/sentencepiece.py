@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 _WORDS = rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+"
-#: Words of more characters are encoded in the task that holds the text, with the same model.
+#: Words of more characters, and for BPE words behind several spaces, are encoded in the task that holds the text.
 LONGEST_WORD = 48
 UNIGRAM, BPE = 1, 2
 
@@ -171,8 +171,9 @@ def lattice(words: DataFrame, p: Pieces, keys: tuple[str, ...], carry: str) -> D
 
 def _MERGES(grouped: DataFrame) -> DataFrame:
     """The boundaries left after applying merges by rank, leftmost first: an edge merges two symbols if both its ends
-    are boundaries and one boundary lies inside. Runs of the space mark share one rank and take some more rounds."""
-    mask = F.expr(f"""aggregate(flatten(array_repeat(array_sort(edges), if(startswith(word, '{MARK * 2}'), 6, 1))), shiftleft(1L, length(word) + 1) - 1L,
+    are boundaries and one boundary lies inside. One pass is enough because a piece is always ranked after its parts;
+    pieces of several space marks are not, so words that start with two marks do not come here."""
+    mask = F.expr("""aggregate(array_sort(edges), shiftleft(1L, length(word) + 1) - 1L,
         (m, e) -> if(e.l > 1 and (m & e.ends) = e.ends and bit_count(m & e.inner) = 1, m & ~e.inner, m))""")
     kept = F.expr("array_sort(transform(filter(edges, e -> (m & e.ends) = e.ends and (m & e.inner) = 0L), e -> struct(e.i, e.c)))")
     return grouped.withColumn("m", mask).withColumn("hex", F.array_join(F.transform(kept, lambda e: e["c"]), ""))
@@ -197,7 +198,8 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
     - Null text: null ids. Empty text: no ids. Characters without a piece: byte pieces, else the unknown id.
     - Null ids and repeated rows are encoded like any others. Empty table: empty result.
-    - Words of over LONGEST_WORD characters are encoded where the text is, by the model itself.
+    - Words of over LONGEST_WORD characters, and for BPE words behind several spaces, are encoded where the text is,
+      by the model itself, once per block.
 
     Texts go compressed, by a hash of their id, into blocks of about 16 MB; that is their only shuffle. Each block
     lists its distinct words, the words are brought together once for the lattice, and every block gets back the
@@ -227,14 +229,14 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
         import re
         import zlib
 
-        find, by = re.compile(_WORDS).findall, {}
+        find, by, bpe = re.compile(_WORDS).findall, {}, shared.value.kind == BPE
         for b in batches:
             for k, text in zip(b.column("_block").to_pylist(), _texts(b), strict=True):
                 by.setdefault(k, set()).update(find(normalised(text or "", shared.value)))
         for k, found in by.items():
             dealt: dict[int, list] = {}
             for w in found:
-                if len(w) <= LONGEST_WORD:
+                if len(w) <= LONGEST_WORD and not (bpe and w.startswith(MARK * 2)):
                     dealt.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % blocks, []).append(w)
             for h, own in dealt.items():
                 yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32()), pa.array([k], pa.int32()), pa.array([sorted(own)], pa.list_(pa.string()))], ["h", "block", "words"])
