@@ -118,7 +118,7 @@ def _descend(x: np.ndarray, y: np.ndarray, s: Settings) -> Model:
     part = [np.zeros(1, np.float32), np.zeros(width, np.float32), draw.normal(0, 0.02, (width, s.rank)).astype(np.float32)]
     first, second, step = [np.zeros_like(p) for p in part], [np.zeros_like(p) for p in part], 0
     if not len(y):
-        return Model(0.0, part[1], part[2], s)
+        return Model(0.0, part[1], np.zeros_like(part[2]), s)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     part[0][0] = np.log(share / (1 - share))
     weight = np.where(y == 1, 0.5 + 0.25 / share, 0.5 + 0.25 / (1 - share)).astype(np.float32)
