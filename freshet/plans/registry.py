@@ -6,3 +6,18 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) -> DataFrame, and the SQL that gives the same rows."""
+
+    def add(run: Callable) -> Callable:
+        QUERIES[name] = run
+        if sql:
+            ORACLES[name] = sql
+        return run
+
+    return add
+
+
+from freshet.plans import gauges, hierarchy, hydrology, places, rainfall, reports, streams  # noqa: E402, F401
