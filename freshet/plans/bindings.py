@@ -28,7 +28,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM {nation} CROSS JOIN (VALUES (0, 0.0D, 0.0D), (1, 1.35D, 0.1D), (2, 1.2D, 0.5D), (3, 1.3D, 0.95D), (4, 0.6D, 0.7D), (5, 0.05D, 0.9D)) AS o(k, dx, dy)"""),
     "v_grid_obs": (("events",), """SELECT concat('C', CAST(user_id % 4 AS STRING)) AS cell_id,
         CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) + (CASE WHEN minute(ts) >= 30 THEN INTERVAL '30' MINUTE ELSE INTERVAL '0' MINUTE END) AS interval_start,
-        CAST(round(avg(value), 2) AS DECIMAL(18, 6)) AS rate_mm_h FROM {events} GROUP BY 1, 2"""),
+        CAST(max(value) AS DECIMAL(18, 6)) AS rate_mm_h FROM {events} GROUP BY 1, 2"""),
     "v_zone_weights": ((), """SELECT * FROM (VALUES ('Z1', 'C0', 0.25D), ('Z1', 'C1', 0.75D), ('Z2', 'C2', 1.0D), ('Z3', 'C1', 0.5D), ('Z3', 'C3', 0.5D)) AS t(zone_id, cell_id, share)"""),
     "v_reports": (("events",), """SELECT event_id AS report_id, ts AS submitted_at, user_id % 12 AS locality_id,
         CASE event_type WHEN 'view' THEN 'dry' WHEN 'error' THEN 'dry' WHEN 'click' THEN 'ankle' WHEN 'signup' THEN 'knee' ELSE 'waist_plus' END AS depth_class,
