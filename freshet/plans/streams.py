@@ -1 +1 @@
-"""Queries of this group."""
+"""Queries of the stream operators."""
