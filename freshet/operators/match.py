@@ -43,7 +43,7 @@ def fuzzy(left: DataFrame, right: DataFrame, block: str, gap: float = 5.0, high:
 
     Ambiguous if the runner-up is within `gap`; else high, medium or unverified. Blocks are equi-joined, scores run
     in Arrow batches, and only the best two scores of each row leave the aggregation."""
-    j = left.join(right.withColumnRenamed("name", "_name"), block).withColumn("score", F.round(token_set_ratio("name", "_name"), 6))
+    j = left.join(right.withColumnRenamed("name", "_name"), block, "left").withColumn("score", F.round(token_set_ratio("name", "_name"), 6))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "rid")
     top = j.withColumn("_k", F.row_number().over(w)).where("_k <= 2")
     g = top.groupBy("id").agg(F.max(F.when(F.col("_k") == 1, F.struct("score", "rid"))).alias("a"), F.max(F.when(F.col("_k") == 2, F.col("score"))).alias("second"))
