@@ -40,3 +40,11 @@ def drop(df: DataFrame) -> None:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of at most so many rows from now on: whole texts are long, and a batch is held in memory by
+    Spark and by the Python worker. A smaller setting is left as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))
