@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from freshet.plans import gauges, hierarchy, hydrology, matching, places, rainfall, reports, streams  # noqa: E402, F401
+from freshet.plans import bulletins, gauges, hierarchy, hydrology, matching, places, rainfall, reports, streams  # noqa: E402, F401
