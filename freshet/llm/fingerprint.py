@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.llm.text import U64, mix, raw_bytes, span_hashes
+from freshet.shared import small_batches
 
 WINDOW, LENGTH, RUN = 7, 64, 7
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -115,6 +116,7 @@ def with_next(docs: DataFrame, per_row, schema: str, id_col: str = "doc_id", tex
     also gets a copy of the first row of the group after it. Only id ranges and one row per group are compared
     across groups. Null texts are empty; rows with a null id come last.
     """
+    small_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     groups = max(1, min(20_000, ids.count() // rows))
     parts = [i / groups for i in range(1, groups)] or [0.5]

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.text import U64, mix
+from freshet.shared import small_batches
 
 MAX_LANGS = 64
 
@@ -171,6 +172,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     - Long texts are scored whole. Columns of docs called lang_pred, lang_score or lang_hits are replaced.
     The filter that tasks receive has a fixed size (settings.cells).
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.cells, model.settings, model.false_rate))
 
     @F.pandas_udf("lang string, score double, hits double")

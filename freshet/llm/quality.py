@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.text import U64, raw_bytes, span_hashes, spans
+from freshet.shared import small_batches
 
 
 @dataclass(frozen=True)
@@ -142,6 +143,7 @@ def _descend(x: np.ndarray, y: np.ndarray, s: Settings) -> Model:
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with quality_score (0 to 1). Null and empty texts score like a text without words; long texts are
     scored whole; a column called quality_score is replaced. Tasks get the model, whose size settings fix."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear, model.factors, model.settings))
 
     @F.pandas_udf("double")
