@@ -21,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshet.shared import small_batches
+
 MARK = "▁"
 _WORDS = rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+"
 #: Words of more characters, and for BPE words behind several spaces, are encoded in the task that holds the text.
 LONGEST_WORD = 48
+#: Bytes of text of a block, and word buckets per block: the edges of one bucket are sorted in memory.
+BLOCK, BUCKETS = 4 << 20, 2
 UNIGRAM, BPE = 1, 2
 
 
@@ -158,9 +162,9 @@ def lattice(words: DataFrame, p: Pieces, keys: tuple[str, ...], carry: str) -> D
     as_bytes = f"array_join(transform(sequence(0, octet_length(sub) - 1), k -> lpad(hex(cast(conv(substr(hex(encode(sub, 'UTF-8')), 2 * k + 1, 2), 16, 10) as int) + {base}), {digits}, '0')), '')"
     spell = as_bytes if p.byte_ids else f"'{p.unknown:0{digits}X}'"
     least = min(s for _, _, s in p.rows) - 10
-    cut = f"""explode(flatten(transform(sequence(0, length(word) - 1), i -> transform(sequence(1, least({longest}, length(word) - i)),
-        l -> struct(i as i, l as l, substr(word, i + 1, l) as sub)))))"""
-    subs = words.select(*keys, "word", carry, F.expr(cut).alias("x")).select(*keys, "word", carry, "x.i", "x.l", "x.sub")
+    starts = words.select(*keys, "word", carry, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
+    lengths = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("i")))).alias("l"))
+    subs = lengths.withColumn("sub", F.substring("word", F.col("i") + 1, F.col("l")))
     edges = subs.join(F.broadcast(table), "sub", "left").where("c is not null or l = 1")
     edge = F.expr(f"""named_struct('r', -coalesce(score, {least!r}D), 'i', i, 'l', l, 'c', coalesce(c, {spell}),
         'ends', shiftleft(1L, i) | shiftleft(1L, i + l), 'inner', shiftleft(1L, i + l) - shiftleft(1L, i + 1))""")
@@ -201,16 +205,17 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     - Words of over LONGEST_WORD characters, and for BPE words behind several spaces, are encoded where the text is,
       by the model itself, once per block.
 
-    Texts go compressed, by a hash of their id, into blocks of about 16 MB; that is their only shuffle. Each block
+    Texts go compressed, by a hash of their id, into blocks of about 4 MB; that is their only shuffle. Each block
     lists its distinct words, the words are brought together once for the lattice, and every block gets back the
     ids of just its own words. A block has one dictionary, never the whole vocabulary of the corpus.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     kept = [id_col, *keep_cols]
     d = docs.select(*kept, F.col(text_col).alias("_text"))
     if blocks is None:
         size = d.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (16 << 20)))
+        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK))
     spread = F.xxhash64(id_col, *([] if not keep_cols else keep_cols), F.when(F.col(id_col).isNull(), F.col("_text")))
     d = d.withColumn("_block", F.pmod(spread, F.lit(blocks)).cast("int"))
     shared = spark.sparkContext.broadcast(pieces)
@@ -237,12 +242,13 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
             dealt: dict[int, list] = {}
             for w in found:
                 if len(w) <= LONGEST_WORD and not (bpe and w.startswith(MARK * 2)):
-                    dealt.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % blocks, []).append(w)
+                    dealt.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
             for h, own in dealt.items():
                 yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32()), pa.array([k], pa.int32()), pa.array([sorted(own)], pa.list_(pa.string()))], ["h", "block", "words"])
 
+    buckets = BUCKETS * blocks
     packed = d.mapInArrow(pack, schema).repartition(blocks, "_block")
-    lists = packed.mapInArrow(list_words, "h int, block int, words array<string>").repartition(blocks, "h")
+    lists = packed.mapInArrow(list_words, "h int, block int, words array<string>").repartition(buckets, "h")
     words = lists.select("h", "block", F.explode("words").alias("word")).groupBy("word", "h").agg(F.collect_list("block").alias("blocks"))
     coded = lattice(words, pieces, ("h",), "blocks")
     back = coded.select("h", "word", "code", F.explode("blocks").alias("block")).groupBy("h", "block").agg(F.collect_list("word").alias("words"), F.collect_list("code").alias("codes"))
@@ -256,20 +262,22 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
         import sentencepiece
 
         p = shared.value
-        codes: dict[str, bytes] = {}
+        class Codes(dict):
+            """Words that the lattice left out are encoded by the model, once."""
+
+            def __missing__(self, word: str) -> bytes:
+                self[word] = np.array(library.encode(word.replace(MARK, " ")), dtype=kind).tobytes()
+                return self[word]
+
+        codes = Codes()
         for i in range(words.num_rows):
             codes.update(zip(words.column("words")[i].as_py(), words.column("codes")[i].as_py(), strict=True))
         library = sentencepiece.SentencePieceProcessor(model_proto=changed(p.model, prefix=False))
         find, kind = re.compile(_WORDS).findall, f">u{p.width}"
 
-        def code(word: str) -> bytes:
-            if word not in codes:
-                codes[word] = np.array(library.encode(word.replace(MARK, " ")), dtype=kind).tobytes()
-            return codes[word]
-
         out = []
         for text in _texts(texts):
-            out.append(None if text is None else np.frombuffer(b"".join(map(code, find(normalised(text, p)))), dtype=kind).astype(np.int32))
+            out.append(None if text is None else np.frombuffer(b"".join(map(codes.__getitem__, find(normalised(text, p)))), dtype=kind).astype(np.int32))
         return pa.Table.from_arrays([*(texts.column(c) for c in kept), pa.array(out, pa.list_(pa.int32()))], schema=arrow)
 
     made = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "piece_ids array<int>"])
@@ -298,15 +306,17 @@ def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "piece_ids", out_col:
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         p = shared.value
-        raw = {i: x.encode() for x, i, _ in p.rows} | {i: bytes([v]) for v, i in enumerate(p.byte_ids)}
+        known = {i: x.encode() for x, i, _ in p.rows} | {i: bytes([v]) for v, i in enumerate(p.byte_ids)}
         unknown = " ⁇ ".encode()
+        raw = [known.get(i, unknown) for i in range(max(known) + 1)]
         for part in batches:
             out = []
             for ids in part:
                 if ids is None:
                     out.append(None)
                     continue
-                text = b"".join([raw.get(i, unknown) for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+                ids = [i if 0 <= i < len(raw) else p.unknown for i in ids.tolist()] if len(ids) and not 0 <= ids.min() <= ids.max() < len(raw) else ids.tolist()
+                text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
                 out.append(text[1:] if p.add_prefix and text.startswith(" ") else text)
             yield pd.Series(out, dtype=object)
 
