@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -83,8 +86,8 @@ def skeleton(name: Column) -> Column:
 
 
 def search(queries: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """The k best places of each query: equal, prefix, inside, same skeleton. Both sides meet on the first letter or
-    the skeleton, so only likely names are ranked."""
+    """The k best places of each query: equal, prefix, inside, same skeleton, among the names with the query's first
+    letter or skeleton only. ranked_search has all matches and the reference's ranks."""
     fold = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     q = queries.withColumns({"fq": fold(F.col("q")), "key": F.explode(F.array(F.substring(fold(F.col("q")), 1, 1), skeleton(F.col("q"))))})
     p = places.withColumns({"fp": fold(F.col("name")), "key": F.explode(F.array(F.substring(fold(F.col("name")), 1, 1), skeleton(F.col("name"))))})
@@ -92,3 +95,57 @@ def search(queries: DataFrame, places: DataFrame, k: int) -> DataFrame:
     j = q.join(p, "key").withColumn("rank", rank).where("rank is not null").select("q", "place_id", "name", "rank").distinct()
     w = Window.partitionBy("q").orderBy("rank", F.length("name"), "name", "place_id")
     return j.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+#: Respellings, in order: what a name is folded by.
+FOLDS = tuple((re.compile(a), b) for a, b in (("sh", "s"), ("([bcdfgjklmnpqrstx])h", r"\1"), ("[vw]", "b"), ("z", "j"), ("y", "i"), ("ck|q", "k"), ("ee|ie", "i"), ("oo|ou", "u"), (r"(.)\1+", r"\1")))
+#: Query forms up to this number are broadcast; more are joined by shuffle.
+BROADCAST_FORMS = 100_000
+
+
+def search_forms(name: str | None) -> tuple[str, str, str]:
+    """A name's letters and digits, those folded by spelling, and the fold without vowels."""
+    plain = folded = re.sub("[^a-z0-9]", "", unicodedata.normalize("NFKD", (name or "").lower()))
+    for what, by in FOLDS:
+        folded = what.sub(by, folded)
+    return plain, folded, re.sub("[aeiou]", "", folded)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _forms(names: pd.Series) -> pd.Series:
+    return pd.Series([list(search_forms(n)) for n in names], dtype=object)
+
+
+def _grams(form: Column, sizes: tuple[int, ...]) -> Column:
+    """Distinct substrings of these lengths."""
+    cut = lambda n: F.when(F.length(form) >= n, F.transform(F.sequence(F.lit(1), F.length(form) - n + 1), lambda i: F.substring(form, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*[cut(n) for n in sizes])))
+
+
+def ranked_search(queries: DataFrame, places: DataFrame, k: int, broadcast: int = BROADCAST_FORMS) -> DataFrame:
+    """The k best of all places(place_id, name) that match each query(q), by rank, length, name and id. Rank 0: the name
+    starts with the query; 1: holds it; 2, 3: the same of the folded forms; 4: skeletons of three letters on, from the
+    start. A query without a Latin letter or digit matches nothing.
+
+    Each kind of form meets on keys that no match can miss: plain and folded forms on the query's rarest gram (three
+    letters, or the whole of a shorter query), skeletons on the prefix. The grams are at most 36 + 36^2 + 36^3 of a kind,
+    so their counts are broadcast. The k best leave each task (the group limit before the window's shuffle)."""
+    kinds = [F.struct(F.lit(i).alias("kind"), F.col("_f")[i].alias("form")) for i in range(3)]
+    asked = queries.select("q").distinct().withColumn("_f", _forms("q")).where(F.length(F.col("_f")[0]) > 0).select("q", F.explode(F.array(*kinds)).alias("x")).select("q", "x.*")
+    forms = asked.select("kind", "form").distinct()
+    prefixes = F.when(F.length("form") >= 3, F.transform(F.sequence(F.lit(3), F.length("form")), lambda n: F.substring(F.col("form"), F.lit(1), n)))
+    named = places.select("place_id", "name").withColumn("_f", _forms("name")).select("place_id", "name", F.explode(F.array(*kinds)).alias("x")).select("place_id", "name", "x.*")
+    held = named.withColumn("key", F.explode(F.when(F.col("kind") < 2, _grams(F.col("form"), (1, 2, 3))).otherwise(prefixes)))
+    seen = held.where("kind < 2").groupBy("kind", "key").agg(F.count("*").alias("n"))
+    own = F.when(F.length("form") < 3, F.array("form")).otherwise(_grams(F.col("form"), (3,)))
+    grams = forms.where("kind < 2").withColumn("key", F.explode(own)).join(F.broadcast(seen), ["kind", "key"], "left")
+    rarest = grams.groupBy("kind", "form").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("m")).where("m.n > 0").select("kind", F.col("form").alias("ask"), "m.key")
+    keys = rarest.unionByName(forms.where((F.col("kind") == 2) & (F.length("form") >= 3)).select("kind", F.col("form").alias("ask"), F.col("form").alias("key")))
+    few = forms.limit(broadcast + 1).count() <= broadcast
+    starts, at = F.col("form").startswith(F.col("ask")), 2 * F.col("kind")
+    rank = F.when(starts, at).when((F.col("kind") < 2) & F.col("form").contains(F.col("ask")), at + 1)
+    met = held.join(F.broadcast(keys) if few else keys, ["kind", "key"]).withColumn("rank", rank).where("rank is not null")
+    order = ["rank", F.length("name"), "name", "place_id"]
+    best = met.withColumn("_k", F.row_number().over(Window.partitionBy("kind", "ask").orderBy(*order))).where(F.col("_k") <= k)
+    back = asked.withColumnRenamed("form", "ask").join(best, ["kind", "ask"]).groupBy("q", "place_id", "name").agg(F.min("rank").alias("rank"))
+    return back.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("place") <= k)

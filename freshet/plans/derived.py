@@ -40,7 +40,7 @@ def line_in_polygon(spark, d):
 @query("place_search")
 def place_search(spark, d):
     q = table(spark, d, "nation").select(F.concat(F.lit("Suplier"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("q"))
-    return sh.search(q, table(spark, d, "supplier").select(F.col("s_suppkey").alias("place_id"), F.col("s_name").alias("name")), 4)
+    return sh.ranked_search(q, table(spark, d, "supplier").select(F.col("s_suppkey").alias("place_id"), F.col("s_name").alias("name")), 4)
 
 
 @query("token_set_ratio")
