@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,3 +43,54 @@ def token_set(a: str | None, b: str | None) -> float:
 @F.pandas_udf(T.DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def _bag(names: list[str], letters: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each letter occurs in the sorted distinct words of each name, and their length."""
+    texts = [" ".join(sorted(set(n.split()))) for n in names]
+    out = np.zeros((len(texts), len(letters)), np.int32)
+    for i, t in enumerate(texts):
+        for c, n in Counter(t).items():
+            out[i, letters[c]] = n
+    return out, np.array([len(t) for t in texts], np.int64)
+
+
+def best_two(left: list[tuple[str, str]], right: list[tuple[str, str]], bonus: float = 5.0, agree: float = 90.0) -> list[list[tuple[float, bool, int]]]:
+    """For each (name, village) of left, the two best of right as (score with bonus, villages agree, index), and all
+    that tie with the second.
+
+    Names that share a word are scored first. Names that share none differ as a whole, so 200 times their common letters
+    over their lengths bounds the ratio from above; those below the second best so far by it are not scored."""
+    same = lru_cache(None)(lambda a, b: bool(a and b) and token_set(a, b) >= agree)
+    letters = {c: i for i, c in enumerate(sorted({c for n, _ in [*left, *right] for c in n} | {" "}))}
+    bag_l, len_l = _bag([n for n, _ in left], letters)
+    bag_r, len_r = _bag([n for n, _ in right], letters)
+    holds: dict[str, set[int]] = {}
+    for i, (n, _) in enumerate(right):
+        for word in set(n.split()):
+            holds.setdefault(word, set()).add(i)
+    agrees = {v: np.array([same(v, x) for _, x in right]) for v in {x for _, x in left}}
+    out = []
+    for k, (name, village) in enumerate(left):
+        found: list[tuple[float, bool, int]] = []
+        top = [-1.0, -1.0]
+
+        def score(i: int, name=name, village=village, found=found, top=top) -> None:
+            agreed = same(village, right[i][1])
+            total = token_set(name, right[i][0]) + (bonus if agreed else 0.0)
+            found.append((total, agreed, i))
+            top.append(total)
+            top.sort(reverse=True)
+            top.pop()
+
+        shared = set().union(*(holds.get(w, set()) for w in name.split())) if name.split() else set()
+        for i in shared:
+            score(i)
+        bound = 200.0 * np.minimum(bag_r, bag_l[k]).sum(axis=1) / np.maximum(1, len_r + len_l[k]) + bonus * agrees[village] + 1e-6
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < top[1]:
+                break
+            if int(i) not in shared:
+                score(int(i))
+        out.append([x for x in found if x[0] >= top[1]])
+    return out

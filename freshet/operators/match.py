@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from freshet.functions.similarity import token_set_ratio
+from freshet.functions.similarity import best_two, token_set_ratio
 from freshet.functions.text import alnum, names_agree
+from freshet.shared import small_batches
+
+#: Words of which one makes a name that of a school.
+SCHOOL_WORDS = ("school", "primary", "secondary", "middle english", "college")
 
 
 def alias_lookup(rows: DataFrame, name: str, aliases: DataFrame, suffix: str = " district") -> DataFrame:
@@ -39,7 +48,8 @@ def tiered(left: DataFrame, right: DataFrame, name: str, district: str) -> DataF
 
 
 def fuzzy(left: DataFrame, right: DataFrame, block: str, gap: float = 5.0, high: float = 90.0, medium: float = 75.0) -> DataFrame:
-    """Best match of each left(id, name) among right(rid, name) of its block by token-set ratio.
+    """Best match of each left(id, name) among right(rid, name) of its block by token-set ratio, for names without
+    villages and small blocks: school_match has the villages, and does not make all pairs of a block.
 
     Ambiguous if the runner-up is within `gap`; else high, medium or unverified. Blocks are equi-joined, scores run
     in Arrow batches, and only the best two scores of each row leave the aggregation."""
@@ -52,6 +62,64 @@ def fuzzy(left: DataFrame, right: DataFrame, block: str, gap: float = 5.0, high:
     return g.select("id", F.when(level.isin("high", "medium"), F.col("a.rid")).alias("rid"), F.col("a.score").alias("score"), level.alias("confidence"))
 
 
+def school_match(left: DataFrame, right: DataFrame, block: str, words: tuple[str, ...] = SCHOOL_WORDS, gap: float = 5.0, high: float = 92.0, medium: float = 80.0, bonus: float = 5.0, size: int = 100) -> DataFrame:
+    """(id, rid, score, village_match, ambiguous, confidence): the best of right(rid, name, village) in the block of each
+    left(id, name, village), names being normalised.
+
+    Only names with one of the words are matched. A village that agrees (ratio of 90) adds the bonus to the order; the
+    score is without it. Ambiguous if the runner-up is within the gap. High needs the village too; medium does not. rid is
+    the best also where nothing is confident; ties go to the smallest rid.
+
+    Equal names of a block are scored once, with their two smallest rids. Distinct names are dealt into chunks of about
+    `size`, each pair of chunks is one row, and the two best of each name leave every task (group limit before the
+    shuffle). No pair is left unscored unless an exact bound puts it below two others."""
+    small_batches(left.sparkSession, 50)
+    gate = F.lit(False)
+    for w in words:
+        gate = gate | F.col("name").contains(w)
+    key, village = ["_b", "name", "_v"], F.coalesce("village", F.lit("")).alias("_v")
+    l = left.select("id", F.col(block).alias("_b"), F.coalesce("name", F.lit("")).alias("name"), village)
+    r = right.select("rid", F.col(block).alias("_b"), F.coalesce("name", F.lit("")).alias("name"), village).where("_b is not null")
+    asked = l.where(gate & F.col("_b").isNotNull()).select(*key).distinct()
+    w = Window.partitionBy(*key).orderBy("rid")
+    held = r.withColumn("_k", F.row_number().over(w)).where("_k <= 2").groupBy(*key).agg(F.min("rid").alias("one"), F.when(F.count("*") > 1, F.max("rid")).alias("two"))
+
+    def chunks(rows: DataFrame, names: str, number: str, what: Column) -> tuple[DataFrame, DataFrame]:
+        n = rows.groupBy("_b").agg(F.ceil(F.count("*") / size).cast("int").alias("_n"))
+        at = rows.join(n, "_b").withColumn(number, F.pmod(F.xxhash64("name", "_v"), F.col("_n")).cast("int"))
+        return n.withColumnRenamed("_n", f"{number}_n"), at.groupBy("_b", number).agg(F.collect_list(what).alias(names))
+
+    rid = right.schema["rid"].dataType
+    nl, cl = chunks(asked, "_l", "_i", F.struct("name", "_v"))
+    nr, cr = chunks(held, "_r", "_j", F.struct("name", "_v", "one", "two"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pairs = nl.join(nr, "_b").withColumn("_i", each("_i_n")).withColumn("_j", each("_j_n")).select("_b", "_i", "_j")
+    rows = pairs.join(cl, ["_b", "_i"]).join(cr, ["_b", "_j"]).select("_b", "_l", "_r")
+    # Few bytes but much work: a fixed number of partitions, which AQE does not coalesce.
+    rows = rows.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ls, rs = [(x["name"], x["_v"]) for x in row["_l"]], row["_r"]
+                out = []
+                for (name, v), found in zip(ls, best_two(ls, [(x["name"], x["_v"]) for x in rs], bonus), strict=True):
+                    mine = [(-round(s, 6), rid, agreed) for s, agreed, i in found for rid in (rs[i]["one"], rs[i]["two"]) if rid is not None]
+                    out += [{"_b": row["_b"], "name": name, "_v": v, "total": -s, "agreed": agreed, "rid": rid} for s, rid, agreed in sorted(mine)[:2]]
+                yield pa.RecordBatch.from_pylist(out, schema=kinds)
+
+    schema = T.StructType([T.StructField("_b", left.schema[block].dataType), T.StructField("name", T.StringType()), T.StructField("_v", T.StringType()), T.StructField("total", T.DoubleType()), T.StructField("agreed", T.BooleanType()), T.StructField("rid", rid)])
+    kinds = to_arrow_schema(schema)
+    best = Window.partitionBy(*key).orderBy(F.desc("total"), "rid")
+    top = rows.mapInArrow(run, schema).withColumn("_k", F.row_number().over(best)).where("_k <= 2").withColumn("_m", F.struct("total", "agreed", "rid"))
+    g = top.groupBy(*key).agg(F.max(F.when(F.col("_k") == 1, F.col("_m"))).alias("a"), F.max(F.when(F.col("_k") == 2, F.col("total"))).alias("second"))
+    j = l.join(g, key, "left")
+    score = F.round(F.col("a.total") - F.when(F.col("a.agreed"), bonus).otherwise(0.0), 6)
+    close = F.coalesce(F.round(F.col("a.total") - F.col("second"), 6) <= gap, F.lit(False))
+    level = F.when(close, "unverified").when((score >= high) & F.col("a.agreed"), "high").when(score >= medium, "medium").otherwise("unverified")
+    return j.select("id", F.col("a.rid").alias("rid"), score.alias("score"), F.coalesce("a.agreed", F.lit(False)).alias("village_match"), close.alias("ambiguous"), level.alias("confidence"))
+
+
 def decided(defaults: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     """The reviewed gauge of a place before the default; `ungauged` is a decision too."""
     j = defaults.join(decisions, key, "left")

@@ -51,10 +51,11 @@ def tiered_match(spark, d):
 
 @query("fuzzy_block_match")
 def fuzzy_block_match(spark, d):
-    p = table(spark, d, "part").withColumn("name", F.concat_ws(" ", "p_name", F.lower("p_type")))
-    left = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), "name", "p_brand")
-    right = p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("rid"), "name", "p_brand")
-    return m.fuzzy(left, right, "p_brand")
+    """Every part is on one side; sizes stand for villages. Parts are no schools, so every name passes the gate."""
+    p = table(spark, d, "part").withColumns({"name": F.concat_ws(" ", "p_name", F.lower("p_type")), "village": F.col("p_size").cast("string")})
+    left = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), "name", "village", "p_brand")
+    right = p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("rid"), "name", "village", "p_brand")
+    return m.school_match(left, right, "p_brand", words=("",))
 
 
 @query("decision_override", with_views("SELECT locality_id, CASE WHEN locality_id % 5 = 0 THEN NULL WHEN locality_id % 5 = 1 THEN 'G_view' ELSE 'G_error' END AS gauge_id, CASE WHEN locality_id % 5 = 0 THEN 'ungauged' WHEN locality_id % 5 = 1 THEN 'replace' ELSE 'default' END AS basis FROM v_localities", "v_localities"))
