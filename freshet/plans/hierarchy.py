@@ -47,6 +47,12 @@ def pointer_read(spark, d):
     return p.read_through(_pointers(spark, d).where("entity_id % 3 = 0").select("entity_id", "revision_id"), _rev(spark, d).drop("report_date")).select("entity_id", "revision_id", "metric")
 
 
+@query("pointer_read_all")
+def pointer_read_all(spark, d):
+    """pointer_read through every pointer; that query and its SQL follow a third of them."""
+    return p.read_through(_pointers(spark, d).select("entity_id", "revision_id"), _rev(spark, d).drop("report_date")).select("entity_id", "revision_id", "metric")
+
+
 @query("pointer_verify", with_views(f"""SELECT v.entity_id, v.revision_id, concat_ws(',', CASE WHEN r.revision_id IS NULL THEN 'missing' END, CASE WHEN r.publication_state = 'quarantined' THEN 'not_publishable' END, CASE WHEN r.report_date <> v.report_date THEN 'other_date' END) AS problems
  FROM (SELECT entity_id, report_date, revision_id + CASE WHEN entity_id % 10 = 0 THEN 1 ELSE 0 END AS revision_id FROM ({_VALID})) v LEFT JOIN v_revisions r USING (revision_id)""", "v_revisions"))
 def pointer_verify(spark, d):
@@ -151,6 +157,14 @@ def checkpoint_verify(spark, d):
     return p.reconcile(h, declared, "district", "affected", "total", "expected")
 
 
+@query("checkpoint_verify_all")
+def checkpoint_verify_all(spark, d):
+    """checkpoint_verify with every circle, on both sides; that query and its SQL leave out each fiftieth."""
+    h = _hier(spark, d)
+    declared = h.groupBy("district").agg((F.sum("affected") + F.when(F.col("district").like("%3"), 1).otherwise(0)).alias("total"), (F.count("*") - F.when(F.col("district").like("%7"), 1).otherwise(0)).alias("expected"))
+    return p.reconcile(h, declared, "district", "affected", "total", "expected")
+
+
 _LINES = "SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS parts, min(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1"
 
 
