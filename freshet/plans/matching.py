@@ -39,6 +39,13 @@ def unique_claimant(spark, d):
     return m.unique_claims(rows, "k", "owner").groupBy("k").agg(F.min("owner").alias("owner"), F.count("*").alias("parts"))
 
 
+@query("unique_claimant_all")
+def unique_claimant_all(spark, d):
+    """unique_claimant over all parts; that query and its SQL see the claims of two sizes only."""
+    rows = table(spark, d, "part").select(F.col("p_name").alias("k"), F.col("p_brand").alias("owner"))
+    return m.unique_claims(rows, "k", "owner").groupBy("k").agg(F.min("owner").alias("owner"), F.count("*").alias("parts"))
+
+
 @query("tiered_match", """WITH l AS (SELECT p_partkey AS id, p_name AS n, p_brand AS b FROM part WHERE p_size < 10), r AS (SELECT p_partkey AS rid, p_name AS n, p_brand AS b FROM part WHERE p_size > 47),
 j AS (SELECT id, (SELECT count(*) FROM r WHERE r.n = l.n) AS names, (SELECT count(*) FROM r WHERE r.n = l.n AND r.b = l.b) AS same, (SELECT min(rid) FROM r WHERE r.n = l.n) AS one, (SELECT min(rid) FROM r WHERE r.n = l.n AND r.b = l.b) AS ex FROM l)
 SELECT id, CASE WHEN same = 1 THEN 'matched' WHEN same > 1 THEN 'ambiguous' WHEN names = 1 THEN 'other_district' WHEN names > 1 THEN 'ambiguous' ELSE 'unresolved' END AS state, CASE WHEN same = 1 THEN ex WHEN same = 0 AND names = 1 THEN one END AS rid FROM j""")
@@ -49,6 +56,13 @@ def tiered_match(spark, d):
     return m.tiered(left, right, "n", "b")
 
 
+@query("tiered_match_all")
+def tiered_match_all(spark, d):
+    """All parts against all parts by name and brand; tiered_match and its SQL match slices by size."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("n"), F.col("p_brand").alias("b"))
+    return m.tiered(p, p.withColumnRenamed("id", "rid"), "n", "b")
+
+
 @query("fuzzy_block_match")
 def fuzzy_block_match(spark, d):
     """Every part is on one side; sizes stand for villages. Parts are no schools, so every name passes the gate."""
