@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from freshet.llm.text import U64, mix
 from freshet.shared import small_batches
 
-MAX_LANGS = 64
+#: Languages per 64-bit word of a cell; the sign bit is left free.
+WORD = 63
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,8 @@ class Settings:
 
 @dataclass
 class Model:
+    """cells: words x cells; bit l % WORD of word l // WORD belongs to language l."""
+
     langs: list[str]
     cells: np.ndarray
     settings: Settings = field(default_factory=Settings)
@@ -96,13 +99,14 @@ def _slots(h: np.ndarray, s: Settings) -> list[np.ndarray]:
 
 def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on labelled documents. Counts run in Spark; the driver gets the filter's non-zero cells, whose number
-    is fixed by settings.cells, never the n-grams. Rows with a null text or language are not used."""
+    is fixed by settings.cells, never the n-grams. Rows with a null text or language are not used. All languages are
+    learned: every 63 of them take one more word per cell (16 MB at 2^21 cells)."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     langs = sorted(r["lang"] for r in counts)
     spark = docs.sparkSession
     if not langs:
-        return Model([], np.zeros(settings.cells, np.int64), settings, np.zeros(0))
+        return Model([], np.zeros((1, settings.cells), np.int64), settings, np.zeros(0))
     share = spark.createDataFrame([(r["lang"], langs.index(r["lang"]), min(1.0, settings.sample_per_lang / r["count"])) for r in counts], "lang string, l int, share double")
     drawn = F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1_000_000)) < F.col("share") * 1_000_000
     sample = rows.join(F.broadcast(share), "lang").where(drawn).select("l", "text")
@@ -120,23 +124,24 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     grams = sample.mapInArrow(count, "l int, g long, n long").groupBy("g", "l").agg(F.sum("n").alias("n"))
     totals = {r["l"]: r["n"] for r in grams.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     total = F.element_at(F.array(*[F.lit(float(totals.get(i, 1))) for i in range(len(langs))]), F.col("l") + 1)
+    masks = [f"mask{w}" for w in range(-(-len(langs) // WORD))]
     typical = (
         grams.withColumn("rate", F.col("n") / total).groupBy("g").agg(F.collect_list(F.struct("l", "rate")).alias("in"))
         .withColumn("top", F.array_max(F.transform("in", lambda x: x["rate"])))
-        .select("g", F.expr(f"aggregate(filter(in, x -> x.rate >= {settings.least_rate!r} and x.rate >= {settings.least_ratio!r} * top), 0L, (m, x) -> m | shiftleft(1L, x.l))").alias("mask"))
-        .where("mask <> 0")
+        .select("g", *[F.expr(f"aggregate(filter(in, x -> x.l div {WORD} = {w} and x.rate >= {settings.least_rate!r} and x.rate >= {settings.least_ratio!r} * top), 0L, (m, x) -> m | shiftleft(1L, x.l % {WORD}))").alias(m) for w, m in enumerate(masks)])
+        .where(" or ".join(f"{m} <> 0" for m in masks))
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g, mask = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()
-            cells = np.concatenate(_slots(g, settings))
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.tile(mask, settings.hashes))], ["cell", "mask"])
-
-    filled = typical.mapInArrow(place, "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
-    cells = np.zeros(settings.cells, np.int64)
-    cells[filled["cell"].to_numpy()] = filled["mask"].to_numpy()
-    fill = np.array([np.count_nonzero((cells >> i) & 1) for i in range(len(langs))]) / settings.cells
+            cells = np.concatenate(_slots(batch.column(0).to_numpy().view(U64), settings))
+            yield pa.RecordBatch.from_arrays([pa.array(cells), *(pa.array(np.tile(batch.column(w + 1).to_numpy(), settings.hashes)) for w in range(len(masks)))], ["cell", *masks])
+
+    filled = typical.mapInArrow(place, ", ".join(["cell long", *(f"{m} long" for m in masks)])).groupBy("cell").agg(*[F.bit_or(m).alias(m) for m in masks]).toArrow()
+    cells = np.zeros((len(masks), settings.cells), np.int64)
+    for w, m in enumerate(masks):
+        cells[w, filled["cell"].to_numpy()] = filled[m].to_numpy()
+    fill = np.array([np.count_nonzero((cells[i // WORD] >> (i % WORD)) & 1) for i in range(len(langs))]) / settings.cells
     if len(langs) <= 8:
         cells = cells.astype(np.uint8)
     return Model(langs, cells, settings, fill**settings.hashes)
@@ -152,10 +157,10 @@ def judge(texts: list[str | None], model: Model) -> tuple[list[str], list[float]
             continue
         h = ngrams(text, model.settings.sizes)
         first, *others = _slots(h, model.settings)
-        mask = model.cells[first]
+        mask = model.cells[:, first]
         for s in others:
-            mask = mask & model.cells[s]
-        hits = np.array([np.count_nonzero(mask & (1 << i)) for i in range(len(model.langs))], float)
+            mask = mask & model.cells[:, s]
+        hits = np.array([np.count_nonzero(mask[i // WORD] & (1 << i % WORD)) for i in range(len(model.langs))], float)
         fixed = np.maximum(0, (hits - len(h) * model.false_rate) / (1 - model.false_rate))
         best = int(np.argmax(fixed))
         whole = fixed.sum()
@@ -170,7 +175,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     - Null text, or a text without a letter: 'und', 0, 0. So is every text if nothing could be learned.
     - Ties: the language that comes first by code point. A text none of whose n-grams is known: that one, score 0.
     - Long texts are scored whole. Columns of docs called lang_pred, lang_score or lang_hits are replaced.
-    The filter that tasks receive has a fixed size (settings.cells).
+    The filter that tasks receive has settings.cells cells of one word per 63 languages.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.cells, model.settings, model.false_rate))
