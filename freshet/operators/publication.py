@@ -5,8 +5,14 @@ Revisions never change; a small pointer does. A check that cannot be made is not
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 PUBLISHABLE = ("validated", "validated_partial")
 
@@ -56,10 +62,28 @@ def verify_pointers(pointer: DataFrame, revisions: DataFrame) -> DataFrame:
 
 
 def content_revision(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, revision): a digest of the sorted row digests, so row order and partitioning do not matter. Digests are
-    summed as 128-bit parts first where a key holds many rows: here the group is one revision's rows."""
+    """(keys, revision): a digest of the sorted row digests, so row order and partitioning do not matter. The sorted
+    digests of a key are streamed through the hash, so none of its size is held."""
     digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]), 256)
-    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("", F.array_sort(F.collect_list(digest))), 256).alias("revision"))
+    kind = T.StructType([*(rows.schema[k] for k in keys), T.StructField("rows", T.LongType(), False), T.StructField("revision", T.StringType())])
+    arrow = to_arrow_schema(kind)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, state = None, 0, None
+        for batch in batches:
+            done = []
+            for *k, h in zip(*(batch.column(i).to_pylist() for i in range(len(keys) + 1)), strict=True):
+                if state is None or k != at:
+                    if state is not None:
+                        done.append((*at, n, state.hexdigest()))
+                    at, n, state = k, 0, hashlib.sha256()
+                n += 1
+                state.update(h.encode())
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in done], schema=arrow)
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, (*at, n, state.hexdigest()), strict=True))], schema=arrow)
+
+    return rows.select(*keys, digest.alias("_h")).repartition(*keys).sortWithinPartitions(*keys, "_h").mapInArrow(fold, kind)
 
 
 def reconcile(parts: DataFrame, declared: DataFrame, key: str, value: str, total: str, expected: str, tolerance: float = 1e-6) -> DataFrame:

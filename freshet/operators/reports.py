@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 DEPTHS = ("dry", "ankle", "knee", "waist_plus")
 
@@ -61,11 +67,25 @@ def bucket_verdicts(events: DataFrame, key: str, at: str, bucket: str, limit: in
 
 def cooled_pushes(events: DataFrame, key: str, hours: int) -> DataFrame:
     """Alerts that are pushed: the first, then any at least `hours` after the last one pushed, or with a higher
-    severity. The fold goes over one key's events in order."""
-    e = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "severity", "event_id"))).alias("e"))
-    none = F.lit(None).cast("timestamp_ntz")
-    start = F.struct(none.alias("at"), F.lit(-1).alias("sev"), F.lit(0).alias("n"))
-    due = lambda a, x: a["at"].isNull() | (x["at"] >= a["at"] + F.make_dt_interval(hours=F.lit(hours))) | (x["severity"] > a["sev"])
-    step = lambda a, x: F.when(due(a, x), F.struct(x["at"].alias("at"), x["severity"].alias("sev"), (a["n"] + 1).alias("n"))).otherwise(a)
-    out = e.withColumn("_s", F.aggregate("e", start, step))
-    return out.select(key, F.size("e").alias("events"), F.col("_s.n").alias("pushed"), F.col("_s.at").alias("last_push"))
+    severity. Each key's events are streamed in order; of a key only the last push and the counts are held."""
+    kind = T.StructType([T.StructField(key, events.schema[key].dataType), T.StructField("events", T.IntegerType(), False), T.StructField("pushed", T.IntegerType()), T.StructField("last_push", T.TimestampNTZType())])
+    arrow, wait = to_arrow_schema(kind), timedelta(hours=hours)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, k, n, pushed, at, sev = False, None, 0, 0, None, -1
+        for batch in batches:
+            done = []
+            for x, t, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if not open_ or x != k:
+                    if open_:
+                        done.append((k, n, pushed, at))
+                    open_, k, n, pushed, at, sev = True, x, 0, 0, None, -1
+                n += 1
+                if at is None or (t is not None and t >= at + wait) or (s is not None and sev is not None and s > sev):
+                    pushed, at, sev = pushed + 1, t, s
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in done], schema=arrow)
+        if open_:
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, (k, n, pushed, at), strict=True))], schema=arrow)
+
+    e = events.select(key, F.col("at").cast("timestamp_ntz").alias("at"), "severity", "event_id")
+    return e.repartition(key).sortWithinPartitions(key, "at", "severity", "event_id").mapInArrow(fold, kind)
