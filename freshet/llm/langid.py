@@ -41,7 +41,7 @@ class Settings:
 
 @dataclass
 class Model:
-    """cells: words x cells; bit l % WORD of word l // WORD belongs to language l."""
+    """cells: words x cells, or the cells of the only word; bit l % WORD of word l // WORD belongs to language l."""
 
     langs: list[str]
     cells: np.ndarray
@@ -151,15 +151,16 @@ def judge(texts: list[str | None], model: Model) -> tuple[list[str], list[float]
     """(language, score, hit rate) of each text. score: the winner's part of all corrected hits; hit rate: the
     part of the text's n-grams that the winner holds."""
     out: list[tuple[str, float, float]] = []
+    cells = np.atleast_2d(model.cells)
     for text in texts:
         if not model.langs or not has_letter(text):
             out.append(("und", 0.0, 0.0))
             continue
         h = ngrams(text, model.settings.sizes)
         first, *others = _slots(h, model.settings)
-        mask = model.cells[:, first]
+        mask = cells[:, first]
         for s in others:
-            mask = mask & model.cells[:, s]
+            mask = mask & cells[:, s]
         hits = np.array([np.count_nonzero(mask[i // WORD] & (1 << i % WORD)) for i in range(len(model.langs))], float)
         fixed = np.maximum(0, (hits - len(h) * model.false_rate) / (1 - model.false_rate))
         best = int(np.argmax(fixed))
