@@ -1,35 +1,42 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are cut into words (a run of the space mark with what follows it, and single line breaks), across which no
-piece of the supported models reaches. For the distinct words, all substrings up to the longest piece are exploded
-and equi-joined to the piece table; what matches are the edges of the word's lattice. Edges are grouped by word and
-folded with Spark's aggregate():
+Texts are cut into words wherever no piece of the model holds the two neighbouring characters, so no piece reaches
+across a cut. For the distinct words, all substrings up to the longest piece are exploded and equi-joined to the piece
+table; what matches are the edges of the word's lattice. Edges are grouped by word and folded with Spark's aggregate():
 
 - unigram models: Viterbi, the path with the highest sum of scores;
 - BPE models: their scores are merge ranks, for which the best sum is not what SentencePiece computes, so the fold
-  applies the merges in rank order over a bit mask of the word's boundaries. That gives the library's ids.
+  applies the merges in rank order to the word's boundaries. That gives the library's ids.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshet.llm.text import U64, range_hashes
 from freshet.shared import small_batches
 
 MARK = "▁"
-_WORDS = rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+"
-#: Words of more characters, and for BPE words behind several spaces, are encoded in the task that holds the text.
-LONGEST_WORD = 48
-#: Bytes of text of a block, and word buckets per block: the edges of one bucket are sorted in memory.
-BLOCK, BUCKETS = 4 << 20, 2
+#: Characters of the longest word whose lattice one row holds; a longer run without any cut is encoded in the task
+#: that holds the text. Up to SHORT characters the boundaries of a word fit into the bits of a number.
+LONGEST_WORD, SHORT = 4096, 62
+#: Bytes of text of a block: the session's shuffle partitions decide within these bounds.
+LEAST_BLOCK, MOST_BLOCK = 16 << 20, 64 << 20
+#: Bytes of text per word bucket: the edges of one bucket are sorted in memory.
+BUCKET = 8 << 20
+#: Characters that are cut at a time.
+CHUNK = 1 << 20
 UNIGRAM, BPE = 1, 2
+#: An edge as a number: rank, start, length and id of its piece. Ids from CHARACTER on are characters without a piece.
+_ID, _LENGTH, _START, CHARACTER = 22, 8, 13, 1 << 21
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, int, int, int]]:
@@ -57,7 +64,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int, int, int, int]]:
 
 
 def changed(model: bytes, kind: int | None = None, prefix: bool | None = None) -> bytes:
-    """The model with another model type, or with the leading space mark switched on or off."""
+    """The model with another model type, or with the leading space mark switched on, or off with spaces left alone."""
 
     def with_flag(message: bytes, number: int, value: int) -> bytes:
         rest = b"".join(message[s:e] for f, _, s, _, e in _fields(message) if f != number)
@@ -69,7 +76,7 @@ def changed(model: bytes, kind: int | None = None, prefix: bool | None = None) -
         if f == 2 and kind is not None:
             part = with_flag(part, 3, kind)
         elif f == 3 and prefix is not None:
-            part = with_flag(part, 3, int(prefix))
+            part = with_flag(part, 3, int(prefix)) if prefix else with_flag(with_flag(part, 3, 0), 4, 0)
         else:
             out += model[s:e]
             continue
@@ -129,8 +136,8 @@ class Pieces:
                     charsmap = own[a:b] if g == 2 else charsmap
                     prefix = bool(own[a]) if g == 3 else prefix
                     drop = bool(own[a]) if g == 4 else drop
-        if charsmap or kind not in (UNIGRAM, BPE) or any(MARK in p.lstrip(MARK) or "\n" in p for p, _, _ in rows):
-            raise ValueError("only unigram and BPE models without a character map, whose pieces stay within words")
+        if charsmap or kind not in (UNIGRAM, BPE):
+            raise ValueError("only unigram and BPE models without a character map")
         return Pieces(model, kind, rows, unknown, [byte_ids[i] for i in range(256)] if len(byte_ids) == 256 else [], prefix, drop)
 
     @property
@@ -146,178 +153,417 @@ def normalised(text: str, p: Pieces) -> str:
     return (MARK if p.add_prefix and text else "") + text.replace(" ", MARK)
 
 
+class Cutter:
+    """Cuts texts into words between characters that no piece holds next to each other.
+
+    Pairs are looked up in a table of fixed size by a hash; where two pairs share a place, one cut may be missing,
+    which makes a word longer and no result different."""
+
+    _PLACES = 1 << 22
+
+    def __init__(self, p: Pieces):
+        chars = sorted({c for x, _, _ in p.rows if len(x) > 1 for c in x})
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.base = len(chars) + 1
+        pairs = {x[i : i + 2] for x, _, _ in p.rows for i in range(len(x) - 1)}
+        self.joined = np.zeros(self._PLACES, bool)
+        self.joined[[self._place(*self.number[[ord(c) for c in pair]]) for pair in pairs]] = True
+
+    def _place(self, a, b):
+        return (a * np.int64(self.base) + b) & (self._PLACES - 1)
+
+    def words(self, texts: Iterable[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(characters, starts, ends, hashes of the words, number of words before the end of each text that ends here),
+        for about CHUNK characters at a time; a long text spans several."""
+        parts, size, stops = [], 0, []
+        for text in texts:
+            for at in range(0, max(1, len(text)), CHUNK):
+                parts.append(text[at : at + CHUNK])
+                size += len(parts[-1])
+                if at + CHUNK >= len(text):
+                    stops.append(size)
+                if size >= CHUNK or len(stops) >= CHUNK:
+                    s = "".join(parts)
+                    edges, out = self._cut(s, stops)
+                    yield s, *out
+                    parts, size, stops = [s[edges[-1] :]], len(s) - int(edges[-1]), []
+        if stops:
+            s = "".join(parts)
+            yield s, *self._cut(s, stops)[1]
+
+    def _cut(self, s: str, stops: list[int]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        u = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+        flag = np.zeros(len(u) + 1, bool)
+        c = self.number[u]
+        flag[1:-1] = ~self.joined[self._place(c[:-1], c[1:])]
+        flag[0] = True
+        flag[stops] = True
+        edges = np.flatnonzero(flag)
+        return edges, (edges[:-1], edges[1:], range_hashes(u.astype(U64), edges[:-1], edges[1:]), np.searchsorted(edges[1:], stops, "right"))
+
+
+def _out_of_order(p: Pieces) -> set[str]:
+    """Pieces that applying merges by rank, each once, does not build from their own characters. In a word without
+    such pieces a merge is possible at its turn or never: the ends of a piece are boundaries at its turn if they are
+    later, and then what lies between them is the piece. Others need the best merge to be looked for at each step."""
+    rank = {x: -s for x, _, s in p.rows}
+    found = set()
+    for x, own in rank.items():
+        n, bounds = len(x), set(range(len(x) + 1))
+        edges = sorted((rank[x[i:j]], i, j) for i in range(n) for j in range(i + 2, n + 1) if x[i:j] in rank)
+        for r, i, j in edges:
+            inner = bounds.intersection(range(i + 1, j))
+            if r <= own and i in bounds and j in bounds and len(inner) == 1:
+                bounds -= inner
+        if len(bounds) > 2:
+            found.add(x)
+    return found
+
+
 def lattice(words: DataFrame, p: Pieces, keys: tuple[str, ...], carry: str) -> DataFrame:
-    """words(<keys>, word, <carry>), one row per key and word -> (<keys>, word, <carry>, code): the ids as binary.
+    """words(<keys>, word, <carry>), one row per key and word -> (<keys>, word, <carry>, code array<long>).
 
-    The caller deals the rows out by <keys>; nothing here is shuffled again. The piece table is broadcast: it is as
-    large as the model file. Words must have at most LONGEST_WORD characters.
+    The lowest 22 bits of a code are a piece id, or CHARACTER plus a character that has no piece. The caller deals the
+    rows out by <keys>; nothing here is shuffled again. The piece table is broadcast: it is as large as the model
+    file. Words must have at most LONGEST_WORD characters.
     """
-    digits = 2 * p.width
     longest = max(len(x) for x, _, _ in p.rows)
-    spark = words.sparkSession
-    table = spark.createDataFrame([(x, f"{i:0{digits}X}", s) for x, i, s in p.rows], "sub string, c string, score double")
-    base = p.byte_ids[0] if p.byte_ids else 0
-    if p.byte_ids and p.byte_ids != list(range(base, base + 256)):
-        raise ValueError("byte pieces must have consecutive ids")
-    as_bytes = f"array_join(transform(sequence(0, octet_length(sub) - 1), k -> lpad(hex(cast(conv(substr(hex(encode(sub, 'UTF-8')), 2 * k + 1, 2), 16, 10) as int) + {base}), {digits}, '0')), '')"
-    spell = as_bytes if p.byte_ids else f"'{p.unknown:0{digits}X}'"
-    least = min(s for _, _, s in p.rows) - 10
+    if longest >= 1 << _LENGTH or max(i for _, i, _ in p.rows) >= 1 << 20:
+        raise ValueError("pieces of at most 255 characters with ids below 2^20")
+    late = _out_of_order(p) if p.kind == BPE else set()
+    turn = {s: r for r, s in enumerate(sorted({s for _, _, s in p.rows}, reverse=True))}
+    low = _ID + _LENGTH
+    table = words.sparkSession.createDataFrame(
+        [(x, turn[s] << (low + _START) | len(x) << _ID | i, x in late, s) for x, i, s in p.rows], "sub string, e long, late boolean, score double"
+    )
     starts = words.select(*keys, "word", carry, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
     lengths = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("i")))).alias("l"))
-    subs = lengths.withColumn("sub", F.substring("word", F.col("i") + 1, F.col("l")))
-    edges = subs.join(F.broadcast(table), "sub", "left").where("c is not null or l = 1")
-    edge = F.expr(f"""named_struct('r', -coalesce(score, {least!r}D), 'i', i, 'l', l, 'c', coalesce(c, {spell}),
-        'ends', shiftleft(1L, i) | shiftleft(1L, i + l), 'inner', shiftleft(1L, i + l) - shiftleft(1L, i + 1))""")
-    grouped = edges.groupBy("word", *keys).agg(F.collect_list(edge).alias("edges"), F.any_value(carry).alias(carry))
-    path = _MERGES if p.kind == BPE else _VITERBI
-    return path(grouped).select(*keys, "word", carry, F.unhex("hex").alias("code"))
-
-
-def _MERGES(grouped: DataFrame) -> DataFrame:
-    """The boundaries left after applying merges by rank, leftmost first: an edge merges two symbols if both its ends
-    are boundaries and one boundary lies inside. One pass is enough because a piece is always ranked after its parts;
-    pieces of several space marks are not, so words that start with two marks do not come here."""
-    mask = F.expr("""aggregate(array_sort(edges), shiftleft(1L, length(word) + 1) - 1L,
-        (m, e) -> if(e.l > 1 and (m & e.ends) = e.ends and bit_count(m & e.inner) = 1, m & ~e.inner, m))""")
-    kept = F.expr("array_sort(transform(filter(edges, e -> (m & e.ends) = e.ends and (m & e.inner) = 0L), e -> struct(e.i, e.c)))")
-    return grouped.withColumn("m", mask).withColumn("hex", F.array_join(F.transform(kept, lambda e: e["c"]), ""))
-
-
-def _VITERBI(grouped: DataFrame) -> DataFrame:
+    subs = lengths.select(*keys, "word", F.when((F.col("i") == 0) & (F.col("l") == 1), F.col(carry)).alias(carry), "i", "l", F.substring("word", F.col("i") + 1, F.col("l")).alias("sub"))
+    edges = subs.join(F.broadcast(table), "sub", "left").where("e is not null or l = 1")
+    no_piece = f"{((1 << 20) - 1) << (low + _START) | 1 << _ID | CHARACTER}L + ascii(sub)"
+    if p.kind == BPE:
+        edge = F.expr(f"coalesce(e, {no_piece}) + shiftleft(cast(i as bigint), {low})")
+    else:
+        least = min(s for _, _, s in p.rows) - 10
+        edge = F.expr(f"named_struct('k', i + l, 'i', i, 'v', coalesce(score, {least!r}D), 'c', coalesce(e, {no_piece}))")
+    more = [F.max("late").alias("late")] if late else []
+    grouped = edges.groupBy("word", *keys).agg(F.collect_list(edge).alias("edges"), F.first(carry, ignorenulls=True).alias(carry), *more)
+    return grouped.select(*keys, "word", carry, (_merged(bool(late)) if p.kind == BPE else _viterbi()).alias("code"))
+
+
+def _merged(late: bool) -> F.Column:
+    """The edges between neighbouring boundaries after the merges by rank, leftmost first: an edge merges two symbols if
+    both its ends are boundaries and one boundary lies inside. Boundaries are bits of a number, or in longer words the
+    characters of a string."""
+    i, n = f"cast(shiftright(e, {_ID + _LENGTH}) & {(1 << _START) - 1} as int)", f"cast(shiftright(e, {_ID}) & {(1 << _LENGTH) - 1} as int)"
+    window, ends = f"(shiftright(m, {i}) & (shiftleft(2L, {n}) - 1))", f"(shiftleft(1L, {n}) + 1)"
+    rest = (1 << (_ID + _LENGTH + _START)) - 1
+
+    def after(symbol: str) -> str:
+        return f"m -> sort_array(transform(filter(edges, e -> {symbol}), e -> e & {rest}L))"
+
+    short = f"""aggregate(sort_array(edges), shiftleft(1L, length(word) + 1) - 1,
+        (m, e) -> if(bit_count({window}) = 3 and ({window} & {ends}) = {ends}, m & ~shiftleft(shiftleft(1L, {n} - 1) - 1, {i} + 1), m),
+        {after(f"bit_count({window}) = 2 and ({window} & {ends}) = {ends}")})"""
+    two = f"{n} > 1 and substr(m, {i} + 1, 1) = '1' and substr(m, {i} + {n} + 1, 1) = '1' and length(replace(substr(m, {i} + 2, {n} - 1), '0', '')) = 1"
+    join = f"overlay(m placing repeat('0', {n} - 1) from {i} + 2)"
+    whole, one = "repeat('1', length(word) + 1)", after(f"substr(m, {i} + 1, {n} + 1) = concat('1', repeat('0', {n} - 1), '1')")
+    long = f"aggregate(sort_array(edges), {whole}, (m, e) -> if({two}, {join}, m), {one})"
+    steps = f"""aggregate(sequence(1, length(word)), {whole},
+        (m, _) -> transform(array(array_min(filter(edges, e -> {two}))), e -> if(e is null, m, {join}))[0], {one})"""
+    return F.expr(f"case {f'when late then {steps}' if late else ''} when length(word) <= {SHORT} then {short} else {long} end")
+
+
+def _viterbi() -> F.Column:
     """Best path by sum of scores. The fold goes over the edges by end and start; s holds the best sum of every
-    position before the current end, b the start and ids of its last edge. Ties: the earliest start."""
-    by_end = "array_sort(transform(edges, e -> struct(e.i + e.l as k, e.i as i, -e.r as v, e.c as c)))"
-    walked = F.expr(f"""aggregate({by_end}, named_struct('k', 0, 'v', 0D, 'i', -1, 'c', '', 's', cast(array() as array<double>), 'b', cast(array() as array<struct<i: int, c: string>>)),
+    position before the current end, b the start and code of its last edge. Ties: the earliest start."""
+    last = "named_struct('i', a.i, 'c', a.c)"
+    back = f"""a -> aggregate(sequence(1, length(word)), named_struct('at', length(word), 'b', array_append(a.b, {last}), 'code', cast(array() as array<bigint>)),
+        (x, _) -> if(x.at > 0, named_struct('at', x.b[x.at].i, 'b', x.b, 'code', array_prepend(x.code, x.b[x.at].c)), x), x -> x.code)"""
+    return F.expr(f"""aggregate(array_sort(edges), named_struct('k', 0, 'v', 0D, 'i', -1, 'c', 0L, 's', cast(array() as array<double>), 'b', cast(array() as array<struct<i: int, c: bigint>>)),
         (a, e) -> if(e.k = a.k,
             if(a.s[e.i] + e.v > a.v, named_struct('k', a.k, 'v', a.s[e.i] + e.v, 'i', e.i, 'c', e.c, 's', a.s, 'b', a.b), a),
-            named_struct('k', e.k, 'v', if(e.i = a.k, a.v, a.s[e.i]) + e.v, 'i', e.i, 'c', e.c, 's', array_append(a.s, a.v), 'b', array_append(a.b, named_struct('i', a.i, 'c', a.c)))),
-        a -> array_append(a.b, named_struct('i', a.i, 'c', a.c)))""")
-    back = F.expr("""aggregate(sequence(1, size(b)), named_struct('at', size(b) - 1, 'hex', ''),
-        (x, _) -> if(x.at > 0, named_struct('at', b[x.at].i, 'hex', concat(b[x.at].c, x.hex)), x), x -> x.hex)""")
-    return grouped.withColumn("b", walked).withColumn("hex", back)
+            named_struct('k', e.k, 'v', if(e.i = a.k, a.v, a.s[e.i]) + e.v, 'i', e.i, 'c', e.c, 's', array_append(a.s, a.v), 'b', array_append(a.b, {last}))),
+        {back})""")
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = (), blocks: int | None = None) -> DataFrame:
     """(<id_col>, <keep_cols...>, piece_ids array<int>) of every row.
 
-    - Null text: null ids. Empty text: no ids. Characters without a piece: byte pieces, else the unknown id.
-    - Null ids and repeated rows are encoded like any others. Empty table: empty result.
-    - Words of over LONGEST_WORD characters, and for BPE words behind several spaces, are encoded where the text is,
-      by the model itself, once per block.
-
-    Texts go compressed, by a hash of their id, into blocks of about 4 MB; that is their only shuffle. Each block
-    lists its distinct words, the words are brought together once for the lattice, and every block gets back the
-    ids of just its own words. A block has one dictionary, never the whole vocabulary of the corpus.
+    - Null text: null ids. Empty text: no ids. Characters without a piece: byte pieces; in models without those the
+      unknown id, once for a run.
+    - Null ids and repeated rows are encoded like any others. Empty table: empty result. Other columns of docs are not
+      read, so their names cannot clash.
+    - A text may have any length. Words of over LONGEST_WORD characters, that is runs without any cut, are encoded by
+      the model itself, once per block.
+
+    Texts go compressed, by a hash of their id, into blocks of 16 to 64 MB; that is their only shuffle. Each block
+    lists its distinct words, the words are brought together once for the lattice, and every block gets back the codes
+    of its own words by their place in its list. A block has one dictionary, never the whole vocabulary of the
+    corpus. In a block words are told apart by 64-bit hashes, which are alike for two of a million with odds of 3e-8.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     kept = [id_col, *keep_cols]
-    d = docs.select(*kept, F.col(text_col).alias("_text"))
+    named = [f"c{i}" for i in range(len(kept))]
+    d = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, named, strict=True)], F.col(text_col).alias("text"))
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if blocks is None:
-        size = d.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK))
-    spread = F.xxhash64(id_col, *([] if not keep_cols else keep_cols), F.when(F.col(id_col).isNull(), F.col("_text")))
-    d = d.withColumn("_block", F.pmod(spread, F.lit(blocks)).cast("int"))
+        blocks = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // MOST_BLOCK)), max(1, -(-size // LEAST_BLOCK)))
+    buckets = max(1, -(-size // BUCKET))
+    spread = F.xxhash64(*named, F.when(F.col("c0").isNull(), F.col("text")))
+    d = d.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int"))
     shared = spark.sparkContext.broadcast(pieces)
+
+    packed = d.mapInArrow(_pack, "block int, z binary").repartition(blocks, "block")
+    lists = packed.sortWithinPartitions("block").mapInArrow(_lister(shared, buckets), "h int, block int, words array<string>, at array<int>").repartition(buckets, "h")
+    ref = F.expr("shiftleft(cast(block as bigint), 32) + w.at")
+    words = lists.select("h", "block", F.explode(F.arrays_zip("words", "at")).alias("w")).select("h", F.col("w.words").alias("word"), ref.alias("ref")).groupBy("word", "h").agg(F.collect_list("ref").alias("refs"))
+    coded = lattice(words, pieces, ("h",), "refs").select("refs", "code")
+    back = coded.mapInArrow(_sender(shared), "block int, at binary, sizes binary, ids binary")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "_block int", "_z binary"])
+    made = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "piece_ids array<int>"])
+    return packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_assembler(shared, named, [*kept, "piece_ids"]), made)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
 
-        press = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            z = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*kept, "_block")), pa.array(z, pa.binary())], [*kept, "_block", "_z"])
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (<columns>, block) as compressed Arrow streams per block, sent on at 32 MB."""
+    held: dict[int, list[pa.RecordBatch]] = {}
+    size = 0
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
 
-    def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-        import zlib
+    def sent() -> pa.RecordBatch:
+        out = []
+        for parts in held.values():
+            table = pa.Table.from_batches(parts).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=options) as to:
+                to.write_table(table)
+            out.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(out, pa.binary())], ["block", "z"])
 
-        find, by, bpe = re.compile(_WORDS).findall, {}, shared.value.kind == BPE
-        for b in batches:
-            for k, text in zip(b.column("_block").to_pylist(), _texts(b), strict=True):
-                by.setdefault(k, set()).update(find(normalised(text or "", shared.value)))
-        for k, found in by.items():
-            dealt: dict[int, list] = {}
-            for w in found:
-                if len(w) <= LONGEST_WORD and not (bpe and w.startswith(MARK * 2)):
-                    dealt.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
-            for h, own in dealt.items():
-                yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32()), pa.array([k], pa.int32()), pa.array([sorted(own)], pa.list_(pa.string()))], ["h", "block", "words"])
-
-    buckets = BUCKETS * blocks
-    packed = d.mapInArrow(pack, schema).repartition(blocks, "_block")
-    lists = packed.mapInArrow(list_words, "h int, block int, words array<string>").repartition(buckets, "h")
-    words = lists.select("h", "block", F.explode("words").alias("word")).groupBy("word", "h").agg(F.collect_list("block").alias("blocks"))
-    coded = lattice(words, pieces, ("h",), "blocks")
-    back = coded.select("h", "word", "code", F.explode("blocks").alias("block")).groupBy("h", "block").agg(F.collect_list("word").alias("words"), F.collect_list("code").alias("codes"))
-
-    arrow = pa.schema([*((c, _arrow(docs, c)) for c in kept), ("piece_ids", pa.list_(pa.int32()))])
-
-    def assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-        import re
-
-        import numpy as np
-        import sentencepiece
+    for b in batches:
+        block = b.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        rows = b.drop_columns(["block"]).take(pa.array(order))
+        for lo, hi in _runs(block[order]):
+            held.setdefault(int(block[order[lo]]), []).append(rows.slice(lo, hi - lo))
+        size += rows.nbytes
+        if size > 32 << 20:
+            yield sent()
+            held, size = {}, 0
+    if held:
+        yield sent()
 
-        p = shared.value
-        class Codes(dict):
-            """Words that the lattice left out are encoded by the model, once."""
 
-            def __missing__(self, word: str) -> bytes:
-                self[word] = np.array(library.encode(word.replace(MARK, " ")), dtype=kind).tobytes()
-                return self[word]
+def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each run of equal values."""
+    cuts = np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1
+    edges = [0, *cuts.tolist(), len(sorted_values)] if len(sorted_values) else [0]
+    return list(zip(edges[:-1], edges[1:], strict=True))
 
-        codes = Codes()
-        for i in range(words.num_rows):
-            codes.update(zip(words.column("words")[i].as_py(), words.column("codes")[i].as_py(), strict=True))
-        library = sentencepiece.SentencePieceProcessor(model_proto=changed(p.model, prefix=False))
-        find, kind = re.compile(_WORDS).findall, f">u{p.width}"
 
-        out = []
-        for text in _texts(texts):
-            out.append(None if text is None else np.frombuffer(b"".join(map(codes.__getitem__, find(normalised(text, p)))), dtype=kind).astype(np.int32))
-        return pa.Table.from_arrays([*(texts.column(c) for c in kept), pa.array(out, pa.list_(pa.int32()))], schema=arrow)
+def _unpacked(z: pa.Scalar) -> pa.Table:
+    with pa.ipc.open_stream(z.as_buffer()) as stream:
+        return stream.read_all()
 
-    made = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "piece_ids array<int>"])
-    return packed.groupBy("_block").cogroup(back.groupBy("block")).applyInArrow(assemble, made)
 
+def _normal(table: pa.Table, p: Pieces) -> Iterator[str]:
+    for t in table.column("text").to_pylist():
+        yield normalised(t or "", p)
 
-def _texts(table) -> Iterator[str | None]:
-    import zstandard
 
-    press = zstandard.ZstdDecompressor()
-    for z in table.column("_z").to_pylist():
-        yield None if z is None else press.decompress(z).decode("utf-8", "surrogatepass") if z else ""
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _arrow(df: DataFrame, col: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
+def _lister(shared, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        cutter = Cutter(p)
+        now, known, words, hashes = None, np.zeros(0, U64), [], []
+
+        def listed() -> pa.RecordBatch:
+            h = np.concatenate([np.zeros(0, U64), *hashes])
+            at = np.empty(len(h), np.int32)
+            at[np.argsort(h)] = np.arange(len(h), dtype=np.int32)
+            bucket = (h % U64(buckets)).astype(np.int32)
+            short = np.fromiter((len(w) <= LONGEST_WORD for w in words), bool, len(words))
+            order = np.flatnonzero(short)
+            order = order[np.argsort(bucket[order], kind="stable")]
+            runs = _runs(bucket[order])
+            offsets = pa.array([0, *(hi for _, hi in runs)], pa.int32())
+            return pa.RecordBatch.from_arrays([
+                pa.array(bucket[order[[lo for lo, _ in runs]]] if runs else [], pa.int32()), pa.array(np.full(len(runs), now, np.int32)),
+                pa.ListArray.from_arrays(offsets, pa.array(words, pa.string()).take(pa.array(order))), pa.ListArray.from_arrays(offsets, pa.array(at[order])),
+            ], ["h", "block", "words", "at"])
 
-    return to_arrow_type(df.schema[col].dataType)
+        for b in batches:
+            for block, z in zip(b.column("block").to_pylist(), b.column("z"), strict=True):
+                if block != now:
+                    if hashes:
+                        yield listed()
+                    now, known, words, hashes = block, np.zeros(0, U64), [], []
+                for s, starts, ends, h, _ in cutter.words(_normal(_unpacked(z), p)):
+                    own, first = np.unique(h, return_index=True)
+                    place = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                    new = known[place] != own if len(known) else np.ones(len(own), bool)
+                    first = first[new]
+                    words.extend(s[a:e] for a, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True))
+                    hashes.append(own[new])
+                    known = np.sort(np.concatenate([known, own[new]]))
+        if hashes:
+            yield listed()
+
+    return run
+
+
+def _sender(shared):
+    """(refs, code) of words -> the codes of each block's words, about a million words at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        kind = np.dtype(f"<u{p.width}")
+        as_bytes = np.array(p.byte_ids or [0], np.int64)
+
+        def sent(refs: pa.ListArray, codes: pa.ListArray) -> pa.RecordBatch:
+            ref, code = refs.flatten().to_numpy(), codes.flatten().to_numpy() & ((1 << _ID) - 1)
+            often, sizes = np.diff(refs.offsets.to_numpy()), np.diff(codes.offsets.to_numpy()).astype(np.int64)
+            bare = code >= CHARACTER
+            if bare.any():
+                if p.byte_ids:
+                    raw = [chr(c - CHARACTER).encode("utf-8", "surrogatepass") for c in code[bare].tolist()]
+                    n = np.ones(len(code), np.int64)
+                    n[bare] = [len(x) for x in raw]
+                    sizes = np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])])
+                    code, bare = np.repeat(code, n), np.repeat(bare, n)
+                    code[bare] = as_bytes[np.frombuffer(b"".join(raw), np.uint8)]
+                else:
+                    code[bare] = p.unknown
+            block, at, row = ref >> 32, (ref & 0xFFFFFFFF).astype(np.int32), np.repeat(np.arange(len(often)), often)
+            order = np.argsort(block, kind="stable")
+            block, at, row = block[order], at[order], row[order]
+            n = sizes[row]
+            ids = code.astype(kind)[_gather((np.cumsum(sizes) - sizes)[row], n)]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            n, runs = n.astype(np.uint16), _runs(block)
+            return pa.RecordBatch.from_arrays([
+                pa.array([int(block[lo]) for lo, _ in runs], pa.int32()), pa.array([at[lo:hi].tobytes() for lo, hi in runs], pa.binary()),
+                pa.array([n[lo:hi].tobytes() for lo, hi in runs], pa.binary()), pa.array([ids[ends[lo] : ends[hi]].tobytes() for lo, hi in runs], pa.binary()),
+            ], ["block", "at", "sizes", "ids"])
+
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += len(b.column(0).flatten())
+            if size > 1_000_000:
+                t = pa.Table.from_batches(held).combine_chunks()
+                yield sent(*(t.column(i).chunk(0) for i in (0, 1)))
+                held, size = [], 0
+        if size:
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield sent(*(t.column(i).chunk(0) for i in (0, 1)))
+
+    return run
+
+
+def _assembler(shared, named: list[str], out_names: list[str]):
+    def assemble(texts: pa.Table, codes: pa.Table) -> pa.Table:
+        p = shared.value
+        cutter = Cutter(p)
+        tables = [_unpacked(z) for z in texts.column("z")]
+        per_text, spans = [], []
+        for t in tables:
+            for _, _, _, h, done in cutter.words(_normal(t, p)):
+                per_text.append(done)
+                spans.append(h)
+        known = np.unique(np.concatenate([np.zeros(0, U64), *(np.unique(h) for h in spans)]))
+        sizes, starts, flat = np.full(len(known), -1, np.int64), np.zeros(len(known), np.int64), [np.zeros(0, np.int32)]
+        total = 0
+        for at, n, ids in zip(*(codes.column(c).to_pylist() for c in ("at", "sizes", "ids")), strict=True):
+            at, n = np.frombuffer(at, np.int32), np.frombuffer(n, np.uint16).astype(np.int64)
+            sizes[at], starts[at] = n, total + np.cumsum(n) - n
+            flat.append(np.frombuffer(ids, f"<u{p.width}").astype(np.int32))
+            total += len(flat[-1])
+        if (sizes < 0).any():
+            for place, ids in _by_model(tables, p, cutter, known, sizes < 0):
+                sizes[place], starts[place] = len(ids), total
+                flat.append(ids)
+                total += len(ids)
+        flat = np.concatenate(flat)
+        ids, lengths, before = [np.zeros(0, np.int32)], [], 0
+        for h, done in zip(spans, per_text, strict=True):
+            place = np.searchsorted(known, h)
+            n = sizes[place]
+            ids.append(flat[_gather(starts[place], n)])
+            ends = np.concatenate([[0], np.cumsum(n)])
+            marks = np.concatenate([[-before], ends[done]])
+            lengths.append(np.diff(marks))
+            before = len(ids[-1]) - int(marks[-1])
+        ids, lengths = np.concatenate(ids), np.concatenate([np.zeros(0, np.int64), *lengths])
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        if not p.byte_ids:
+            again = np.zeros(len(ids), bool)
+            again[1:] = (ids[1:] == p.unknown) & (ids[:-1] == p.unknown)
+            again[offsets[:-1][lengths > 0]] = False
+            offsets = offsets - np.concatenate([[0], np.cumsum(again)])[offsets]
+            ids = ids[~again]
+        table = pa.concat_tables(tables)
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=table.column("text").is_null().combine_chunks())
+        return pa.Table.from_arrays([*(table.column(c) for c in named), lists], names=out_names)
+
+    return assemble
+
+
+def _by_model(tables: list[pa.Table], p: Pieces, cutter: Cutter, known: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, ids) of the words that the lattice left out."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_proto=changed(p.model, prefix=False))
+    for t in tables:
+        for s, starts, ends, h, _ in cutter.words(_normal(t, p)):
+            place = np.searchsorted(known, h)
+            for j in np.flatnonzero(wanted[place]).tolist():
+                if wanted[place[j]]:
+                    wanted[place[j]] = False
+                    yield int(place[j]), np.array(library.encode(s[starts[j] : ends[j]].replace(MARK, " ")), np.int32)
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
-    """rows with the text of the ids: null for null, empty for none. Ids outside the model count as unknown pieces.
-    Bytes that are not UTF-8 become U+FFFD, as in the library."""
+    """rows with the text of the ids: null for null, empty for none. Ids outside the model and null ids count as
+    unknown pieces. Bytes that are not UTF-8 become U+FFFD, as in the library. A column named out_col is replaced."""
     shared = rows.sparkSession.sparkContext.broadcast(pieces)
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         p = shared.value
-        known = {i: x.encode() for x, i, _ in p.rows} | {i: bytes([v]) for v, i in enumerate(p.byte_ids)}
-        unknown = " ⁇ ".encode()
-        raw = [known.get(i, unknown) for i in range(max(known) + 1)]
+        n = max([*(i for _, i, _ in p.rows), *p.byte_ids, p.unknown]) + 1
+        raw = [" ⁇ ".encode()] * n
+        for x, i, _ in p.rows:
+            raw[i] = x.replace(MARK, " ").encode()
+        for value, i in enumerate(p.byte_ids):
+            raw[i] = bytes([value])
+        # the second half is for the first piece of a text, which loses the space that encoding put in front
+        whole = pa.array([*raw, *(x[1:] if x[:1] == b" " and p.add_prefix else x for x in raw)], pa.binary())
         for part in batches:
-            out = []
-            for ids in part:
-                if ids is None:
-                    out.append(None)
-                    continue
-                ids = [i if 0 <= i < len(raw) else p.unknown for i in ids.tolist()] if len(ids) and not 0 <= ids.min() <= ids.max() < len(raw) else ids.tolist()
-                text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
-                out.append(text[1:] if p.add_prefix and text.startswith(" ") else text)
-            yield pd.Series(out, dtype=object)
+            offsets = part.offsets.to_numpy().astype(np.int64)
+            ids = part.values.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
+            ids = np.where((ids < 0) | (ids >= n), p.unknown, ids)
+            ids[offsets[:-1][np.diff(offsets) > 0]] += n
+            taken = whole.take(pa.array(ids))
+            ends = np.frombuffer(taken.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+            cuts = ends[offsets]
+            valid = None if not part.null_count else pa.array(part.is_valid().to_numpy(zero_copy_only=False))
+            text = pa.StringArray.from_buffers(len(part), pa.py_buffer(cuts.tobytes()), taken.buffers()[2] if len(ids) else pa.py_buffer(b""))
+            try:
+                text.validate(full=True)
+            except pa.ArrowInvalid:
+                data = (taken.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+                text = pa.array([data[a:e].decode("utf-8", "replace") for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string())
+            yield text if valid is None else pc.if_else(valid, text, pa.scalar(None, pa.string()))
 
     return rows.withColumn(out_col, run(F.col(ids_col)))

@@ -53,16 +53,21 @@ def spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, from prefix sums of a polynomial in the byte positions."""
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of 64-bit values, from prefix sums of a polynomial in their positions."""
     if not len(starts):
         return np.zeros(0, U64)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), dtype=U64)])
-        own = (sums[ends] - sums[starts]) * _power(_INVERSE, len(raw))[starts]
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(values * _power(_BASE, len(values)), dtype=U64)])
+        own = (sums[ends] - sums[starts]) * _power(_INVERSE, len(values))[starts]
         return mix(own + (ends - starts).astype(U64))
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    return range_hashes(_BYTE[raw], starts, ends)
+
+
 def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
     raw = raw_bytes(text, lower)
     return span_hashes(raw, *spans(raw))
