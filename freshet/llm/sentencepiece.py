@@ -35,8 +35,8 @@ BUCKET = 8 << 20
 #: Characters that are cut at a time.
 CHUNK = 1 << 20
 UNIGRAM, BPE = 1, 2
-#: An edge as a number: rank, start, length and id of its piece. Ids from CHARACTER on are characters without a piece.
-_ID, _LENGTH, _START, CHARACTER = 22, 8, 13, 1 << 21
+#: Bits of the length and the start of an edge, below its rank.
+_LENGTH, _START = 8, 13
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, int, int, int]]:
@@ -222,69 +222,63 @@ def _out_of_order(p: Pieces) -> set[str]:
 
 
 def lattice(words: DataFrame, p: Pieces, keys: tuple[str, ...], carry: str) -> DataFrame:
-    """words(<keys>, word, <carry>), one row per key and word -> (<keys>, word, <carry>, code array<long>).
+    """words(<keys>, word, <carry>), one row per key and word -> (<keys>, word, <carry>, marks string).
 
-    The lowest 22 bits of a code are a piece id, or CHARACTER plus a character that has no piece. The caller deals the
-    rows out by <keys>; nothing here is shuffled again. The piece table is broadcast: it is as large as the model
-    file. Words must have at most LONGEST_WORD characters.
+    marks has a digit for each end of a character, last one first: 1 where one piece ends and the next begins, so
+    "1" + "01" + "1" is a word of three characters whose last two are one piece. The caller deals the rows out by
+    <keys>; nothing here is shuffled again. The piece table is broadcast: it is as large as the model file. Words must
+    have at most LONGEST_WORD characters.
     """
     longest = max(len(x) for x, _, _ in p.rows)
-    if longest >= 1 << _LENGTH or max(i for _, i, _ in p.rows) >= 1 << 20:
-        raise ValueError("pieces of at most 255 characters with ids below 2^20")
-    late = _out_of_order(p) if p.kind == BPE else set()
+    if longest >= 1 << _LENGTH:
+        raise ValueError("pieces of at most 255 characters")
+    bpe = p.kind == BPE
+    late = _out_of_order(p) if bpe else set()
     turn = {s: r for r, s in enumerate(sorted({s for _, _, s in p.rows}, reverse=True))}
-    low = _ID + _LENGTH
-    table = words.sparkSession.createDataFrame(
-        [(x, turn[s] << (low + _START) | len(x) << _ID | i, x in late, s) for x, i, s in p.rows], "sub string, e long, late boolean, score double"
-    )
+    table = words.sparkSession.createDataFrame([(x, turn[s] << (_LENGTH + _START) | len(x) << _START, x in late, s) for x, _, s in p.rows if len(x) > 1 or not bpe], "sub string, e long, late boolean, score double")
     starts = words.select(*keys, "word", carry, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
-    lengths = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("i")))).alias("l"))
-    subs = lengths.select(*keys, "word", F.when((F.col("i") == 0) & (F.col("l") == 1), F.col(carry)).alias(carry), "i", "l", F.substring("word", F.col("i") + 1, F.col("l")).alias("sub"))
-    edges = subs.join(F.broadcast(table), "sub", "left").where("e is not null or l = 1")
-    no_piece = f"{((1 << 20) - 1) << (low + _START) | 1 << _ID | CHARACTER}L + ascii(sub)"
-    if p.kind == BPE:
-        edge = F.expr(f"coalesce(e, {no_piece}) + shiftleft(cast(i as bigint), {low})")
+    # BPE starts from single characters, which need no edges; one row of each word stays to carry it
+    least = F.when(F.col("i") == 0, 1).otherwise(2) if bpe else F.lit(1)
+    to = F.greatest(least, F.least(F.lit(longest), F.length("word") - F.col("i")))
+    lengths = starts.select("*", F.explode(F.sequence(least, to)).alias("l"))
+    first = (F.col("i") == 0) & (F.col("l") == 1)
+    subs = lengths.select(*keys, "word", F.when(first, F.col(carry)).alias(carry), "i", "l", F.substring("word", F.col("i") + 1, F.col("l")).alias("sub"))
+    edges = subs.join(F.broadcast(table), "sub", "left")
+    if bpe:
+        edges = edges.where(F.col("e").isNotNull() | first)
+        edge = F.when(F.col("e").isNotNull(), F.expr("named_struct('k', e + i, 'ends', shiftleft(1L, i) | shiftleft(1L, i + l), 'inner', shiftleft(shiftleft(1L, l - 1) - 1, i + 1))"))
     else:
-        least = min(s for _, _, s in p.rows) - 10
-        edge = F.expr(f"named_struct('k', i + l, 'i', i, 'v', coalesce(score, {least!r}D), 'c', coalesce(e, {no_piece}))")
+        edges = edges.where("e is not null or l = 1")
+        edge = F.expr(f"named_struct('k', i + l, 'i', i, 'v', coalesce(score, {min(s for _, _, s in p.rows) - 10!r}D))")
     more = [F.max("late").alias("late")] if late else []
     grouped = edges.groupBy("word", *keys).agg(F.collect_list(edge).alias("edges"), F.first(carry, ignorenulls=True).alias(carry), *more)
-    return grouped.select(*keys, "word", carry, (_merged(bool(late)) if p.kind == BPE else _viterbi()).alias("code"))
+    return grouped.select(*keys, "word", carry, (_merged(bool(late)) if bpe else _viterbi()).alias("marks"))
 
 
 def _merged(late: bool) -> F.Column:
-    """The edges between neighbouring boundaries after the merges by rank, leftmost first: an edge merges two symbols if
-    both its ends are boundaries and one boundary lies inside. Boundaries are bits of a number, or in longer words the
-    characters of a string."""
-    i, n = f"cast(shiftright(e, {_ID + _LENGTH}) & {(1 << _START) - 1} as int)", f"cast(shiftright(e, {_ID}) & {(1 << _LENGTH) - 1} as int)"
-    window, ends = f"(shiftright(m, {i}) & (shiftleft(2L, {n}) - 1))", f"(shiftleft(1L, {n}) + 1)"
-    rest = (1 << (_ID + _LENGTH + _START)) - 1
-
-    def after(symbol: str) -> str:
-        return f"m -> sort_array(transform(filter(edges, e -> {symbol}), e -> e & {rest}L))"
-
-    short = f"""aggregate(sort_array(edges), shiftleft(1L, length(word) + 1) - 1,
-        (m, e) -> if(bit_count({window}) = 3 and ({window} & {ends}) = {ends}, m & ~shiftleft(shiftleft(1L, {n} - 1) - 1, {i} + 1), m),
-        {after(f"bit_count({window}) = 2 and ({window} & {ends}) = {ends}")})"""
-    two = f"{n} > 1 and substr(m, {i} + 1, 1) = '1' and substr(m, {i} + {n} + 1, 1) = '1' and length(replace(substr(m, {i} + 2, {n} - 1), '0', '')) = 1"
-    join = f"overlay(m placing repeat('0', {n} - 1) from {i} + 2)"
-    whole, one = "repeat('1', length(word) + 1)", after(f"substr(m, {i} + 1, {n} + 1) = concat('1', repeat('0', {n} - 1), '1')")
-    long = f"aggregate(sort_array(edges), {whole}, (m, e) -> if({two}, {join}, m), {one})"
-    steps = f"""aggregate(sequence(1, length(word)), {whole},
-        (m, _) -> transform(array(array_min(filter(edges, e -> {two}))), e -> if(e is null, m, {join}))[0], {one})"""
+    """The boundaries left after the merges by rank, leftmost first: an edge merges two symbols if both its ends are
+    boundaries and one boundary lies inside. Boundaries are bits of a number, or in longer words the characters of a
+    string."""
+    short = """bin(aggregate(sort_array(edges), shiftrightunsigned(-1L, 63 - length(word)),
+        (m, e) -> if((m & e.ends) = e.ends and bit_count(m & e.inner) = 1, m & ~e.inner, m)))"""
+    i, n = f"cast(e.k & {(1 << _START) - 1} as int)", f"cast(shiftright(e.k, {_START}) & {(1 << _LENGTH) - 1} as int)"
+    two = f"substr(m, {i} + 1, 1) = '1' and substr(m, {i} + {n} + 1, 1) = '1' and length(replace(substr(m, {i} + 2, {n} - 1), '0', '')) = 1"
+    join, whole = f"overlay(m placing repeat('0', {n} - 1) from {i} + 2)", "repeat('1', length(word) + 1)"
+    long = f"reverse(aggregate(sort_array(edges), {whole}, (m, e) -> if({two}, {join}, m)))"
+    steps = f"""reverse(aggregate(sequence(1, length(word)), {whole},
+        (m, _) -> transform(array(array_min(filter(edges, e -> {two}))), e -> if(e is null, m, {join}))[0]))"""
     return F.expr(f"case {f'when late then {steps}' if late else ''} when length(word) <= {SHORT} then {short} else {long} end")
 
 
 def _viterbi() -> F.Column:
     """Best path by sum of scores. The fold goes over the edges by end and start; s holds the best sum of every
-    position before the current end, b the start and code of its last edge. Ties: the earliest start."""
-    last = "named_struct('i', a.i, 'c', a.c)"
-    back = f"""a -> aggregate(sequence(1, length(word)), named_struct('at', length(word), 'b', array_append(a.b, {last}), 'code', cast(array() as array<bigint>)),
-        (x, _) -> if(x.at > 0, named_struct('at', x.b[x.at].i, 'b', x.b, 'code', array_prepend(x.code, x.b[x.at].c)), x), x -> x.code)"""
-    return F.expr(f"""aggregate(array_sort(edges), named_struct('k', 0, 'v', 0D, 'i', -1, 'c', 0L, 's', cast(array() as array<double>), 'b', cast(array() as array<struct<i: int, c: bigint>>)),
+    position before the current end, b the start of its last edge. Ties: the earliest start."""
+    back = """a -> aggregate(sequence(1, length(word)), named_struct('at', length(word), 'b', array_append(a.b, a.i), 'm', concat(repeat('0', length(word)), '1')),
+        (x, _) -> if(x.at > 0, named_struct('at', x.b[x.at], 'b', x.b, 'm', overlay(x.m placing '1' from length(word) - x.at + 1)), x), x -> x.m)"""
+    return F.expr(f"""aggregate(array_sort(edges), named_struct('k', 0, 'v', 0D, 'i', -1, 's', cast(array() as array<double>), 'b', cast(array() as array<int>)),
         (a, e) -> if(e.k = a.k,
-            if(a.s[e.i] + e.v > a.v, named_struct('k', a.k, 'v', a.s[e.i] + e.v, 'i', e.i, 'c', e.c, 's', a.s, 'b', a.b), a),
-            named_struct('k', e.k, 'v', if(e.i = a.k, a.v, a.s[e.i]) + e.v, 'i', e.i, 'c', e.c, 's', array_append(a.s, a.v), 'b', array_append(a.b, {last}))),
+            if(a.s[e.i] + e.v > a.v, named_struct('k', a.k, 'v', a.s[e.i] + e.v, 'i', e.i, 's', a.s, 'b', a.b), a),
+            named_struct('k', e.k, 'v', if(e.i = a.k, a.v, a.s[e.i]) + e.v, 'i', e.i, 's', array_append(a.s, a.v), 'b', array_append(a.b, a.i))),
         {back})""")
 
 
@@ -320,7 +314,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     lists = packed.sortWithinPartitions("block").mapInArrow(_lister(shared, buckets), "h int, block int, words array<string>, at array<int>").repartition(buckets, "h")
     ref = F.expr("shiftleft(cast(block as bigint), 32) + w.at")
     words = lists.select("h", "block", F.explode(F.arrays_zip("words", "at")).alias("w")).select("h", F.col("w.words").alias("word"), ref.alias("ref")).groupBy("word", "h").agg(F.collect_list("ref").alias("refs"))
-    coded = lattice(words, pieces, ("h",), "refs").select("refs", "code")
+    coded = lattice(words, pieces, ("h",), "refs").select("refs", "word", "marks")
     back = coded.mapInArrow(_sender(shared), "block int, at binary, sizes binary, ids binary")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     made = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "piece_ids array<int>"])
@@ -421,33 +415,50 @@ def _lister(shared, buckets: int):
     return run
 
 
+def _piece_ids(words: pa.StringArray, marks: pa.StringArray, p: Pieces, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids per word, ids) of words cut at their marks; table: sorted hashes of the pieces, and their ids."""
+    text = "".join(words.to_pylist())
+    u = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    digits = np.frombuffer("".join(m[-2::-1] for m in marks.to_pylist()).encode(), np.uint8) == ord("1")
+    ends = np.flatnonzero(digits) + 1
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    h = range_hashes(u.astype(U64), starts, ends)
+    at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
+    ids = np.where(table[0][at] == h, table[1][at], -1)
+    word_ends = np.cumsum(pc.utf8_length(words).to_numpy())
+    upto = np.concatenate([[0], np.searchsorted(ends, word_ends, "right")])
+    bare = ids < 0
+    if bare.any() and p.byte_ids:
+        raw = [text[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts[bare].tolist(), ends[bare].tolist(), strict=True)]
+        n = np.ones(len(ids), np.int64)
+        n[bare] = [len(x) for x in raw]
+        upto = np.concatenate([[0], np.cumsum(n)])[upto]
+        ids, bare = np.repeat(ids, n), np.repeat(bare, n)
+        ids[bare] = np.array(p.byte_ids)[np.frombuffer(b"".join(raw), np.uint8)]
+    ids[bare & (ids < 0)] = p.unknown
+    return np.diff(upto), ids
+
+
 def _sender(shared):
-    """(refs, code) of words -> the codes of each block's words, about a million words at a time."""
+    """(refs, word, marks) of words -> the ids of each block's words, about a million words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         kind = np.dtype(f"<u{p.width}")
-        as_bytes = np.array(p.byte_ids or [0], np.int64)
-
-        def sent(refs: pa.ListArray, codes: pa.ListArray) -> pa.RecordBatch:
-            ref, code = refs.flatten().to_numpy(), codes.flatten().to_numpy() & ((1 << _ID) - 1)
-            often, sizes = np.diff(refs.offsets.to_numpy()), np.diff(codes.offsets.to_numpy()).astype(np.int64)
-            bare = code >= CHARACTER
-            if bare.any():
-                if p.byte_ids:
-                    raw = [chr(c - CHARACTER).encode("utf-8", "surrogatepass") for c in code[bare].tolist()]
-                    n = np.ones(len(code), np.int64)
-                    n[bare] = [len(x) for x in raw]
-                    sizes = np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])])
-                    code, bare = np.repeat(code, n), np.repeat(bare, n)
-                    code[bare] = as_bytes[np.frombuffer(b"".join(raw), np.uint8)]
-                else:
-                    code[bare] = p.unknown
+        pieces = np.frombuffer("".join(x for x, _, _ in p.rows).encode("utf-32-le"), np.uint32).astype(U64)
+        ends = np.cumsum([len(x) for x, _, _ in p.rows])
+        h = range_hashes(pieces, np.concatenate([[0], ends[:-1]]), ends)
+        order = np.argsort(h)
+        known = h[order], np.array([i for _, i, _ in p.rows])[order]
+
+        def sent(refs: pa.ListArray, words: pa.StringArray, marks: pa.StringArray) -> pa.RecordBatch:
+            sizes, ids = _piece_ids(words, marks, p, known)
+            ref, often = refs.flatten().to_numpy(), np.diff(refs.offsets.to_numpy())
             block, at, row = ref >> 32, (ref & 0xFFFFFFFF).astype(np.int32), np.repeat(np.arange(len(often)), often)
             order = np.argsort(block, kind="stable")
             block, at, row = block[order], at[order], row[order]
             n = sizes[row]
-            ids = code.astype(kind)[_gather((np.cumsum(sizes) - sizes)[row], n)]
+            ids = ids.astype(kind)[_gather((np.cumsum(sizes) - sizes)[row], n)]
             ends = np.concatenate([[0], np.cumsum(n)])
             n, runs = n.astype(np.uint16), _runs(block)
             return pa.RecordBatch.from_arrays([
@@ -456,16 +467,19 @@ def _sender(shared):
             ], ["block", "at", "sizes", "ids"])
 
         held, size = [], 0
+
+        def flushed() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            return sent(*(t.column(i).chunk(0) for i in range(3)))
+
         for b in batches:
             held.append(b)
             size += len(b.column(0).flatten())
             if size > 1_000_000:
-                t = pa.Table.from_batches(held).combine_chunks()
-                yield sent(*(t.column(i).chunk(0) for i in (0, 1)))
+                yield flushed()
                 held, size = [], 0
         if size:
-            t = pa.Table.from_batches(held).combine_chunks()
-            yield sent(*(t.column(i).chunk(0) for i in (0, 1)))
+            yield flushed()
 
     return run
 
