@@ -12,6 +12,7 @@ table; what matches are the edges of the word's lattice. Edges are grouped by wo
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ BUCKET = 8 << 20
 #: Characters that are cut at a time.
 CHUNK = 1 << 20
 UNIGRAM, BPE = 1, 2
-#: Bits of the length and the start of an edge, below its rank.
+#: Bits of the length and the start of an edge, below its rank; the length is lowest.
 _LENGTH, _START = 8, 13
 
 
@@ -204,11 +205,13 @@ class Cutter:
 
 
 def _out_of_order(p: Pieces) -> set[str]:
-    """Pieces that applying merges by rank, each once, does not build from their own characters. In a word without
-    such pieces a merge is possible at its turn or never: the ends of a piece are boundaries at its turn if they are
-    later, and then what lies between them is the piece. Others need the best merge to be looked for at each step."""
-    rank = {x: -s for x, _, s in p.rows}
-    found = set()
+    """Pieces that applying merges by rank, each once, does not build from their own characters, or that share a rank.
+    In a word without such pieces a merge is possible at its turn or never: the ends of a piece are boundaries at its
+    turn if they are later, and then what lies between them is the piece. With such pieces the best merge is looked for
+    at each step."""
+    rank = {x: -s for x, _, s in p.rows if len(x) > 1}
+    times = Counter(rank.values())
+    found = {x for x, r in rank.items() if times[r] > 1}
     for x, own in rank.items():
         n, bounds = len(x), set(range(len(x) + 1))
         edges = sorted((rank[x[i:j]], i, j) for i in range(n) for j in range(i + 2, n + 1) if x[i:j] in rank)
@@ -235,7 +238,7 @@ def lattice(words: DataFrame, p: Pieces, keys: tuple[str, ...], carry: str) -> D
     bpe = p.kind == BPE
     late = _out_of_order(p) if bpe else set()
     turn = {s: r for r, s in enumerate(sorted({s for _, _, s in p.rows}, reverse=True))}
-    table = words.sparkSession.createDataFrame([(x, turn[s] << (_LENGTH + _START) | len(x) << _START, x in late, s) for x, _, s in p.rows if len(x) > 1 or not bpe], "sub string, e long, late boolean, score double")
+    table = words.sparkSession.createDataFrame([(x, turn[s] << (_LENGTH + _START) | len(x), x in late, s) for x, _, s in p.rows if len(x) > 1 or not bpe], "sub string, e long, late boolean, score double")
     starts = words.select(*keys, "word", carry, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
     # BPE starts from single characters, which need no edges; one row of each word stays to carry it
     least = F.when(F.col("i") == 0, 1).otherwise(2) if bpe else F.lit(1)
@@ -246,7 +249,7 @@ def lattice(words: DataFrame, p: Pieces, keys: tuple[str, ...], carry: str) -> D
     edges = subs.join(F.broadcast(table), "sub", "left")
     if bpe:
         edges = edges.where(F.col("e").isNotNull() | first)
-        edge = F.when(F.col("e").isNotNull(), F.expr("named_struct('k', e + i, 'ends', shiftleft(1L, i) | shiftleft(1L, i + l), 'inner', shiftleft(shiftleft(1L, l - 1) - 1, i + 1))"))
+        edge = F.when(F.col("e").isNotNull(), F.expr(f"named_struct('k', e + shiftleft(cast(i as bigint), {_LENGTH}), 'ends', shiftleft(1L, i) | shiftleft(1L, i + l), 'inner', shiftleft(shiftleft(1L, l - 1) - 1, i + 1))"))
     else:
         edges = edges.where("e is not null or l = 1")
         edge = F.expr(f"named_struct('k', i + l, 'i', i, 'v', coalesce(score, {min(s for _, _, s in p.rows) - 10!r}D))")
@@ -261,7 +264,7 @@ def _merged(late: bool) -> F.Column:
     string."""
     short = """bin(aggregate(sort_array(edges), shiftrightunsigned(-1L, 63 - length(word)),
         (m, e) -> if((m & e.ends) = e.ends and bit_count(m & e.inner) = 1, m & ~e.inner, m)))"""
-    i, n = f"cast(e.k & {(1 << _START) - 1} as int)", f"cast(shiftright(e.k, {_START}) & {(1 << _LENGTH) - 1} as int)"
+    i, n = f"cast(shiftright(e.k, {_LENGTH}) & {(1 << _START) - 1} as int)", f"cast(e.k & {(1 << _LENGTH) - 1} as int)"
     two = f"substr(m, {i} + 1, 1) = '1' and substr(m, {i} + {n} + 1, 1) = '1' and length(replace(substr(m, {i} + 2, {n} - 1), '0', '')) = 1"
     join, whole = f"overlay(m placing repeat('0', {n} - 1) from {i} + 2)", "repeat('1', length(word) + 1)"
     long = f"reverse(aggregate(sort_array(edges), {whole}, (m, e) -> if({two}, {join}, m)))"
@@ -555,13 +558,14 @@ def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "piece_ids", out_col:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         p = shared.value
         n = max([*(i for _, i, _ in p.rows), *p.byte_ids, p.unknown]) + 1
-        raw = [" ⁇ ".encode()] * n
+        # the second half is for the first piece of a text, which loses the mark that encoding put in front
+        raw = [" ⁇ ".encode()] * (2 * n)
         for x, i, _ in p.rows:
             raw[i] = x.replace(MARK, " ").encode()
+            raw[n + i] = raw[i][1:] if p.add_prefix and x.startswith(MARK) else raw[i]
         for value, i in enumerate(p.byte_ids):
-            raw[i] = bytes([value])
-        # the second half is for the first piece of a text, which loses the space that encoding put in front
-        whole = pa.array([*raw, *(x[1:] if x[:1] == b" " and p.add_prefix else x for x in raw)], pa.binary())
+            raw[i] = raw[n + i] = bytes([value])
+        whole = pa.array(raw, pa.binary())
         for part in batches:
             offsets = part.offsets.to_numpy().astype(np.int64)
             ids = part.values.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[offsets[0] : offsets[-1]]

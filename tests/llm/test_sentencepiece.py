@@ -8,6 +8,7 @@ from freshet.llm.sentencepiece_queries import MODEL
 
 TEXTS = [
     "The river rose by two metres.", " a  b   c ", "line one\nline  two\n\n", "", "tab\there", "naïve café 漢字 😀 \u0301", "x" * 200, "a" * 60 + " b", "    " * 9 + "deep", "ends with space ", "\n", "UPPER lower 123,456.78",
+    "=" * 63, "ab" * 700 + " tail", " " * 37 + "x", "thththe" * 20, "word " * 30_000, "a" * 5000 + " end",
 ]
 
 
@@ -45,6 +46,26 @@ def test_ids_equal_the_library(spark, kind):
             assert r["decoded"] == texts[r["doc_id"]]
 
 
+def test_blocks_and_clashing_columns(spark):
+    """Texts spread over several blocks, and columns named like those that are used inside."""
+    texts, df = rows(spark)
+    named = df.selectExpr("doc_id as block", "text as z", "code as text")
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = encode(named, Pieces.load(MODEL), "block", "z", keep_cols=("text",), blocks=5)
+    assert got.columns == ["block", "text", "piece_ids"]
+    for r in got.collect():
+        if r["block"] is not None and r["block"] != 999:
+            assert r["text"] == "z" and r["piece_ids"] == library.encode(texts[r["block"]])
+
+
+def test_decode_of_foreign_ids(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    cases = [[], [259], [3 + 0xE4], [3 + 0xE6, 3 + 0xBC, 3 + 0xA2], [0, 300, 0]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate([*cases, None])], "n int, piece_ids array<int>")
+    got = {r["n"]: r["decoded"] for r in decode(df, Pieces.load(MODEL)).collect()}
+    assert [got[i] for i in range(len(cases))] == [library.decode(c) for c in cases] and got[len(cases)] is None
+
+
 def test_empty_table(spark):
     _, df = rows(spark)
     assert encode(df.limit(0), Pieces.load(MODEL)).collect() == []
