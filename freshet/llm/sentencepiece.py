@@ -34,7 +34,7 @@ LEAST_BLOCK, MOST_BLOCK = 16 << 20, 64 << 20
 #: Bytes of text per word bucket: the edges of one bucket are sorted in memory.
 BUCKET = 8 << 20
 #: Characters that are cut at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 UNIGRAM, BPE = 1, 2
 #: Bits of the length and the start of an edge, below its rank; the length is lowest.
 _LENGTH, _START = 8, 13
@@ -141,6 +141,12 @@ class Pieces:
             raise ValueError("only unigram and BPE models without a character map")
         return Pieces(model, kind, rows, unknown, [byte_ids[i] for i in range(256)] if len(byte_ids) == 256 else [], prefix, drop)
 
+    @property
+    def separator(self) -> str:
+        """A character that is in no piece of several, so in no word beside others."""
+        held = {c for x, _, _ in self.rows if len(x) > 1 for c in x}
+        return next(c for c in map(chr, (*range(1, 32), *range(0xE000, 0xF900))) if c not in held)
+
     @property
     def width(self) -> int:
         """Bytes of one id."""
@@ -314,9 +320,10 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(pieces)
 
     packed = d.mapInArrow(_pack, "block int, z binary").repartition(blocks, "block")
-    lists = packed.sortWithinPartitions("block").mapInArrow(_lister(shared, buckets), "h int, block int, words array<string>, at array<int>").repartition(buckets, "h")
-    ref = F.expr("shiftleft(cast(block as bigint), 32) + w.at")
-    words = lists.select("h", "block", F.explode(F.arrays_zip("words", "at")).alias("w")).select("h", F.col("w.words").alias("word"), ref.alias("ref")).groupBy("word", "h").agg(F.collect_list("ref").alias("refs"))
+    lists = packed.sortWithinPartitions("block").mapInArrow(_lister(shared, buckets), "h int, block int, first int, words string").repartition(buckets, "h")
+    listed = lists.select("h", "block", "first", F.posexplode(F.split("words", pieces.separator)).alias("i", "word")).where("word <> ''")
+    ref = F.expr("shiftleft(cast(block as bigint), 32) + first + i")
+    words = listed.select("h", "word", ref.alias("ref")).groupBy("word", "h").agg(F.collect_list("ref").alias("refs"))
     coded = lattice(words, pieces, ("h",), "refs").select("refs", "word", "marks")
     back = coded.mapInArrow(_sender(shared), "block int, at binary, sizes binary, ids binary")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
@@ -325,7 +332,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (<columns>, block) as compressed Arrow streams per block, sent on at 32 MB."""
+    """Rows (<columns>, block) as compressed Arrow streams per block, sent on at 16 MB."""
     held: dict[int, list[pa.RecordBatch]] = {}
     size = 0
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
@@ -347,7 +354,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in _runs(block[order]):
             held.setdefault(int(block[order[lo]]), []).append(rows.slice(lo, hi - lo))
         size += rows.nbytes
-        if size > 32 << 20:
+        if size > 16 << 20:
             yield sent()
             held, size = {}, 0
     if held:
@@ -378,30 +385,31 @@ def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _lister(shared, buckets: int):
+    """Packed texts sorted by block -> the distinct words of each block in the order of their hashes, cut into buckets
+    by range of the hash: a word's place in the block is the first place of its row and its place in the row. Words
+    that the lattice leaves out are empty."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         cutter = Cutter(p)
+        separator = p.separator
         now, known, words, hashes = None, np.zeros(0, U64), [], []
 
         def listed() -> pa.RecordBatch:
-            h = np.concatenate([np.zeros(0, U64), *hashes])
-            at = np.empty(len(h), np.int32)
-            at[np.argsort(h)] = np.arange(len(h), dtype=np.int32)
-            bucket = (h % U64(buckets)).astype(np.int32)
-            short = np.fromiter((len(w) <= LONGEST_WORD for w in words), bool, len(words))
-            order = np.flatnonzero(short)
-            order = order[np.argsort(bucket[order], kind="stable")]
-            runs = _runs(bucket[order])
-            offsets = pa.array([0, *(hi for _, hi in runs)], pa.int32())
+            h = np.concatenate(hashes)
+            order = np.argsort(h)
+            bucket = (((h[order] >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int32)
+            own = [w if len(w) <= LONGEST_WORD and w != separator else "" for w in (words[i] for i in order.tolist())]
+            runs = _runs(bucket)
             return pa.RecordBatch.from_arrays([
-                pa.array(bucket[order[[lo for lo, _ in runs]]] if runs else [], pa.int32()), pa.array(np.full(len(runs), now, np.int32)),
-                pa.ListArray.from_arrays(offsets, pa.array(words, pa.string()).take(pa.array(order))), pa.ListArray.from_arrays(offsets, pa.array(at[order])),
-            ], ["h", "block", "words", "at"])
+                pa.array(bucket[[lo for lo, _ in runs]]), pa.array(np.full(len(runs), now, np.int32)), pa.array([lo for lo, _ in runs], pa.int32()),
+                pa.array([separator.join(own[lo:hi]) for lo, hi in runs], pa.string()),
+            ], ["h", "block", "first", "words"])
 
         for b in batches:
             for block, z in zip(b.column("block").to_pylist(), b.column("z"), strict=True):
                 if block != now:
-                    if hashes:
+                    if words:
                         yield listed()
                     now, known, words, hashes = block, np.zeros(0, U64), [], []
                 for s, starts, ends, h, _ in cutter.words(_normal(_unpacked(z), p)):
@@ -412,7 +420,7 @@ def _lister(shared, buckets: int):
                     words.extend(s[a:e] for a, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True))
                     hashes.append(own[new])
                     known = np.sort(np.concatenate([known, own[new]]))
-        if hashes:
+        if words:
             yield listed()
 
     return run
@@ -443,7 +451,7 @@ def _piece_ids(words: pa.StringArray, marks: pa.StringArray, p: Pieces, table: t
 
 
 def _sender(shared):
-    """(refs, word, marks) of words -> the ids of each block's words, about a million words at a time."""
+    """(refs, word, marks) of words -> the ids of each block's words, some hundred thousand words at a time; places are sent as differences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
@@ -458,14 +466,14 @@ def _sender(shared):
             sizes, ids = _piece_ids(words, marks, p, known)
             ref, often = refs.flatten().to_numpy(), np.diff(refs.offsets.to_numpy())
             block, at, row = ref >> 32, (ref & 0xFFFFFFFF).astype(np.int32), np.repeat(np.arange(len(often)), often)
-            order = np.argsort(block, kind="stable")
+            order = np.argsort(ref)
             block, at, row = block[order], at[order], row[order]
             n = sizes[row]
             ids = ids.astype(kind)[_gather((np.cumsum(sizes) - sizes)[row], n)]
             ends = np.concatenate([[0], np.cumsum(n)])
             n, runs = n.astype(np.uint16), _runs(block)
             return pa.RecordBatch.from_arrays([
-                pa.array([int(block[lo]) for lo, _ in runs], pa.int32()), pa.array([at[lo:hi].tobytes() for lo, hi in runs], pa.binary()),
+                pa.array([int(block[lo]) for lo, _ in runs], pa.int32()), pa.array([np.diff(at[lo:hi], prepend=np.int32(0)).tobytes() for lo, hi in runs], pa.binary()),
                 pa.array([n[lo:hi].tobytes() for lo, hi in runs], pa.binary()), pa.array([ids[ends[lo] : ends[hi]].tobytes() for lo, hi in runs], pa.binary()),
             ], ["block", "at", "sizes", "ids"])
 
@@ -478,7 +486,7 @@ def _sender(shared):
         for b in batches:
             held.append(b)
             size += len(b.column(0).flatten())
-            if size > 1_000_000:
+            if size > 250_000:
                 yield flushed()
                 held, size = [], 0
         if size:
@@ -501,7 +509,7 @@ def _assembler(shared, named: list[str], out_names: list[str]):
         sizes, starts, flat = np.full(len(known), -1, np.int64), np.zeros(len(known), np.int64), [np.zeros(0, np.int32)]
         total = 0
         for at, n, ids in zip(*(codes.column(c).to_pylist() for c in ("at", "sizes", "ids")), strict=True):
-            at, n = np.frombuffer(at, np.int32), np.frombuffer(n, np.uint16).astype(np.int64)
+            at, n = np.cumsum(np.frombuffer(at, np.int32)), np.frombuffer(n, np.uint16).astype(np.int64)
             sizes[at], starts[at] = n, total + np.cumsum(n) - n
             flat.append(np.frombuffer(ids, f"<u{p.width}").astype(np.int32))
             total += len(flat[-1])

@@ -8,7 +8,7 @@ from freshet.llm.sentencepiece_queries import MODEL
 
 TEXTS = [
     "The river rose by two metres.", " a  b   c ", "line one\nline  two\n\n", "", "tab\there", "naïve café 漢字 😀 \u0301", "x" * 200, "a" * 60 + " b", "    " * 9 + "deep", "ends with space ", "\n", "UPPER lower 123,456.78",
-    "=" * 63, "ab" * 700 + " tail", " " * 37 + "x", "thththe" * 20, "word " * 30_000, "a" * 5000 + " end",
+    "=" * 63, "ab" * 700 + " tail", " " * 37 + "x", "thththe" * 20, "word " * 30_000, "a" * 5000 + " end", "one\x01two\x01\x01",
 ]
 
 
