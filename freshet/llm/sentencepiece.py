@@ -29,8 +29,8 @@ MARK = "▁"
 #: Characters of the longest word whose lattice one row holds; a longer run without any cut is encoded in the task
 #: that holds the text. Up to SHORT characters the boundaries of a word fit into the bits of a number.
 LONGEST_WORD, SHORT = 4096, 62
-#: Bytes of text of a block: the session's shuffle partitions decide within these bounds.
-LEAST_BLOCK, MOST_BLOCK = 16 << 20, 64 << 20
+#: Bytes of text of a block. Larger blocks repeat fewer words and take more memory in their task.
+BLOCK = 8 << 20
 #: Bytes of text per word bucket: the edges of one bucket are sorted in memory.
 BUCKET = 8 << 20
 #: Characters that are cut at a time.
@@ -301,7 +301,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     - A text may have any length. Words of over LONGEST_WORD characters, that is runs without any cut, are encoded by
       the model itself, once per block.
 
-    Texts go compressed, by a hash of their id, into blocks of 16 to 64 MB; that is their only shuffle. Each block
+    Texts go compressed, by a hash of their id, into blocks of about 8 MB; that is their only shuffle. Each block
     lists its distinct words, the words are brought together once for the lattice, and every block gets back the codes
     of its own words by their place in its list. A block has one dictionary, never the whole vocabulary of the
     corpus. In a block words are told apart by 64-bit hashes, which are alike for two of a million with odds of 3e-8.
@@ -313,7 +313,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     d = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, named, strict=True)], F.col(text_col).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if blocks is None:
-        blocks = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // MOST_BLOCK)), max(1, -(-size // LEAST_BLOCK)))
+        blocks = max(1, -(-size // BLOCK))
     buckets = max(1, -(-size // BUCKET))
     spread = F.xxhash64(*named, F.when(F.col("c0").isNull(), F.col("text")))
     d = d.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int"))
@@ -513,22 +513,26 @@ def _assembler(shared, named: list[str], out_names: list[str]):
             sizes[at], starts[at] = n, total + np.cumsum(n) - n
             flat.append(np.frombuffer(ids, f"<u{p.width}").astype(np.int32))
             total += len(flat[-1])
+        absent = pa.concat_tables(tables).column("text").is_null().combine_chunks()
         if (sizes < 0).any():
             for place, ids in _by_model(tables, p, cutter, known, sizes < 0):
                 sizes[place], starts[place] = len(ids), total
                 flat.append(ids)
                 total += len(ids)
+        tables = [t.drop_columns(["text"]) for t in tables]
         flat = np.concatenate(flat)
-        ids, lengths, before = [np.zeros(0, np.int32)], [], 0
-        for h, done in zip(spans, per_text, strict=True):
-            place = np.searchsorted(known, h)
+        spans = [np.searchsorted(known, h).astype(np.int32) for h in spans]
+        del known
+        ids, lengths, at, before = np.empty(sum(int(sizes[place].sum()) for place in spans), np.int32), [], 0, 0
+        for place, done in zip(spans, per_text, strict=True):
             n = sizes[place]
-            ids.append(flat[_gather(starts[place], n)])
             ends = np.concatenate([[0], np.cumsum(n)])
+            ids[at : at + ends[-1]] = flat[_gather(starts[place], n)]
             marks = np.concatenate([[-before], ends[done]])
             lengths.append(np.diff(marks))
-            before = len(ids[-1]) - int(marks[-1])
-        ids, lengths = np.concatenate(ids), np.concatenate([np.zeros(0, np.int64), *lengths])
+            at, before = at + int(ends[-1]), int(ends[-1]) - int(marks[-1])
+        del spans, flat
+        lengths = np.concatenate([np.zeros(0, np.int64), *lengths])
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         if not p.byte_ids:
             again = np.zeros(len(ids), bool)
@@ -537,7 +541,8 @@ def _assembler(shared, named: list[str], out_names: list[str]):
             offsets = offsets - np.concatenate([[0], np.cumsum(again)])[offsets]
             ids = ids[~again]
         table = pa.concat_tables(tables)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=table.column("text").is_null().combine_chunks())
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=absent)
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_arrays([*(table.column(c) for c in named), lists], names=out_names)
 
     return assemble
