@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +47,8 @@ class Hashing:
 
     @staticmethod
     def draw(dim: int, k: int, scale: float, s: Settings) -> Hashing:
-        """k = 0: one bucket for all rows, and so one table."""
-        g, tables = np.random.default_rng(s.seed), s.tables if k else 1
-        return Hashing(g.normal(size=(tables, k, dim + 1)), g.uniform(0, s.width, (tables, k)), s.width, scale)
+        g = np.random.default_rng(s.seed)
+        return Hashing(g.normal(size=(s.tables, k, dim + 1)), g.uniform(0, s.width, (s.tables, k)), s.width, scale)
 
     def positions(self, x: np.ndarray, query: bool) -> np.ndarray:
         """(rows, tables, K) positions in units of the bucket width."""
@@ -99,7 +98,9 @@ def best(block: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
     n = len(ids)
     least = np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(queries), -np.inf)
-    i, j = np.nonzero((rough >= least[:, None] - 1e-9) & (rough > -np.inf))
+    # rounding of the product grows with the vectors
+    slack = 1e-12 * np.linalg.norm(queries, axis=1) * np.linalg.norm(block, axis=1).max(initial=0)
+    i, j = np.nonzero((rough >= (least - slack)[:, None]) & (rough > -np.inf))
     # the same sum for equal vectors, whatever their place in the block
     exact = (queries[i] * block[j]).sum(axis=1)
     return _cut(query_ids[i], ids[j], exact, k)
@@ -135,9 +136,11 @@ def nearest(rows: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id",
     bucket is as many blocks as it needs. All rows are indexed; K and the number of probes come from a sample.
     """
     spark, s = rows.sparkSession, settings
-    v = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    # floats travel as floats: they become doubles without loss where they are compared
+    kind = "float" if rows.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    v = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
     fine = v.where("id is not null and size(vec) > 0 and forall(vec, x -> x is not null and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)")
-    lengths = fine.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("top"))
+    lengths = fine.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("top"))
     common = lengths.orderBy(F.desc("n"), "dim").first()
     result = "query_id long, rank int, vec_id long, score double"
     if common is None:
@@ -166,7 +169,7 @@ def nearest(rows: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id",
                     n = len(take)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.concatenate(keys)), part.column(0).take(take), part.column(1).take(take)], ["t", "key", "id", "vec"])
 
-    schema = "t int, key long, id long, vec array<double>"
+    schema = f"t int, key long, id long, vec array<{kind}>"
     placed = fine.mapInArrow(index, schema)
     sizes = placed.groupBy("t", "key").agg(F.ceil(F.count("*") / s.bucket).cast("int").alias("blocks"))
     split = placed.join(sizes.where("blocks > 1"), ["t", "key"], "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int"))
@@ -222,9 +225,9 @@ def _tuned(fine: DataFrame, asked: DataFrame, common, k: int, s: Settings) -> tu
     """K and the number of probes: the fewest that find s.recall of the true neighbours of a sample of queries."""
     scale = float(np.sqrt(common["top"]))
     some = asked.orderBy(F.xxhash64("id"), "id").limit(s.sample).toArrow()
-    most = int(np.ceil(np.log2(max(1, common["n"] / s.bucket)) / 1.2))
-    if not some.num_rows or most <= 0:
-        return Hashing.draw(common["dim"], 0, scale, s), 1
+    most = max(1, int(np.ceil(np.log2(max(1, common["n"] / s.bucket)) / 1.2)))
+    if not some.num_rows:
+        return Hashing.draw(common["dim"], most, scale, s), 1
     q_ids, q = some["id"].to_numpy(), _matrix(some["vec"].combine_chunks())
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,13 +238,14 @@ def _tuned(fine: DataFrame, asked: DataFrame, common, k: int, s: Settings) -> tu
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c), batch.column(1).take(pa.array([at[x] for x in b.tolist()], pa.int64()))], ["q", "id", "score", "vec"])
 
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-    true = fine.mapInArrow(brute, "q long, id long, score double, vec array<double>").withColumn("r", rank).where(F.col("r") <= k).select("q", "vec").toArrow()
+    true = fine.mapInArrow(brute, f"q long, id long, score double, {fine.schema['vec'].simpleString().replace(':', ' ', 1)}").withColumn("r", rank).where(F.col("r") <= k).select("q", "vec").toArrow()
     if not true.num_rows:
-        return Hashing.draw(common["dim"], 0, scale, s), 1
+        return Hashing.draw(common["dim"], most, scale, s), 1
     of = {x: i for i, x in enumerate(q_ids.tolist())}
     owner, near = np.array([of[x] for x in true["q"].to_pylist()]), _matrix(true["vec"].combine_chunks())
-    for n in range(most, 0, -1):
-        hashing = Hashing.draw(common["dim"], n, scale, s)
+    # where even one function of this width is too fine, wider buckets are tried
+    for n, width in [*((n, s.width) for n in range(most, 0, -1)), *((1, s.width * 4**i) for i in range(1, 5))]:
+        hashing = Hashing.draw(common["dim"], n, scale, replace(s, width=width))
         there, here = np.floor(hashing.positions(near, False)), hashing.positions(q, True)
         first = np.full(len(owner), s.probes + 1)
         for t in range(s.tables):
@@ -252,5 +256,5 @@ def _tuned(fine: DataFrame, asked: DataFrame, common, k: int, s: Settings) -> tu
                 first[mine] = np.minimum(first[mine], [order.get(x, s.probes + 1) for x in keys[mine].tolist()])
         reach = np.sort(first)[max(0, int(np.ceil(s.recall * len(first))) - 1)]
         if reach < s.probes:
-            return hashing, int(reach) + 1
-    return Hashing.draw(common["dim"], 0, scale, s), 1
+            break
+    return hashing, int(min(reach, s.probes - 1)) + 1

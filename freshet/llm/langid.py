@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.text import U64, mix
+from freshet.llm.text import U64, mix, unused
 from freshet.shared import small_batches
 
 #: Languages per 64-bit word of a cell; the sign bit is left free.
@@ -189,5 +189,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pd.DataFrame({"lang": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float), "hits": pd.Series(rates, dtype=float)})
 
     kept = docs.drop("lang_pred", "lang_score", "lang_hits")
-    got = kept.withColumn("_judged", run(F.col(text_col)))
-    return got.select(*kept.columns, F.col("_judged.lang").alias("lang_pred"), F.col("_judged.score").alias("lang_score"), F.col("_judged.hits").alias("lang_hits"))
+    judged = unused(docs.columns, "judged")
+    got = kept.withColumn(judged, run(F.col(text_col)))
+    return got.select(*kept.columns, F.col(f"{judged}.lang").alias("lang_pred"), F.col(f"{judged}.score").alias("lang_score"), F.col(f"{judged}.hits").alias("lang_hits"))

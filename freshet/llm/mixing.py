@@ -80,8 +80,10 @@ def mix(docs: DataFrame, size: F.Column, id_col: str = "doc_id", source_col: str
 
 
 def emit(docs: DataFrame, size: F.Column, id_col: str = "doc_id", source_col: str = "source", **shares) -> DataFrame:
-    """The mix itself: every row of docs as often as it is to be held, with the columns of docs."""
+    """The mix itself: every row of docs as often as it is to be held, with the columns of docs, whatever their names."""
     names = docs.columns
-    mixed = mix(docs, size, id_col, source_col, keep=tuple(c for c in names if c not in (id_col, source_col)), **shares)
-    often = mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return often.select(*[F.col("source").alias(source_col) if c == source_col else F.col(c) for c in names])
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    counted = docs.select(*[F.col(c).alias(n) for c, n in at.items()], size.alias("words"))
+    mixed = mix(counted, F.col("words"), at[id_col], at[source_col], keep=tuple(n for c, n in at.items() if c not in (id_col, source_col)), **shares)
+    often = mixed.where("copies > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return often.select(*[F.col("source" if c == source_col else n).alias(c) for c, n in at.items()])

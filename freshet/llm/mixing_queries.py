@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freshet.llm.mixing import count_words, mix
+from freshet.shared import keep
 
 
 def op5_mix_sources(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs, count_words(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # the counts are read twice, for the targets and for the draws
+    sizes = keep(docs.select("doc_id", "source", count_words(F.col("text")).alias("words")), "sizes")
+    return mix(sizes, F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {"op5_mix_sources": op5_mix_sources}

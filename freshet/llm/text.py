@@ -9,6 +9,16 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name like the given one that the columns do not hold."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

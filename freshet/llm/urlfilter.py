@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.llm.text import unused
+
 #: Entries that are sent to the tasks as a trie at most; above, the same levels are matched by joins.
 MOST_BROADCAST = 200_000
 
@@ -21,11 +23,14 @@ _HOST = r"(?s)^.*?://([^/?#]*)"
 _PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 
 
+def _lower(text: F.Column) -> F.Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
     """Host (A-Z lower-cased) and path of a url; both empty if it is null or has no ://."""
     given = F.coalesce(url, F.lit(""))
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.translate(F.regexp_extract(given, _HOST, 1), upper, lower), F.regexp_extract(given, _PATH, 1)
+    return _lower(F.regexp_extract(given, _HOST, 1)), F.regexp_extract(given, _PATH, 1)
 
 
 class Trie:
@@ -72,12 +77,12 @@ class Trie:
 def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """urls with host, path, rule (the winner's host and path, else null) and verdict (the rule's, else default).
 
-    rules(host, path, verdict): hosts are lower-cased; a null path is an empty one; rules with a null or empty
+    rules(host, path, verdict): A-Z of hosts are lower-cased, as of urls; a null path is an empty one; rules with a null or empty
     host or another verdict than allow and block are left out. Equal entries count once, block before allow.
     A null url, or one without ://, has empty host and path and the default verdict. Columns of urls called host,
     path, rule or verdict are replaced. Repeated rows are judged alike.
     """
-    entries = rules.select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> '' and verdict in ('allow', 'block')")
+    entries = rules.select(_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> '' and verdict in ('allow', 'block')")
     entries = entries.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     host, path = host_and_path(F.col(url_col))
     named = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
@@ -94,8 +99,9 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
             got = [trie.match(h, p) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame({"rule": pd.Series([g[0] for g in got], dtype=object), "verdict": pd.Series([g[1] for g in got], dtype=object)})
 
-    out = given.withColumn("_got", run("host", "path"))
-    return out.select(*named, "host", "path", F.col("_got.rule").alias("rule"), F.coalesce("_got.verdict", F.lit(default)).alias("verdict"))
+    got = unused(urls.columns, "got")
+    out = given.withColumn(got, run("host", "path"))
+    return out.select(*named, "host", "path", F.col(f"{got}.rule").alias("rule"), F.coalesce(f"{got}.verdict", F.lit(default)).alias("verdict"))
 
 
 def _joined(given: DataFrame, entries: DataFrame, named: list[str], default: str) -> DataFrame:
@@ -110,6 +116,6 @@ def _joined(given: DataFrame, entries: DataFrame, named: list[str], default: str
     ways = ways.withColumn("_k", F.explode(F.sequence(F.lit(1), F.least(F.lit(deep[1]), F.size(F.split("path", "/"))))))
     ways = ways.withColumn("_lead", F.expr("array_join(slice(split(path, '/'), 1, _k - 1), '/') || if(_k > 1, '/', '')"))
     fits = ways.join(at, ["_host", "_lead"]).where(F.expr("startswith(substr(path, length(_lead) + 1), _last)"))
-    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("_host", "_path", "_verdict"), F.struct(F.length("_host"), F.length("_path"))).alias("_b"))
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("_host", "_path", "_verdict"), F.struct(F.length("_host"), F.length("_path"))).alias(won := unused(named, "won")))
     out = given.join(best, ["host", "path"], "left")
-    return out.select(*named, "host", "path", F.concat("_b._host", "_b._path").alias("rule"), F.coalesce("_b._verdict", F.lit(default)).alias("verdict"))
+    return out.select(*named, "host", "path", F.concat(f"{won}._host", f"{won}._path").alias("rule"), F.coalesce(f"{won}._verdict", F.lit(default)).alias("verdict"))

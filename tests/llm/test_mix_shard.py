@@ -79,3 +79,34 @@ def test_hot_key_is_split_and_growth_moves_little():
     even = {(s, 0): 10 for s in range(512)}
     a, b = place(even, Ring(shards=8, sectors=512, salts=1, slack=0.25)), place(even, Ring(shards=9, sectors=512, salts=1, slack=0.25))
     assert sum(a[k] != b[k] for k in even) < 0.35 * len(even)
+
+
+def test_only_the_hot_key_is_split(spark):
+    """Cold keys in the hot key's sector stay whole, whatever their number of rows."""
+    rows = [(i, "hot", 10) for i in range(3000)] + [(10_000 + i, f"cold{i % 200}", 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, key string, load long")
+    got = assign(df.selectExpr("doc_id", "key", "load", "key as sector", "key as spread"), F.col("key"), F.col("load"), ("doc_id",), Ring(shards=8, sectors=1, slack=0.05)).collect()
+    at, loads = defaultdict(set), Counter()
+    for r in got:
+        at[r["key"]].add(r["shard"])
+        loads[r["shard"]] += r["load"]
+        assert r["sector"] == r["spread"] == r["key"]
+    assert len(at.pop("hot")) == 8 and all(len(s) == 1 for s in at.values())
+    assert max(loads.values()) <= 1.1 * sum(loads.values()) / 8
+
+
+def test_movement_at_the_slack_of_the_query():
+    """A narrow slack gives even shards; what moves when one is added is stated in the module."""
+    even = {(s, 0): 100 + s % 7 for s in range(4096)}
+    a, b = place(even, Ring()), place(even, Ring(shards=9))
+    moved = sum(a[k] != b[k] for k in even) / len(even)
+    used = Counter()
+    for k, shard in a.items():
+        used[shard] += even[k]
+    assert max(used.values()) <= 1.002 * sum(even.values()) / 8 + 106 and moved < 0.9
+
+
+def test_emit_with_clashing_names(spark):
+    d = docs(spark).selectExpr("doc_id", "text", "source", "1 as size", "2 as copies", "3 as target", "4 as words")
+    out = emit(d, count_words(F.col("text")))
+    assert out.columns == d.columns and {tuple(r)[3:] for r in out.collect()} == {(1, 2, 3, 4)}
