@@ -1,4 +1,8 @@
-"""From raw documents to piece ids: five stages, each written as Parquet and read again as the next one's input."""
+"""From raw documents to piece ids: five stages, each written as Parquet and read again as the next one's input.
+
+Every stage reads the columns of documents only, so others cannot clash, and gives an empty table for an empty one.
+Its docstring says what it does with nulls, empty texts and repeated rows. Texts of any length are read whole.
+"""
 
 from __future__ import annotations
 
@@ -18,30 +22,50 @@ LEAST_QUALITY = 0.3
 
 
 def language_id(spark, docs, sf_dir):
-    """Texts without letters, and those whose n-grams are hardly known in any language, go."""
+    """Texts without letters, and those whose n-grams are hardly known in any language, go.
+
+    Null and empty texts have no letter and go. Null ids and repeated rows are judged like any others, by text alone;
+    languages that tie are told apart by code point. With no language in docs nothing can be judged and all go."""
     got = langid.predict(docs.select(*COLUMNS), language_model(docs))
     return got.where((F.col("lang_pred") != "und") & (F.col("lang_hits") >= LEAST_HITS)).select(*COLUMNS)
 
 
 def quality_classifier(spark, docs, sf_dir):
-    """Texts that are scored below LEAST_QUALITY go."""
+    """Texts that are scored below LEAST_QUALITY go.
+
+    Null and empty texts are scored like others, on their structure alone; null ids and repeated rows by text alone. A
+    score equal to the limit stays. Without labels every score is one half and all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.score(docs.select(*COLUMNS), quality_model(docs, labels)).where(F.col("quality_score") >= LEAST_QUALITY).select(*COLUMNS)
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Of each component of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays.
+
+    One row of it: where an id is null or repeated, rows are numbered, and of rows with the smallest id one stays, ids
+    before nulls. Texts that are null or have no word are linked with nothing and stay. Ids decide ties."""
+    d = docs.select(*COLUMNS)
+    if d.where("doc_id is null").isEmpty() and d.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = near_duplicates(d).where("not kept").select("doc_id").distinct()
+        return d.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = keep(d.withColumn("nth", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, id_col="nth").select("nth", "component_id").join(rows.select("nth", "doc_id"), "nth")
+    stays = found.groupBy("component_id").agg(F.min_by("nth", F.struct(F.col("doc_id").isNull(), "doc_id", "nth")).alias("nth"))
+    return rows.join(stays, "nth", "left_semi").select(*COLUMNS)
 
 
 def mixing(spark, docs, sf_dir):
-    """Documents are repeated or left out so that sources come near their target shares."""
+    """Documents are repeated or left out so that sources come near their target shares.
+
+    A null source is a source of its own. Null and empty texts have no words; they are repeated like others of their
+    source. Null ids and repeated rows are drawn like any others. Reruns agree."""
     return emit(docs.select(*COLUMNS), count_words(F.col("text")))
 
 
 def sentencepiece(spark, docs, sf_dir):
-    """Piece ids of every text, and whether they decode to it again."""
+    """Piece ids of every text, and whether they decode to it again.
+
+    Null text: nulls. Empty text: no ids. Null ids and repeated rows are encoded like any others."""
     return encoded(docs, ("lang", "source"))
 
 

@@ -11,9 +11,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, local runs), a new local one."""
+    """The folder in spark.checkpoint.dir; where that is unset and Spark runs on one machine (tests), a new local one.
+    On a cluster executors do not share local folders, so there the setting is needed."""
     root = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return root.rstrip("/")
 
