@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.text import U64, mix, unused
+from freshet.llm.text import U64, mix, release, unused
 from freshet.shared import small_batches
 
 #: Languages per 64-bit word of a cell; the sign bit is left free.
@@ -187,6 +187,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for texts in batches:
             langs, scores, rates = judge(texts.tolist(), own)
             yield pd.DataFrame({"lang": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float), "hits": pd.Series(rates, dtype=float)})
+        release()
 
     kept = docs.drop("lang_pred", "lang_score", "lang_hits")
     judged = unused(docs.columns, "judged")

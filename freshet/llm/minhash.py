@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freshet.llm.components import components
-from freshet.llm.text import U64, mix, shingles
+from freshet.llm.text import U64, mix, release, shingles
 from freshet.shared import drop, keep, small_batches
 
 COORDINATES, BANDS = 128, 32
@@ -74,6 +74,7 @@ def _fine_sketcher(k: int):
         for batch in batches:
             rows = [fine_bits(sketch(own, FINE)) if len(own := shingles(t, k)) else np.zeros(FINE // 64, np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["id", "fine"])
+        release()
 
     return run
 
@@ -96,6 +97,7 @@ def _sketcher(k: int):
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
                 ["id", "n", "key", "bands", "bits"],
             )
+        release()
 
     return run
 
@@ -296,5 +298,7 @@ def _verifier(limit: Threshold):
                 if common and limit.whole * common >= limit.part * (len(a) + len(b) - common):
                     hit.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit, pa.int64())), batch.column(1).take(pa.array(hit, pa.int64()))], ["a", "b"])
+        last.clear()
+        release()
 
     return run

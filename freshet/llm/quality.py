@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.text import U64, raw_bytes, span_hashes, spans
+from freshet.llm.text import U64, raw_bytes, release, span_hashes, spans
 from freshet.shared import small_batches
 
 
@@ -155,5 +155,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 block = np.stack([features(t, own.settings) for t in texts.iloc[at : at + 128]])
                 got[at : at + 128] = 1 / (1 + np.exp(-np.clip(raw_scores(block, own), -30, 30)))
             yield pd.Series(got)
+        release()
 
     return docs.drop("quality_score").withColumn("quality_score", run(F.col(text_col)))

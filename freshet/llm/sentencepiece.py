@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.text import U64, range_hashes
+from freshet.llm.text import U64, range_hashes, release
 from freshet.shared import small_batches
 
 MARK = "▁"
@@ -332,7 +332,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (<columns>, block) as compressed Arrow streams per block, sent on at 16 MB."""
+    """Rows (<columns>, block) as compressed Arrow streams per block, sent on at 8 MB."""
     held: dict[int, list[pa.RecordBatch]] = {}
     size = 0
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
@@ -354,11 +354,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in _runs(block[order]):
             held.setdefault(int(block[order[lo]]), []).append(rows.slice(lo, hi - lo))
         size += rows.nbytes
-        if size > 16 << 20:
+        if size > 8 << 20:
             yield sent()
             held, size = {}, 0
     if held:
         yield sent()
+    held = rows = b = None
+    release()
 
 
 def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
@@ -422,6 +424,8 @@ def _lister(shared, buckets: int):
                     known = np.sort(np.concatenate([known, own[new]]))
         if words:
             yield listed()
+        known = words = hashes = None
+        release()
 
     return run
 
@@ -491,6 +495,7 @@ def _sender(shared):
                 held, size = [], 0
         if size:
             yield flushed()
+        release()
 
     return run
 
@@ -542,7 +547,7 @@ def _assembler(shared, named: list[str], out_names: list[str]):
             ids = ids[~again]
         table = pa.concat_tables(tables)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=absent)
-        pa.default_memory_pool().release_unused()
+        release()
         return pa.Table.from_arrays([*(table.column(c) for c in named), lists], names=out_names)
 
     return assemble

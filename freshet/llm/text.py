@@ -11,6 +11,18 @@ import numpy as np
 U64 = np.uint64
 
 
+def release() -> None:
+    """Give unused memory back to the system: Python workers outlive their stage, and what they hold counts."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def unused(columns: list[str], name: str) -> str:
     """A column name like the given one that the columns do not hold."""
     taken = {c.lower() for c in columns}
