@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import struct
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -291,8 +291,9 @@ def _viterbi() -> F.Column:
         {back})""")
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = (), blocks: int | None = None) -> DataFrame:
-    """(<id_col>, <keep_cols...>, piece_ids array<int>) of every row.
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = (), blocks: int | None = None, verify: bool = False) -> DataFrame:
+    """(<id_col>, <keep_cols...>, piece_ids array<int>) of every row; with verify also decodes, whether the ids decode to
+    the text again, with spaces for space marks and as many spaces as the model keeps (null for a null text).
 
     - Null text: null ids. Empty text: no ids. Characters without a piece: byte pieces; in models without those the
       unknown id, once for a run.
@@ -327,8 +328,8 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     coded = lattice(words, pieces, ("h",), "refs").select("refs", "word", "marks")
     back = coded.mapInArrow(_sender(shared), "block int, at binary, sizes binary, ids binary")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    made = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "piece_ids array<int>"])
-    return packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_assembler(shared, named, [*kept, "piece_ids"]), made)
+    made = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "piece_ids array<int>", *(["decodes boolean"] if verify else [])])
+    return packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_assembler(shared, named, [*kept, "piece_ids", *(["decodes"] if verify else [])], verify), made)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -500,7 +501,7 @@ def _sender(shared):
     return run
 
 
-def _assembler(shared, named: list[str], out_names: list[str]):
+def _assembler(shared, named: list[str], out_names: list[str], verify: bool):
     def assemble(texts: pa.Table, codes: pa.Table) -> pa.Table:
         p = shared.value
         cutter = Cutter(p)
@@ -524,7 +525,6 @@ def _assembler(shared, named: list[str], out_names: list[str]):
                 sizes[place], starts[place] = len(ids), total
                 flat.append(ids)
                 total += len(ids)
-        tables = [t.drop_columns(["text"]) for t in tables]
         flat = np.concatenate(flat)
         spans = [np.searchsorted(known, h).astype(np.int32) for h in spans]
         del known
@@ -545,10 +545,19 @@ def _assembler(shared, named: list[str], out_names: list[str]):
             again[offsets[:-1][lengths > 0]] = False
             offsets = offsets - np.concatenate([[0], np.cumsum(again)])[offsets]
             ids = ids[~again]
-        table = pa.concat_tables(tables)
+        more, first = [], 0
+        if verify:
+            text_of, same = _decoder(p), []
+            for t in tables:
+                at = offsets[first : first + len(t) + 1]
+                got = text_of(ids[at[0] : at[-1]], at - at[0]).to_pylist()
+                same += [x == y.replace(MARK, " ")[int(p.add_prefix) :] for x, y in zip(got, _normal(t, p), strict=True)]
+                first += len(t)
+            more = [pc.if_else(absent, pa.scalar(None, pa.bool_()), pa.array(same, pa.bool_()))]
+        table = pa.concat_tables([t.drop_columns(["text"]) for t in tables])
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=absent)
         release()
-        return pa.Table.from_arrays([*(table.column(c) for c in named), lists], names=out_names)
+        return pa.Table.from_arrays([*(table.column(c) for c in named), lists, *more], names=out_names)
 
     return assemble
 
@@ -574,32 +583,43 @@ def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "piece_ids", out_col:
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        p = shared.value
-        n = max([*(i for _, i, _ in p.rows), *p.byte_ids, p.unknown]) + 1
-        # the second half is for the first piece of a text, which loses the mark that encoding put in front
-        raw = [" ⁇ ".encode()] * (2 * n)
-        for x, i, _ in p.rows:
-            raw[i] = x.replace(MARK, " ").encode()
-            raw[n + i] = raw[i][1:] if p.add_prefix and x.startswith(MARK) else raw[i]
-        for value, i in enumerate(p.byte_ids):
-            raw[i] = raw[n + i] = bytes([value])
-        whole = pa.array(raw, pa.binary())
+        text_of = _decoder(shared.value)
         for part in batches:
             offsets = part.offsets.to_numpy().astype(np.int64)
-            ids = part.values.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            ids = np.where((ids < 0) | (ids >= n), p.unknown, ids)
-            ids[offsets[:-1][np.diff(offsets) > 0]] += n
-            taken = whole.take(pa.array(ids))
-            ends = np.frombuffer(taken.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
-            cuts = ends[offsets]
-            valid = None if not part.null_count else pa.array(part.is_valid().to_numpy(zero_copy_only=False))
-            text = pa.StringArray.from_buffers(len(part), pa.py_buffer(cuts.tobytes()), taken.buffers()[2] if len(ids) else pa.py_buffer(b""))
-            try:
-                text.validate(full=True)
-            except pa.ArrowInvalid:
-                data = (taken.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
-                text = pa.array([data[a:e].decode("utf-8", "replace") for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string())
-            yield text if valid is None else pc.if_else(valid, text, pa.scalar(None, pa.string()))
+            ids = part.values.fill_null(-1).to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            text = text_of(ids, offsets - offsets[0])
+            yield pc.if_else(part.is_valid(), text, pa.scalar(None, pa.string())) if part.null_count else text
+        release()
 
     return rows.withColumn(out_col, run(F.col(ids_col)))
+
+
+def _decoder(p: Pieces) -> Callable[[np.ndarray, np.ndarray], pa.StringArray]:
+    """A function from ids, and where those of each text begin and end, to the texts."""
+    n = max([*(i for _, i, _ in p.rows), *p.byte_ids, p.unknown]) + 1
+    # the second half is for the first piece of a text, which loses the mark that encoding put in front
+    raw = [" ⁇ ".encode()] * (2 * n)
+    for x, i, _ in p.rows:
+        raw[i] = x.replace(MARK, " ").encode()
+        raw[n + i] = raw[i][1:] if p.add_prefix and x.startswith(MARK) else raw[i]
+    for value, i in enumerate(p.byte_ids):
+        raw[i] = raw[n + i] = bytes([value])
+    whole = pa.array(raw, pa.binary())
+
+    def text_of(ids: np.ndarray, offsets: np.ndarray) -> pa.StringArray:
+        if not len(ids):
+            return pa.array([""] * (len(offsets) - 1), pa.string())
+        ids = np.where((ids < 0) | (ids >= n), p.unknown, ids).astype(np.int64)
+        ids[offsets[:-1][np.diff(offsets) > 0]] += n
+        taken = whole.take(pa.array(ids))
+        cuts = np.frombuffer(taken.buffers()[1], np.int32)[: len(ids) + 1][offsets]
+        data = taken.buffers()[2] or pa.py_buffer(b"")
+        text = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.tobytes()), data)
+        try:
+            text.validate(full=True)
+        except pa.ArrowInvalid:
+            raw_text = data.to_pybytes()
+            text = pa.array([raw_text[a:e].decode("utf-8", "replace") for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string())
+        return text
+
+    return text_of

@@ -1,28 +1,31 @@
-"""op3: the piece ids of all documents, and whether they decode to the text again."""
+"""op3: the piece ids of all documents, and whether they decode to the text again; the same of the unigram form."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.llm.sentencepiece import Pieces, decode, encode
+from freshet.llm.sentencepiece import UNIGRAM, Pieces, changed, encode
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def encoded(docs, keep_cols=(), model=MODEL):
+def encoded(docs, keep_cols=(), pieces=None):
     """(doc_id, <keep_cols...>, n_pieces, piece_ids, decodes) of documents; nulls for a null text. A text that holds
     the space mark itself decodes to spaces there, as in the library, and is compared so."""
-    pieces = Pieces.load(model)
-    mark = F.crc32(F.encode(F.translate("text", "▁", " "), "UTF-8"))
-    back = decode(encode(docs.withColumn("_crc32", mark), pieces, keep_cols=(*keep_cols, "_crc32")), pieces)
-    whole = F.crc32(F.encode("decoded", "UTF-8")).eqNullSafe(F.col("_crc32"))
+    out = encode(docs, pieces or Pieces.load(MODEL), keep_cols=keep_cols, verify=True)
     n = F.when(F.col("piece_ids").isNotNull(), F.size("piece_ids"))
-    return back.select("doc_id", *keep_cols, n.alias("n_pieces"), "piece_ids", whole.alias("decodes"))
+    return out.select("doc_id", *keep_cols, n.alias("n_pieces"), "piece_ids", "decodes")
 
 
 def op3_sentencepiece(spark, sf_dir):
     return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op3_sentencepiece": op3_sentencepiece}
+def unigram_pieces(spark, sf_dir):
+    """The same vocabulary read as a unigram model: the fold is Viterbi over the pieces' scores."""
+    pieces = Pieces.of(changed(Pieces.load(MODEL).model, kind=UNIGRAM))
+    return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), pieces=pieces)
+
+
+QUERIES = {"op3_sentencepiece": op3_sentencepiece, "unigram_pieces": unigram_pieces}
 ORACLES: dict[str, str] = {}
