@@ -57,12 +57,14 @@ def points_in_shapes(points: DataFrame, edges: DataFrame, step: float = 0.1) ->
     """(point columns, shape_id) for every shape that holds the point by the even-odd rule over all its rings.
 
     Points and edges are joined on the grid row of the latitude; the crossing test is strict on one side, so a
-    point on a shared border belongs to one side only. Counts combine before the final shuffle."""
-    p = points.withColumn("row", grid_key("lat", step))
+    point on a shared border belongs to one side only. Counts combine before the final shuffle. Equal point rows are
+    tested once and come back as often as they were given."""
+    p = points.groupBy(*points.columns).agg(F.count("*").alias("_n")).withColumn("row", grid_key("lat", step))
     j = p.join(rows_of(edges.drop("seq"), step), "row")
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
     hit = j.where((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))).where(crosses)
-    return hit.groupBy(*points.columns, "shape_id").agg(F.count("*").alias("_c")).where("_c % 2 = 1").drop("_c")
+    held = hit.groupBy(*points.columns, "shape_id", "_n").agg(F.count("*").alias("_c")).where("_c % 2 = 1")
+    return held.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_c", "_n", "_i")
 
 
 def first_shape(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -106,13 +108,18 @@ def contamination(cells: DataFrame, points: DataFrame, step: float) -> DataFrame
 
 
 def near(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """Pairs within km, with the distance: the left side looks into the 3 x 3 grid cells around its own, whose
-    width is at least km at the highest latitude of the right side's band."""
-    lat_step, lon_step = km / 110.0, km / 95.0
-    grid = lambda df: df.withColumns({"gx": grid_key("lon", lon_step), "gy": grid_key("lat", lat_step)})
-    around = grid(left).withColumn("_dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("_dy", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-    around = around.withColumns({"gx": F.col("gx") + F.col("_dx"), "gy": F.col("gy") + F.col("_dy")}).drop("_dx", "_dy")
-    other = grid(right).withColumnsRenamed({"lon": "lon2", "lat": "lat2"})
+    """Pairs within km, with the distance: the left side looks into the 3 x 3 grid cells around its own. Cells are bands
+    of latitude, cut into equal parts that are at least as wide as km spans at the band's highest latitude and one band
+    more, so pairs meet at any latitude and across 180 degrees."""
+    lat_step = km / 110.0
+    top = F.least(F.lit(90.0), (F.greatest(F.abs("gy"), F.abs(F.col("gy") + 1)) + 1) * lat_step)
+    span = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sin(F.lit(km / (2 * EARTH_KM))) / F.cos(F.radians(top)))))
+    parts = F.greatest(F.lit(1), F.floor(360 / span))
+    cell = F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) * parts / 360)
+    band = grid_key("lat", lat_step)
+    around = left.withColumn("gy", F.explode(F.array(*[band + i for i in (-1, 0, 1)])))
+    around = around.withColumn("gx", F.explode(F.array_distinct(F.array(*[F.pmod(cell + i, parts) for i in (-1, 0, 1)]))))
+    other = right.withColumn("gy", band).withColumn("gx", F.pmod(cell, parts)).withColumnsRenamed({"lon": "lon2", "lat": "lat2"})
     return around.join(other, ["gx", "gy"]).withColumn("km", haversine_km("lon", "lat", "lon2", "lat2")).where(F.col("km") <= km).drop("gx", "gy")
 
 
