@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Ring:
-    """sectors + 2 * shards * salts bounds what the driver sees (load sums only), however many rows there are."""
+    """(sectors + 2 * shards * salts) * strips bounds what the driver sees (load sums only), however many rows there
+    are. strips: parts of a unit whose rows are numbered apart, so that many equal texts are not one task."""
 
     shards: int = 8
     nodes: int = 64
     slack: float = 0.002
     sectors: int = 4096
-    salts: int = 256
+    salts: int = 64
+    strips: int = 16
 
 
 def _point(name: str) -> int:
@@ -57,7 +59,7 @@ def assign(rows: DataFrame, key: F.Column, load: F.Column, order: tuple[str, ...
     loads count 0. A null key is a key. Equal rows are interchangeable. An empty table gives an empty table. Other
     columns keep their names and values.
 
-    Slots come from load counts per (sector, salt) and a row number within each, so no window spans a shard.
+    Slots come from row counts per (sector, salt, strip) and a row number within each, so no window spans a shard.
     """
     spark = rows.sparkSession
     named = [c for c in rows.columns if c not in ("shard", "slot")]
@@ -68,14 +70,18 @@ def assign(rows: DataFrame, key: F.Column, load: F.Column, order: tuple[str, ...
     hot = [r["key"] for r in by_key.where(F.col("load") * 2 * ring.shards > (1 + ring.slack) * total).select("key").collect()]
     sector = F.shiftrightunsigned(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - (ring.sectors.bit_length() - 1)).cast("int")
     salt = F.when(F.col("key").isin(hot), 1 + F.pmod("spread", F.lit(ring.salts))).otherwise(0) if hot else F.lit(0)
-    d = d.withColumns({"sector": sector, "salt": salt.cast("int")})
-    units = {(r["sector"], r["salt"]): (r["load"], r["n"]) for r in d.groupBy("sector", "salt").agg(F.sum("load").alias("load"), F.count("*").alias("n")).collect()}
-    shard_of = place({k: v[0] for k, v in units.items()}, ring)
+    d = d.withColumns({"sector": sector, "salt": salt.cast("int"), "strip": F.pmod(F.xxhash64(F.lit("strip"), "spread"), F.lit(ring.strips)).cast("int")})
+    parts = {(r["sector"], r["salt"], r["strip"]): (r["load"], r["n"]) for r in d.groupBy("sector", "salt", "strip").agg(F.sum("load").alias("load"), F.count("*").alias("n")).collect()}
+    units: dict[tuple[int, int], int] = {}
+    for (at, nth, _), (own, _) in parts.items():
+        units[at, nth] = units.get((at, nth), 0) + own
+    shard_of = place(units, ring)
     before, table = [0] * ring.shards, []
-    for k in sorted(units):
-        table.append((*k, shard_of[k], before[shard_of[k]]))
-        before[shard_of[k]] += units[k][1]
-    placed = spark.createDataFrame(table, "sector int, salt int, shard int, first long")
-    within = Window.partitionBy("sector", "salt").orderBy("order")
-    numbered = d.withColumn("nth", F.row_number().over(within)).join(F.broadcast(placed), ["sector", "salt"])
+    for k in sorted(parts):
+        shard = shard_of[k[:2]]
+        table.append((*k, shard, before[shard]))
+        before[shard] += parts[k][1]
+    placed = spark.createDataFrame(table, "sector int, salt int, strip int, shard int, first long")
+    within = Window.partitionBy("sector", "salt", "strip").orderBy("order")
+    numbered = d.withColumn("nth", F.row_number().over(within)).join(F.broadcast(placed), ["sector", "salt", "strip"])
     return numbered.select("row.*", "shard", (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"))
