@@ -31,6 +31,8 @@ MARK = "▁"
 LONGEST_WORD, SHORT = 4096, 62
 #: Bytes of text of a block. Larger blocks repeat fewer words and take more memory in their task.
 BLOCK = 8 << 20
+#: Shuffle partitions at most; beyond that a partition holds several blocks or buckets, one after the other.
+PARTITIONS = 20_000
 #: Bytes of text per word bucket: the edges of one bucket are sorted in memory.
 BUCKET = 8 << 20
 #: Characters that are cut at a time.
@@ -291,7 +293,7 @@ def _viterbi() -> F.Column:
         {back})""")
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = (), blocks: int | None = None, verify: bool = False) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = (), blocks: int | None = None, verify: bool = False, block_bytes: int = BLOCK) -> DataFrame:
     """(<id_col>, <keep_cols...>, piece_ids array<int>) of every row; with verify also decodes, whether the ids decode to
     the text again, with spaces for space marks and as many spaces as the model keeps (null for a null text).
 
@@ -302,7 +304,8 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     - A text may have any length. Words of over LONGEST_WORD characters, that is runs without any cut, are encoded by
       the model itself, once per block.
 
-    Texts go compressed, by a hash of their id, into blocks of about 8 MB; that is their only shuffle. Each block
+    Texts go compressed, by a hash of their id, into blocks of about block_bytes (or into so many blocks); that is
+    their only shuffle. Each block
     lists its distinct words, the words are brought together once for the lattice, and every block gets back the codes
     of its own words by their place in its list. A block has one dictionary, never the whole vocabulary of the
     corpus. In a block words are told apart by 64-bit hashes, which are alike for two of a million with odds of 3e-8.
@@ -314,14 +317,14 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     d = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, named, strict=True)], F.col(text_col).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if blocks is None:
-        blocks = max(1, -(-size // BLOCK))
+        blocks = max(1, -(-size // block_bytes))
     buckets = max(1, -(-size // BUCKET))
     spread = F.xxhash64(*named, F.when(F.col("c0").isNull(), F.col("text")))
     d = d.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int"))
     shared = spark.sparkContext.broadcast(pieces)
 
-    packed = d.mapInArrow(_pack, "block int, z binary").repartition(blocks, "block")
-    lists = packed.sortWithinPartitions("block").mapInArrow(_lister(shared, buckets), "h int, block int, first int, words string").repartition(buckets, "h")
+    packed = d.mapInArrow(_pack, "block int, z binary").repartition(min(blocks, PARTITIONS), "block")
+    lists = packed.sortWithinPartitions("block").mapInArrow(_lister(shared, buckets), "h int, block int, first int, words string").repartition(min(buckets, PARTITIONS), "h")
     listed = lists.select("h", "block", "first", F.posexplode(F.split("words", pieces.separator)).alias("i", "word")).where("word <> ''")
     ref = F.expr("shiftleft(cast(block as bigint), 32) + first + i")
     words = listed.select("h", "word", ref.alias("ref")).groupBy("word", "h").agg(F.collect_list("ref").alias("refs"))

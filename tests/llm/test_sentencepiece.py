@@ -3,6 +3,7 @@ import struct
 
 import pytest
 import sentencepiece
+from freshet.llm import sentencepiece as module
 from freshet.llm.sentencepiece import BPE, UNIGRAM, Pieces, _fields, changed, decode, encode
 from freshet.llm.sentencepiece_queries import MODEL
 
@@ -58,6 +59,17 @@ def test_blocks_and_clashing_columns(spark):
             assert r["text"] == "z" and r["piece_ids"] == library.encode(texts[r["block"]])
 
 
+def test_partitions_with_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(module, "PARTITIONS", 2)
+    texts, df = rows(spark)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = encode(df, Pieces.load(MODEL), verify=True, block_bytes=20_000).collect()
+    assert len(got) == len(texts) + 3
+    for r in got:
+        if r["doc_id"] is not None and r["doc_id"] != 999:
+            assert r["decodes"] and r["piece_ids"] == library.encode(texts[r["doc_id"]])
+
+
 def test_decode_of_foreign_ids(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     cases = [[], [259], [3 + 0xE4], [3 + 0xE6, 3 + 0xBC, 3 + 0xA2], [0, 300, 0]]
