@@ -19,6 +19,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text is rejected as no language if the filter of its best language holds fewer of its n-grams than this part.
 LEAST_HITS = 0.35
 LEAST_QUALITY = 0.3
+#: Bytes of text that one task encodes at a time; executors that ran the stages before have less memory left.
+BLOCK_BYTES = 2 << 20
 
 
 def language_id(spark, docs, sf_dir):
@@ -66,7 +68,7 @@ def sentencepiece(spark, docs, sf_dir):
     """Piece ids of every text, and whether they decode to it again.
 
     Null text: nulls. Empty text: no ids. Null ids and repeated rows are encoded like any others."""
-    return encoded(docs, ("lang", "source"))
+    return encoded(docs, ("lang", "source"), block_bytes=BLOCK_BYTES)
 
 
 STAGES = [
