@@ -6,8 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words dropped when river names are compared, and abbreviations of institution names.
-RIVER_NOISE = ("river", "nadi", "noi", "channel")
-ABBREVIATIONS = {"lp": "lower primary", "me": "middle english", "hs": "higher secondary", "govt": "government", "vill": "village"}
+RIVER_NOISE = ("river", "nadi", "nadee", "nodi", "jan", "suti", "beel")
+ABBREVIATIONS = {
+    "lp": "lower primary", "lps": "lower primary school", "me": "middle english", "mes": "middle english school", "hs": "high school",
+    "hss": "higher secondary school", "ghs": "government high school", "mv": "middle vernacular",
+}
 
 
 def slug(name: Column, fallback: str = "unknown") -> Column:
@@ -27,10 +30,10 @@ def tokens(name: Column) -> Column:
     return F.regexp_extract_all(F.lower(name), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def expand(name: Column, table: dict[str, str]) -> Column:
-    """Tokens, each replaced by its long form if it has one."""
+def expand(name: Column, table: dict[str, str] = ABBREVIATIONS) -> Column:
+    """Tokens, each replaced by its long form if it has one. Dots are taken out first: "L.P." is "lp"."""
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.array_join(F.transform(tokens(name), lambda t: F.coalesce(F.try_element_at(pairs, t), t)), " ")
+    return F.array_join(F.transform(tokens(F.replace(name, F.lit("."), F.lit(""))), lambda t: F.coalesce(F.try_element_at(pairs, t), t)), " ")
 
 
 def fold_river(name: Column) -> Column:

@@ -85,16 +85,28 @@ def lag_year_fit(sweep: DataFrame, near: float = 0.02, least_pairs: int = 30) ->
     return g.select("up", "down", "year", "best_lag", F.round("best_corr", 6).alias("best_corr"), "near_low", "near_high", gain.alias("gain"), F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("eligible"))
 
 
-def lag_quality(fits: DataFrame, least_years: int = 2, spread: int = 10) -> DataFrame:
-    """Gates over the years of a pair and a recommendation."""
+def lag_quality(
+    fits: DataFrame, least_years: int = 3, least_corr: float = 0.35, corr_share: float = 0.7, stable: float = 12, stable_share: float = 0.7, most_iqr: float = 12, least_lead: float = 1, least_gain: float = 0.02,
+) -> DataFrame:
+    """Seven gates over the eligible years of a pair, the names of those that fail, and a recommendation: review only if
+    none does. The recommended lag is the years' median (null without an eligible year); lags, their spread and `stable`
+    share the unit of the sweep. Without an eligible year shares are 0 and every gate fails."""
     ok = F.col("eligible")
+    of = lambda c: F.when(ok, F.col(c))
     g = fits.groupBy("up", "down").agg(
-        F.count("*").alias("years"), F.count_if(ok).alias("eligible_years"), F.percentile(F.when(ok, F.col("best_lag")), F.lit(0.5)).alias("median_lag"),
-        (F.max(F.when(ok, F.col("best_lag"))) - F.min(F.when(ok, F.col("best_lag")))).alias("lag_spread"), F.round(F.median(F.when(ok, F.col("gain"))), 6).alias("median_gain"),
+        F.count("*").alias("years"), F.count_if(ok).alias("eligible_years"), F.percentile(of("best_lag"), F.lit(0.5)).alias("recommended_lag"), F.min(of("best_lag")).alias("lowest_lag"), F.max(of("best_lag")).alias("highest_lag"),
+        (F.percentile(of("best_lag"), F.lit(0.75)) - F.percentile(of("best_lag"), F.lit(0.25))).alias("lag_iqr"), F.round(F.median(of("best_corr")), 6).alias("median_corr"), F.round(F.median(of("gain")), 6).alias("median_gain"),
+        F.count_if(ok & (F.col("best_corr") >= least_corr)).alias("_corr"), F.collect_list(of("best_lag")).alias("_lags"),
     )
-    gates = [F.col("eligible_years") >= least_years, F.coalesce(F.col("lag_spread") <= spread, F.lit(False)), F.coalesce(F.col("median_gain") > 0, F.lit(False))]
-    passed = sum(g_.cast("int") for g_ in gates)
-    return g.withColumn("gates_passed", passed).withColumn("recommendation", F.when(passed == len(gates), "review").otherwise("reject"))
+    share = lambda n: F.coalesce(F.try_divide(n, F.col("eligible_years")), F.lit(0.0))
+    g = g.withColumns({"_corr": share(F.col("_corr")), "_stable": share(F.size(F.filter("_lags", lambda x: F.abs(x - F.col("recommended_lag")) <= stable)))})
+    gates = {
+        "enough_completed_years": F.col("eligible_years") >= least_years, "median_correlation": F.col("median_corr") >= least_corr, "correlated_year_fraction": F.col("_corr") >= corr_share,
+        "lag_iqr": F.col("lag_iqr") <= most_iqr, "stable_year_fraction": F.col("_stable") >= stable_share, "positive_lead_time": F.col("recommended_lag") >= least_lead, "improves_on_zero_lag": F.col("median_gain") >= least_gain,
+    }
+    failed = F.concat_ws(",", *[F.when(~F.coalesce(passes, F.lit(False)), name) for name, passes in gates.items()])
+    g = g.withColumns({"failed": failed, "correlated_share": F.round("_corr", 6), "stable_share": F.round("_stable", 6)})
+    return g.drop("_corr", "_lags", "_stable").withColumn("recommendation", F.when(F.col("failed") == "", "review").otherwise("reject"))
 
 
 def rise_events(changes: DataFrame, least: float, apart: Column) -> DataFrame:

@@ -120,9 +120,14 @@ def lag_year_fit(spark, d):
     return h.lag_year_fit(_sweep(spark, d))
 
 
-@query("lag_quality", with_views(f"""SELECT *, CASE WHEN gates_passed = 3 THEN 'review' ELSE 'reject' END AS recommendation FROM (SELECT *, CAST(eligible_years >= 2 AS INTEGER) + CAST(coalesce(lag_spread <= 10, false) AS INTEGER) + CAST(coalesce(median_gain > 0, false) AS INTEGER) AS gates_passed FROM (
- SELECT up, down, count(*) AS years, count(*) FILTER (eligible) AS eligible_years, quantile_cont(CAST(best_lag AS DOUBLE), 0.5) FILTER (eligible) AS median_lag, max(best_lag) FILTER (eligible) - min(best_lag) FILTER (eligible) AS lag_spread,
-  round(median(gain) FILTER (eligible), 6) AS median_gain FROM ({_FIT}) GROUP BY 1, 2))""", "v_daily"))
+@query("lag_quality", with_views(f"""SELECT *, CASE WHEN failed = '' THEN 'review' ELSE 'reject' END AS recommendation FROM (
+ SELECT up, down, years, eligible_years, recommended_lag, lowest_lag, highest_lag, lag_iqr, median_corr, median_gain, round(corr_part, 6) AS correlated_share, round(stable_part, 6) AS stable_share, concat_ws(',',
+  CASE WHEN eligible_years < 3 THEN 'enough_completed_years' END, CASE WHEN NOT coalesce(median_corr >= 0.35, false) THEN 'median_correlation' END, CASE WHEN corr_part < 0.7 THEN 'correlated_year_fraction' END, CASE WHEN NOT coalesce(lag_iqr <= 12, false) THEN 'lag_iqr' END,
+  CASE WHEN stable_part < 0.7 THEN 'stable_year_fraction' END, CASE WHEN NOT coalesce(recommended_lag >= 1, false) THEN 'positive_lead_time' END, CASE WHEN NOT coalesce(median_gain >= 0.02, false) THEN 'improves_on_zero_lag' END) AS failed
+ FROM (SELECT *, coalesce(n_corr / nullif(eligible_years, 0), 0.0) AS corr_part, coalesce(len(list_filter(lags, lambda x: abs(x - recommended_lag) <= 12)) / nullif(eligible_years, 0), 0.0) AS stable_part FROM (
+  SELECT up, down, count(*) AS years, count(*) FILTER (eligible) AS eligible_years, quantile_cont(CAST(best_lag AS DOUBLE), 0.5) FILTER (eligible) AS recommended_lag, min(best_lag) FILTER (eligible) AS lowest_lag, max(best_lag) FILTER (eligible) AS highest_lag,
+   quantile_cont(CAST(best_lag AS DOUBLE), 0.75) FILTER (eligible) - quantile_cont(CAST(best_lag AS DOUBLE), 0.25) FILTER (eligible) AS lag_iqr, round(median(best_corr) FILTER (eligible), 6) AS median_corr, round(median(gain) FILTER (eligible), 6) AS median_gain,
+   count(*) FILTER (eligible AND best_corr >= 0.35) AS n_corr, list(best_lag) FILTER (eligible) AS lags FROM ({_FIT}) GROUP BY 1, 2)))""", "v_daily"))
 def lag_quality(spark, d):
     return h.lag_quality(h.lag_year_fit(_sweep(spark, d)))
 
