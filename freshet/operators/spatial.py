@@ -6,9 +6,13 @@ runs only on neighbours; nothing is compared all against all.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.shared import keep
+
 EARTH_KM = 6371.0
 
 
@@ -29,11 +33,13 @@ def grid_key(value: Column | str, step: float) -> Column:
 
 
 def vertex_edges(vertices: DataFrame) -> DataFrame:
-    """Edges of closed rings: each vertex and its successor, the last one with the first."""
-    w = Window.partitionBy("shape_id").orderBy("seq")
+    """Edges of closed rings: each vertex and its successor, the last one with the first. A shape with holes or parts has
+    its rings told apart by a column ring_no, which the edges keep; without that column a shape is one ring."""
+    ring = ["shape_id", "ring_no"] if "ring_no" in vertices.columns else ["shape_id"]
+    w = Window.partitionBy(*ring).orderBy("seq")
     full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(full))
-    return vertices.select("shape_id", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), nxt("x").alias("x2"), nxt("y").alias("y2"))
+    return vertices.select(*ring, "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), nxt("x").alias("x2"), nxt("y").alias("y2"))
 
 
 def ring_area(edges: DataFrame) -> DataFrame:
@@ -60,7 +66,7 @@ def points_in_shapes(points: DataFrame, edges: DataFrame, step: float = 0.1) ->
     point on a shared border belongs to one side only. Counts combine before the final shuffle. Equal point rows are
     tested once and come back as often as they were given."""
     p = points.groupBy(*points.columns).agg(F.count("*").alias("_n")).withColumn("row", grid_key("lat", step))
-    j = p.join(rows_of(edges.drop("seq"), step), "row")
+    j = p.join(rows_of(edges.drop("seq", "ring_no"), step), "row")
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
     hit = j.where((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))).where(crosses)
     held = hit.groupBy(*points.columns, "shape_id", "_n").agg(F.count("*").alias("_c")).where("_c % 2 = 1")
@@ -129,6 +135,33 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km:
     return left.select(left_id).join(best, left_id, "left").select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.km").alias("km"))
 
 
+def nearest_any(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km: float) -> DataFrame:
+    """Nearest right row of each left row at whatever distance (equal distances: smaller id): rows that find none within km
+    look again four times as far, up to half the globe. Null only where left has no coordinates or right is empty."""
+    found, rest, half = None, left.where("lon is not null and lat is not null"), math.pi * EARTH_KM
+    if right.isEmpty():
+        rest, half = rest.limit(0), 0.0
+    while True:
+        got = keep(nearest(rest, right, left_id, right_id, km), "nearest")
+        hit = got.where("km is not null")
+        found = hit if found is None else found.unionByName(hit)
+        rest = rest.join(got.where("km is null").select(left_id), left_id, "left_semi")
+        if km > half or got.where("km is null").isEmpty():
+            return left.select(left_id).join(found, left_id, "left")
+        km *= 4
+
+
+def assigned_distance(left: DataFrame, right: DataFrame, left_id: str, right_id: str, assigned: str, km: float = 60, far: float = 60, margin: float = 25) -> DataFrame:
+    """Distance to the assigned right row and to the nearest one, and two marks: assigned beyond `far` km, and another row
+    nearer by more than `margin` km. Without an assigned row, or one without coordinates, its distance is null and neither
+    mark is set."""
+    own = right.select(F.col(right_id).alias(assigned), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    a = left.join(own, assigned, "left").withColumn("assigned_km", F.round(haversine_km("lon", "lat", "lon2", "lat2"), 6)).select(left_id, assigned, "assigned_km")
+    out = a.join(nearest_any(left, right, left_id, right_id, km).withColumnRenamed("km", "nearest_km"), left_id)
+    much = F.coalesce((F.col(right_id) != F.col(assigned)) & (F.col("assigned_km") - F.col("nearest_km") > margin), F.lit(False))
+    return out.withColumns({"far": F.coalesce(F.col("assigned_km") > far, F.lit(False)), "much_nearer": much})
+
+
 def coherent(points: DataFrame, key: str, km: float) -> DataFrame:
     """Keys whose points mostly lie within km of their median point, with the centre of those."""
     mid = points.groupBy(key).agg(F.median("lon").alias("mlon"), F.median("lat").alias("mlat"), F.count("*").alias("n"))

@@ -42,15 +42,15 @@ def _pointers(spark, d):
     return p.newest(_rev(spark, d).where(F.col("publication_state").isin(*p.PUBLISHABLE)), ["entity_id"]).select("entity_id", "revision_id", "report_date")
 
 
-@query("pointer_read", with_views(f"SELECT entity_id, revision_id, metric FROM ({_VALID}) WHERE entity_id % 3 = 0", "v_revisions"))
+@query("pointer_read", with_views(f"SELECT entity_id, revision_id, metric FROM ({_VALID})", "v_revisions"))
 def pointer_read(spark, d):
-    return p.read_through(_pointers(spark, d).where("entity_id % 3 = 0").select("entity_id", "revision_id"), _rev(spark, d).drop("report_date")).select("entity_id", "revision_id", "metric")
+    return p.read_through(_pointers(spark, d).select("entity_id", "revision_id"), _rev(spark, d).drop("report_date")).select("entity_id", "revision_id", "metric")
 
 
 @query("pointer_read_all")
 def pointer_read_all(spark, d):
-    """pointer_read through every pointer; that query and its SQL follow a third of them."""
-    return p.read_through(_pointers(spark, d).select("entity_id", "revision_id"), _rev(spark, d).drop("report_date")).select("entity_id", "revision_id", "metric")
+    """The same as pointer_read, under its earlier name."""
+    return pointer_read(spark, d)
 
 
 @query("pointer_verify", with_views(f"""SELECT v.entity_id, v.revision_id, concat_ws(',', CASE WHEN r.revision_id IS NULL THEN 'missing' END, CASE WHEN r.publication_state = 'quarantined' THEN 'not_publishable' END, CASE WHEN r.report_date <> v.report_date THEN 'other_date' END) AS problems
@@ -149,20 +149,18 @@ def hierarchy_reconcile(spark, d):
     return g.select(F.coalesce("state", F.lit("*")).alias("state"), F.coalesce("district", F.lit("*")).alias("district"), "circles", "affected")
 
 
-@query("checkpoint_verify", with_views("""SELECT district, parts, CASE WHEN parts <> expected THEN 'not_applicable' WHEN abs(summed - total) <= 1e-6 THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT district, count(*) AS parts, sum(affected) AS summed FROM v_hierarchy WHERE circle % 50 <> 0 GROUP BY 1)
- JOIN (SELECT district, sum(affected) + CASE WHEN district LIKE '%3' THEN 1 ELSE 0 END AS total, count(*) - CASE WHEN district LIKE '%7' THEN 1 ELSE 0 END AS expected FROM v_hierarchy WHERE circle % 50 <> 0 GROUP BY 1) USING (district)""", "v_hierarchy"))
+@query("checkpoint_verify", with_views("""SELECT district, parts, CASE WHEN parts <> expected THEN 'not_applicable' WHEN abs(summed - total) <= 1e-6 THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT district, count(*) AS parts, sum(affected) AS summed FROM v_hierarchy GROUP BY 1)
+ JOIN (SELECT district, sum(affected) + CASE WHEN district LIKE '%3' THEN 1 ELSE 0 END AS total, count(*) - CASE WHEN district LIKE '%7' THEN 1 ELSE 0 END AS expected FROM v_hierarchy GROUP BY 1) USING (district)""", "v_hierarchy"))
 def checkpoint_verify(spark, d):
-    h = _hier(spark, d).where("circle % 50 <> 0")
+    h = _hier(spark, d)
     declared = h.groupBy("district").agg((F.sum("affected") + F.when(F.col("district").like("%3"), 1).otherwise(0)).alias("total"), (F.count("*") - F.when(F.col("district").like("%7"), 1).otherwise(0)).alias("expected"))
     return p.reconcile(h, declared, "district", "affected", "total", "expected")
 
 
 @query("checkpoint_verify_all")
 def checkpoint_verify_all(spark, d):
-    """checkpoint_verify with every circle, on both sides; that query and its SQL leave out each fiftieth."""
-    h = _hier(spark, d)
-    declared = h.groupBy("district").agg((F.sum("affected") + F.when(F.col("district").like("%3"), 1).otherwise(0)).alias("total"), (F.count("*") - F.when(F.col("district").like("%7"), 1).otherwise(0)).alias("expected"))
-    return p.reconcile(h, declared, "district", "affected", "total", "expected")
+    """The same as checkpoint_verify, under its earlier name."""
+    return checkpoint_verify(spark, d)
 
 
 _LINES = "SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS parts, min(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1"

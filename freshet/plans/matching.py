@@ -33,34 +33,37 @@ def alias_join(spark, d):
     return m.alias_lookup(names, "n", aliases).select("locality_id", "id")
 
 
-@query("unique_claimant", "SELECT p_name AS k, min(p_brand) AS owner, count(*) AS parts FROM part WHERE p_size < 3 GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
+@query("expand_institutions", """SELECT p_partkey, concat(list_extract(['lower primary', 'lower primary school', 'middle english', 'middle english school', 'high school', 'higher secondary school', 'government high school', 'middle vernacular'], CAST(p_partkey % 8 + 1 AS INTEGER)), ' ', regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS expanded FROM part""")
+def expand_institutions(spark, d):
+    """Every name behind one of the abbreviations, every second time with dots."""
+    short = F.element_at(F.array(*[F.lit(a) for a in ("L.P.", "lps", "M.E.", "mes", "H.S.", "hss", "G.H.S.", "mv")]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", t.expand(F.concat(short, F.lit(" "), "p_name")).alias("expanded"))
+
+
+@query("unique_claimant", "SELECT p_name AS k, min(p_brand) AS owner, count(*) AS parts FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
 def unique_claimant(spark, d):
-    rows = table(spark, d, "part").where("p_size < 3").select(F.col("p_name").alias("k"), F.col("p_brand").alias("owner"))
+    rows = table(spark, d, "part").select(F.col("p_name").alias("k"), F.col("p_brand").alias("owner"))
     return m.unique_claims(rows, "k", "owner").groupBy("k").agg(F.min("owner").alias("owner"), F.count("*").alias("parts"))
 
 
 @query("unique_claimant_all")
 def unique_claimant_all(spark, d):
-    """unique_claimant over all parts; that query and its SQL see the claims of two sizes only."""
-    rows = table(spark, d, "part").select(F.col("p_name").alias("k"), F.col("p_brand").alias("owner"))
-    return m.unique_claims(rows, "k", "owner").groupBy("k").agg(F.min("owner").alias("owner"), F.count("*").alias("parts"))
+    """The same as unique_claimant, under its earlier name."""
+    return unique_claimant(spark, d)
 
 
-@query("tiered_match", """WITH l AS (SELECT p_partkey AS id, p_name AS n, p_brand AS b FROM part WHERE p_size < 10), r AS (SELECT p_partkey AS rid, p_name AS n, p_brand AS b FROM part WHERE p_size > 47),
-j AS (SELECT id, (SELECT count(*) FROM r WHERE r.n = l.n) AS names, (SELECT count(*) FROM r WHERE r.n = l.n AND r.b = l.b) AS same, (SELECT min(rid) FROM r WHERE r.n = l.n) AS one, (SELECT min(rid) FROM r WHERE r.n = l.n AND r.b = l.b) AS ex FROM l)
-SELECT id, CASE WHEN same = 1 THEN 'matched' WHEN same > 1 THEN 'ambiguous' WHEN names = 1 THEN 'other_district' WHEN names > 1 THEN 'ambiguous' ELSE 'unresolved' END AS state, CASE WHEN same = 1 THEN ex WHEN same = 0 AND names = 1 THEN one END AS rid FROM j""")
+@query("tiered_match", """SELECT p_partkey AS id, CASE WHEN same = 1 THEN 'matched' WHEN same > 1 THEN 'ambiguous' WHEN names = 1 THEN 'other_district' WHEN names > 1 THEN 'ambiguous' ELSE 'unresolved' END AS state, CASE WHEN same = 1 THEN ex WHEN same IS NULL AND names = 1 THEN one END AS rid
+FROM (SELECT p_partkey, p_name AS n, p_brand AS b FROM part) LEFT JOIN (SELECT p_name AS n, count(*) AS names, min(p_partkey) AS one FROM part GROUP BY 1) USING (n) LEFT JOIN (SELECT p_name AS n, p_brand AS b, count(*) AS same, min(p_partkey) AS ex FROM part GROUP BY 1, 2) USING (n, b)""")
 def tiered_match(spark, d):
-    p = table(spark, d, "part")
-    left = p.where("p_size < 10").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("n"), F.col("p_brand").alias("b"))
-    right = p.where("p_size > 47").select(F.col("p_partkey").alias("rid"), F.col("p_name").alias("n"), F.col("p_brand").alias("b"))
-    return m.tiered(left, right, "n", "b")
+    """All parts against all parts by name and brand."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("n"), F.col("p_brand").alias("b"))
+    return m.tiered(p, p.withColumnRenamed("id", "rid"), "n", "b")
 
 
 @query("tiered_match_all")
 def tiered_match_all(spark, d):
-    """All parts against all parts by name and brand; tiered_match and its SQL match slices by size."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("n"), F.col("p_brand").alias("b"))
-    return m.tiered(p, p.withColumnRenamed("id", "rid"), "n", "b")
+    """The same as tiered_match, under its earlier name."""
+    return tiered_match(spark, d)
 
 
 @query("fuzzy_block_match")

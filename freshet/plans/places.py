@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from freshet.operators import spatial as s
 from freshet.plans.bindings import view, with_views
 from freshet.plans.registry import query
+from freshet.shared import numbered
 
 BOX, STEP = (89.6, 24.0, 96.1, 28.5), 0.05
 _KM = "2 * 6371.0 * asin(sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)))"
@@ -184,13 +185,27 @@ def nearest_station(spark, d):
     return _nearest(spark, d).withColumn("far", F.col("km").isNull())
 
 
-@query("review_queue", with_views(f"SELECT locality_id, coalesce(km, 0) AS km, row_number() OVER (ORDER BY coalesce(km, 0) DESC, locality_id) AS place FROM v_localities LEFT JOIN ({_NEAREST}) USING (locality_id) ORDER BY place LIMIT 50", "v_localities", "v_points"))
-def review_queue(spark, d):
-    """Worst distances first; a top-k report, so rows are numbered after the cut."""
-    from pyspark.sql import Window
+_ANY = f"SELECT locality_id, arg_min(point_id, (km, point_id)) AS point_id, min(km) AS km FROM ({_NEAR}) GROUP BY 1"
+
+
+@query("nearest_any", with_views(_ANY, "v_localities", "v_points"))
+def nearest_any(spark, d):
+    """At whatever distance; the first look is at 1 km."""
+    return s.nearest_any(_places(spark, d).select("locality_id", "lon", "lat"), _stations(spark, d), "locality_id", "point_id", 1)
 
-    top = _nearest(spark, d).select("locality_id", F.coalesce("km", F.lit(0.0)).alias("km")).orderBy(F.desc("km"), "locality_id").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("km"), "locality_id")))
+
+@query("assigned_distance", with_views(f"""SELECT l.locality_id, l.locality_id * 10 AS assigned_id, a.km AS assigned_km, n.point_id, n.km AS nearest_km, coalesce(a.km > 60, false) AS far, coalesce(n.point_id <> l.locality_id * 10 AND a.km - n.km > 25, false) AS much_nearer
+ FROM v_localities l LEFT JOIN ({_NEAR}) a ON a.locality_id = l.locality_id AND a.point_id = l.locality_id * 10 LEFT JOIN ({_ANY}) n ON n.locality_id = l.locality_id""", "v_localities", "v_points"))
+def assigned_distance(spark, d):
+    places = _places(spark, d).select("locality_id", "lon", "lat", (F.col("locality_id") * 10).alias("assigned_id"))
+    return s.assigned_distance(places, _stations(spark, d), "locality_id", "point_id", "assigned_id")
+
+
+@query("review_queue", with_views(f"SELECT locality_id, coalesce(km, 0) AS km, row_number() OVER (ORDER BY coalesce(km, 0) DESC, locality_id) AS place FROM v_localities LEFT JOIN ({_NEAREST}) USING (locality_id)", "v_localities", "v_points"))
+def review_queue(spark, d):
+    """The whole queue, worst distances first."""
+    queue = _nearest(spark, d).select("locality_id", F.coalesce("km", F.lit(0.0)).alias("km"))
+    return numbered(queue, "place", F.desc("km"), F.asc("locality_id"))
 
 
 @query("mapping_demote", with_views(f"""SELECT locality_id, point_id, CASE WHEN locality_id % 7 = 0 THEN 'reviewed' WHEN km IS NULL THEN 'unresolved' WHEN km > 25 THEN 'low' ELSE 'medium' END AS confidence FROM (SELECT l.locality_id, CASE WHEN l.locality_id % 7 = 0 THEN l.locality_id * 10 ELSE n.point_id END AS point_id, n.km FROM v_localities l LEFT JOIN ({_NEAREST}) n USING (locality_id))""", "v_localities", "v_points"))
