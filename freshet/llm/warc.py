@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from freshet.llm.components import components
+
 _HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DATE = "2024-01-01T00:00:00Z"
@@ -85,18 +87,19 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, per_file: int = 20_
     records.write.option("lineSep", _NL).option("compression", "gzip").option("maxRecordsPerFile", 3 * per_file).text(path)
 
 
-_RECORD = "record_id string, record_type string, target_uri string, concurrent_to string, refers_to string, payload_digest string, content_type string, http_head string, payload binary"
+_RECORD = "record_id string, record_type string, target_uri string, concurrent_to array<string>, refers_to string, payload_digest string, content_type string, http_head string, payload binary"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record. Blocks are cut by Content-Length, so payloads may hold anything, also record heads.
-    The block of an HTTP record is split into http_head and payload; of others it is all payload."""
+    The block of an HTTP record is split into http_head and payload; of others it is all payload. concurrent_to holds every
+    WARC-Concurrent-To of the record, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
         import io
 
-        schema = pa.schema([*((n, pa.string()) for n in _NAMES[:-1]), ("payload", pa.binary())])
+        schema = pa.schema([(n, {"concurrent_to": pa.list_(pa.string()), "payload": pa.binary()}.get(n, pa.string())) for n in _NAMES])
         for batch in batches:
             for content in batch.column(0):
                 with gzip.open(io.BytesIO(content.as_py())) as f:
@@ -114,7 +117,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 _NAMES = [part.split()[0] for part in _RECORD.split(", ")]
-_HEADERS = dict(zip(("warc-record-id", "warc-type", "warc-target-uri", "warc-concurrent-to", "warc-refers-to", "warc-payload-digest", "content-type"), _NAMES, strict=False))
+_HEADERS = {"warc-record-id": "record_id", "warc-type": "record_type", "warc-target-uri": "target_uri", "warc-refers-to": "refers_to", "warc-payload-digest": "payload_digest", "content-type": "content_type"}
 
 
 def _records(f) -> Iterator[dict]:
@@ -123,11 +126,13 @@ def _records(f) -> Iterator[dict]:
             if line.strip():
                 raise ValueError(f"not a WARC record: {line[:60]!r}")
             continue
-        row, length = dict.fromkeys(_NAMES), 0
+        row, length = dict.fromkeys(_NAMES) | {"concurrent_to": []}, 0
         while (line := f.readline().rstrip(b"\r\n")) != b"":
             name, _, value = line.decode("utf-8").partition(":")
             if name.lower() == "content-length":
                 length = int(value)
+            elif name.lower() == "warc-concurrent-to":
+                row["concurrent_to"].append(value.strip())
             elif name.lower() in _HEADERS:
                 row[_HEADERS[name.lower()]] = value.strip()
         block = f.read(length)
@@ -141,12 +146,36 @@ def _records(f) -> Iterator[dict]:
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row per capture: (capture_id, response struct, request struct, metadata struct).
+    """One nested row per capture: (capture_id, response struct, request struct, metadata struct, more array).
+
+    The records of a capture name each other in WARC-Concurrent-To, in either direction and any number of times. A request
+    or metadata record belongs to the response (or revisit) that it names or that names it, of several to the one with the
+    smallest id; without one, to that of the records it is linked with over any number of steps; where no response is
+    linked, these records make a capture with a null response, whose id is the smallest id among them and those they name.
+    request and metadata are the first by record id, null if there is none; further ones are in more, so none is lost.
+    Each response is a capture, repeated ones too. A record without an id is told by its content. Other types go.
 
-    The three records are brought together by the identifier of the response: its own record id, and what the
-    others name in WARC-Concurrent-To; one shuffle, no window. A missing request or metadata record gives a null struct."""
-    r = records.where("record_type in ('response', 'revisit', 'request', 'metadata')")
+    records is read several times: keep() it first where parsing is dear. Links are slim rows of ids; the records
+    themselves are shuffled once, by capture. Chains are followed only if some record has no direct response.
+    """
     main = F.col("record_type").isin("response", "revisit")
-    r = r.select(F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("capture_id"), F.when(main, F.lit("main")).otherwise(F.col("record_type")).alias("part"), F.struct(*[c for c in records.columns if c != "concurrent_to"]).alias("rec"))
-    w = lambda k: r.where(F.col("part") == k).select("capture_id", F.col("rec").alias("response" if k == "main" else k))
-    return w("main").join(w("request"), "capture_id", "left").join(w("metadata"), "capture_id", "left").select("capture_id", "response", "request", "metadata")
+    r = records.where(main | F.col("record_type").isin("request", "metadata"))
+    r = r.select(F.coalesce("record_id", F.format_string("no id %d", F.xxhash64(*records.columns))).alias("id"), main.alias("main"), "record_type", F.col("concurrent_to").alias("near"), F.struct(*[c for c in records.columns if c != "concurrent_to"]).alias("rec"))
+    named = r.select("id", "main", F.explode("near").alias("to")).where("id <> to").distinct()
+    mains = r.where("main").select(F.col("id").alias("to")).distinct()
+    pairs = named.where("not main").join(mains, "to").select("id", F.col("to").alias("of")).unionByName(named.where("main").select(F.col("to").alias("id"), F.col("id").alias("of")))
+    of = pairs.groupBy("id").agg(F.min("of").alias("of"))
+    others = r.where("not main")
+    if not others.join(of, "id", "left_anti").isEmpty():
+        links = named.where("not main").join(mains, "to", "left_anti").select(F.col("id").alias("a"), F.col("to").alias("b"))
+        parts = components(links).withColumnRenamed("node", "id")
+        answered = parts.join(of, "id").groupBy("component").agg(F.min("of").alias("of"))
+        chained = parts.join(of, "id", "left_anti").join(answered, "component", "left").select("id", F.coalesce("of", "component").alias("of"))
+        of = of.unionByName(chained)
+    beside = others.join(of, "id", "left").groupBy(F.coalesce("of", "id").alias("capture_id")).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("record_type") == kind, F.col("rec")))).alias(kind) for kind in ("request", "metadata")]
+    )
+    responses = r.where("main").select(F.col("id").alias("capture_id"), F.col("rec").alias("response"))
+    none = F.array().cast(beside.schema["request"].dataType)
+    rest = [F.when(F.size(kind) > 1, F.slice(kind, 2, F.size(kind))).otherwise(none) for kind in ("request", "metadata")]
+    return responses.join(beside, "capture_id", "full").select("capture_id", "response", F.try_element_at("request", F.lit(1)).alias("request"), F.try_element_at("metadata", F.lit(1)).alias("metadata"), F.concat(*rest).alias("more"))

@@ -13,12 +13,13 @@ def op9_warc_captures(spark, sf_dir):
     warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     records = warc.read_records(spark, path)
     response = F.col("record_type") == "response"
-    length = F.regexp_extract("http_head", r"Content-Length: (\d+)", 1).cast("long")
-    slim = records.withColumns({
+    length = F.regexp_extract("http_head", r"Content-Length: (\d+)", 1).try_cast("long")
+    measured = records.withColumns({
         "payload_bytes": F.when(response, F.octet_length("payload").cast("long")).otherwise(length),
         "payload_digest": F.when(response, warc.base32_sha1(F.col("payload"))).otherwise(F.substring_index("payload_digest", ":", -1)),
         "payload": F.when(F.col("record_type") == "metadata", F.col("payload")),
     })
+    slim = keep(measured.select("record_id", "record_type", "concurrent_to", "refers_to", "payload_bytes", "payload_digest", "payload"), "records")
     page = F.regexp_extract(F.decode("metadata.payload", "UTF-8"), r"page-id: (-?\d+)", 1)
     own = F.when(page != "", page.cast("long")).alias("page_id")
     rows = keep(warc.captures(slim).select("capture_id", own, *[f"response.{c}" for c in ("payload_bytes", "payload_digest", "record_type", "refers_to")]), "captures")

@@ -64,3 +64,33 @@ def test_empty_archive(spark, tmp_path):
     path = str(tmp_path / "warc")
     warc.write(pages(spark).limit(0), path)
     assert warc.captures(warc.read_records(spark, path)).collect() == []
+
+
+def test_captures_of_foreign_archives(spark):
+    rows = [
+        ("a", "response", []), ("a1", "request", ["a"]), ("a2", "metadata", ["a", "a1"]), ("a3", "metadata", ["a"]), ("a4", "request", ["x", "a"]),
+        ("b", "response", ["b1", "b2"]), ("b1", "request", []), ("b2", "metadata", []),
+        ("c", "revisit", None), ("c1", "request", ["c"]), ("c2", "metadata", ["c1"]), ("c3", "metadata", ["c2"]),
+        ("d1", "request", []), ("e2", "metadata", ["e1"]), ("e1", "request", None), ("g1", "metadata", ["gone"]), ("g2", "request", ["gone"]),
+        (None, "request", ["b"]), (None, "metadata", []), ("w", "warcinfo", ["a"]), ("z", "response", ["z"]),
+    ]
+    df = spark.createDataFrame([(i, t, n, f"{i}{t}".encode()) for i, t, n in rows], "record_id string, record_type string, concurrent_to array<string>, payload binary")
+    got = {}
+    for r in warc.captures(df).collect():
+        of = lambda x: x and x["record_id"]
+        got[r["capture_id"][:6]] = (of(r["response"]), of(r["request"]), of(r["metadata"]), sorted(str(of(x)) for x in r["more"]))
+    assert got == {
+        "a": ("a", "a1", "a2", ["a3", "a4"]), "b": ("b", None, "b2", ["b1"]), "c": ("c", "c1", "c2", ["c3"]), "d1": (None, "d1", None, []), "e1": (None, "e1", "e2", []),
+        "g1": (None, "g2", "g1", []), "no id ": (None, None, None, []), "z": ("z", None, None, []),
+    }
+    assert warc.captures(df.limit(0)).collect() == []
+    assert warc.captures(df.where("record_id = 'a1'")).select("capture_id", "request.record_id").collect() == [("a", "a1")]
+
+
+def test_every_concurrent_header_is_read(spark, tmp_path):
+    import gzip
+
+    text = "WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <m>\r\nWARC-Concurrent-To: <r>\r\nwarc-concurrent-to: <q>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(text.encode()) * 2)
+    got = warc.read_records(spark, f"file://{tmp_path}").collect()
+    assert [(r["concurrent_to"], bytes(r["payload"])) for r in got] == [(["<r>", "<q>"], b"hi")] * 2
