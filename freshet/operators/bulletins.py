@@ -26,7 +26,7 @@ def resolve_headers(cells: DataFrame, aliases: DataFrame, doc: str) -> DataFrame
     """Logical column of each header cell; a logical column must be met exactly once per document.
 
     The alias table is a fixed vocabulary, so it is broadcast."""
-    j = cells.join(F.broadcast(aliases), "header")
+    j = cells.join(aliases, "header")
     return j.groupBy(doc, "logical").agg(F.min("position").alias("position"), F.count("*").alias("times")).withColumn("resolved", F.col("times") == 1)
 
 

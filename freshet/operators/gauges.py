@@ -92,7 +92,8 @@ def trend(readings: DataFrame, hours: int = 4, max_gap_minutes: int = 90) -> Dat
     """Change per hour (cm) over the trailing window that ends at each gauge's latest reading; a gap above the
     limit, or fewer than two readings, gives null and a reason."""
     by = Window.partitionBy("gauge_id")
-    inside = readings.withColumn("_last", F.max("observed_at").over(by)).where(seconds_between("observed_at", "_last") <= hours * 3600)
+    last = readings.groupBy("gauge_id").agg(F.max("observed_at").alias("_last"))
+    inside = readings.join(last, "gauge_id").where(seconds_between("observed_at", "_last") <= hours * 3600)
     gap = seconds_between(F.lag("observed_at").over(by.orderBy("observed_at")), F.col("observed_at"))
     g = inside.withColumn("_gap", gap).groupBy("gauge_id").agg(
         F.count("*").alias("readings"), F.max("_gap").alias("gap"), F.min("observed_at").alias("t0"), F.max("observed_at").alias("t1"),
@@ -106,14 +107,14 @@ def trend(readings: DataFrame, hours: int = 4, max_gap_minutes: int = 90) -> Dat
 def crossings(readings: DataFrame, stations: DataFrame) -> DataFrame:
     """Upward crossings of the danger level: previous reading below it, current one at or above it."""
     w = Window.partitionBy("gauge_id").orderBy("observed_at")
-    r = readings.withColumn("previous_m", F.lag("level_m").over(w)).join(F.broadcast(stations.select("gauge_id", "danger_level_m")), "gauge_id")
+    r = readings.withColumn("previous_m", F.lag("level_m").over(w)).join(stations.select("gauge_id", "danger_level_m"), "gauge_id")
     return r.where((F.col("previous_m") < F.col("danger_level_m")) & (F.col("level_m") >= F.col("danger_level_m"))).select("gauge_id", "observed_at", "previous_m", "level_m")
 
 
 def last_n_below(readings: DataFrame, stations: DataFrame, n: int = 3) -> DataFrame:
     """Whether the last n readings of a gauge are all below its danger level; only those n rows are compared."""
     rn = F.row_number().over(Window.partitionBy("gauge_id").orderBy(F.desc("observed_at")))
-    r = readings.withColumn("_rn", rn).where(F.col("_rn") <= n).join(F.broadcast(stations.where("danger_level_m is not null")), "gauge_id")
+    r = readings.withColumn("_rn", rn).where(F.col("_rn") <= n).join(stations.where("danger_level_m is not null"), "gauge_id")
     return r.groupBy("gauge_id").agg(((F.count("*") == n) & (F.max("level_m") < F.max("danger_level_m"))).alias("all_below"))
 
 

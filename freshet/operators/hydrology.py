@@ -59,7 +59,7 @@ def lag_sweep(changes: DataFrame, pairs: DataFrame, lags: int, day: bool = True,
     """(up, down, year, lag, pairs, corr): u(t) against d(t + lag) for each lag from 0; pairs with both sides quiet
     are left out. Only the upstream side is repeated per lag; the join is on (down, time)."""
     unit = "make_dt_interval(lag)" if day else "make_dt_interval(0, lag)"
-    up = changes.join(F.broadcast(pairs), F.col("gauge_id") == F.col("up")).select("up", "down", F.year("observed_at").alias("year"), "observed_at", F.col("change_m").alias("u"))
+    up = changes.join(pairs, F.col("gauge_id") == F.col("up")).select("up", "down", F.year("observed_at").alias("year"), "observed_at", F.col("change_m").alias("u"))
     moved = up.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).withColumn("observed_at", F.expr(f"observed_at + {unit}"))
     down = changes.select(F.col("gauge_id").alias("down"), "observed_at", F.col("change_m").alias("d"))
     both = moved.join(down, ["down", "observed_at"]).where((F.abs("u") > quiet) | (F.abs("d") > quiet))

@@ -81,9 +81,9 @@ def granule_spine(spark, start: str, end: str) -> DataFrame:
 
 
 def coverage_stats(spine: DataFrame, obs: DataFrame) -> DataFrame:
-    """Expected, present and absent half hours of each cell."""
+    """Expected, present and absent half hours of each cell. The spine is bounded by its dates (48 rows a day)."""
     cells = obs.select("cell_id").distinct()
-    expected = spine.crossJoin(F.broadcast(cells))
+    expected = cells.crossJoin(F.broadcast(spine))
     j = expected.join(obs, ["cell_id", "interval_start"], "left")
     return j.groupBy("cell_id").agg(F.count("*").alias("expected"), F.count("rate_mm_h").alias("present"), (F.count("*") - F.count("rate_mm_h")).alias("absent"), F.max("rate_mm_h").cast("double").alias("highest"))
 

@@ -39,9 +39,21 @@ def contradictions(reports: DataFrame, minutes: int = 30) -> DataFrame:
 
 
 def flagged(reports: DataFrame, minutes: int = 30) -> DataFrame:
-    pairs = contradictions(reports, minutes)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("report_id")).distinct().withColumn("contradicted", F.lit(True))
-    return reports.join(ids, "report_id", "left").withColumn("contradicted", F.coalesce("contradicted", F.lit(False)))
+    """reports with contradicted: whether contradictions() has the report in a pair, without making the pairs.
+
+    Buckets are as long as the minutes, so an opposite report in the same one is near enough; of the bucket before only
+    the latest opposite time counts, of the one after only the earliest. These combine before the shuffle. Reports
+    without coordinates, time or depth are not contradicted."""
+    sec = F.unix_timestamp(F.col("submitted_at").cast("timestamp"))
+    r = reports.select(F.struct(*reports.columns).alias("row"), coarse("lon").alias("cx"), coarse("lat").alias("cy"), F.floor(sec / (minutes * 60)).alias("bucket"), (F.col("depth_class") == "dry").alias("dry"), F.col("submitted_at").alias("at"))
+    ends = r.groupBy("cx", "cy", "bucket", "dry").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    moved = ends.withColumn("step", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
+    seen = moved.groupBy("cx", "cy", (F.col("bucket") + F.col("step")).alias("bucket"), (~F.col("dry")).alias("dry")).agg(
+        F.max(F.col("step") == 0).alias("same"), F.max(F.when(F.col("step") == 1, F.col("last"))).alias("before"), F.min(F.when(F.col("step") == -1, F.col("first"))).alias("after"),
+    )
+    near = lambda t: F.coalesce(F.abs(F.timestamp_diff("MICROSECOND", F.col("at"), F.col(t))) <= minutes * 60_000_000, F.lit(False))
+    hit = F.coalesce("same", F.lit(False)) | near("before") | near("after")
+    return r.join(seen, ["cx", "cy", "bucket", "dry"], "left").select("row.*", hit.alias("contradicted"))
 
 
 def decay(age_hours: Column) -> Column:

@@ -104,7 +104,7 @@ _NEXT = "least(CASE WHEN warning_level_m > level_m THEN warning_level_m END, CAS
 
 @query("next_threshold", with_views(f"SELECT gauge_id, min(nxt) AS lowest, max(nxt) AS highest, count(*) - count(nxt) AS above_all FROM (SELECT gauge_id, {_NEXT} AS nxt FROM v_readings JOIN v_stations USING (gauge_id)) GROUP BY 1", "v_readings", "v_stations"))
 def next_threshold(spark, d):
-    j = view(spark, d, "v_readings").join(F.broadcast(view(spark, d, "v_stations")), "gauge_id").withColumn("n", a.next_threshold("level_m", "warning_level_m", "danger_level_m", "highest_flood_level_m"))
+    j = view(spark, d, "v_readings").join(view(spark, d, "v_stations"), "gauge_id").withColumn("n", a.next_threshold("level_m", "warning_level_m", "danger_level_m", "highest_flood_level_m"))
     return j.groupBy("gauge_id").agg(F.min("n").alias("lowest"), F.max("n").alias("highest"), (F.count("*") - F.count("n")).alias("above_all"))
 
 
@@ -156,7 +156,7 @@ def highest_concern(spark, d):
 @query("select_stations", with_views(f"SELECT locality_id, gauge_id, danger_level_m, locality_id % 8 = 0 AS upstream FROM (SELECT *, {_GAUGE} AS gauge_id FROM v_localities WHERE lat IS NOT NULL AND state IN ('ASIA', 'AFRICA')) JOIN v_stations USING (gauge_id) WHERE danger_level_m IS NOT NULL", "v_localities", "v_stations"))
 def select_stations(spark, d):
     places = view(spark, d, "v_localities").where("lat is not null and state in ('ASIA', 'AFRICA')").withColumn("gauge_id", F.expr(_GAUGE))
-    j = places.join(F.broadcast(view(spark, d, "v_stations").where("danger_level_m is not null")), "gauge_id")
+    j = places.join(view(spark, d, "v_stations").where("danger_level_m is not null"), "gauge_id")
     return j.select("locality_id", "gauge_id", "danger_level_m", (F.col("locality_id") % 8 == 0).alias("upstream"))
 
 

@@ -75,7 +75,7 @@ _DUE = "e.t >= f.last + INTERVAL 6 HOUR OR e.sev > f.sev"
 SELECT gauge_id, max(k) AS events, max(n) AS pushed, strftime(max(last) + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS expires FROM f GROUP BY 1""", "v_readings", "v_stations").replace("WITH v_readings", "WITH RECURSIVE v_readings"))
 def alert_engine(spark, d):
     """Alerts of gauges above danger: pushed with a cooldown, at once if severity rises, expiring after 12 hours."""
-    j = view(spark, d, "v_readings").join(F.broadcast(view(spark, d, "v_stations")), "gauge_id")
+    j = view(spark, d, "v_readings").join(view(spark, d, "v_stations"), "gauge_id")
     j = j.withColumn("status", g.level_status("level_m", "warning_level_m", "danger_level_m", "highest_flood_level_m")).where("status in ('above_danger', 'above_hfl')")
     e = j.select("gauge_id", F.col("observed_at").alias("at"), F.when(F.col("status") == "above_hfl", 2).otherwise(1).alias("severity"), F.lit(0).alias("event_id"))
     return r.cooled_pushes(e, "gauge_id", 6).select("gauge_id", "events", "pushed", F.date_format(F.col("last_push") + F.expr("interval 12 hours"), "yyyy-MM-dd HH:mm:ss").alias("expires"))
@@ -87,7 +87,7 @@ def decision_problems(spark, d):
     k = lambda n: F.col("locality_id") % n
     dec = view(spark, d, "v_localities").select("locality_id", F.when(k(6) != 0, "a").alias("reviewer"), F.when(k(4) == 1, "replace").otherwise("keep").alias("decision"), F.when(k(9) == 4, "G_none").when(k(10) != 1, "G_view").alias("gauge_id"))
     known = view(spark, d, "v_stations").select("gauge_id", F.lit(True).alias("known"))
-    j = dec.join(F.broadcast(known), "gauge_id", "left")
+    j = dec.join(known, "gauge_id", "left")
     found = F.filter(F.array(
         F.when(F.col("reviewer").isNull(), "no_reviewer"), F.when((F.col("decision") == "replace") & F.col("gauge_id").isNull(), "no_gauge"), F.when(F.col("gauge_id").isNotNull() & F.col("known").isNull(), "unknown_gauge"),
     ), lambda x: x.isNotNull())

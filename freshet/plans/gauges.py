@@ -102,7 +102,7 @@ def freshness_gate(spark, d):
 
 @query("level_status", with_views(f"SELECT gauge_id, {_STATUS} AS status, count(*) AS hours FROM v_readings JOIN v_stations USING (gauge_id) GROUP BY 1, 2", "v_readings", "v_stations"))
 def level_status(spark, d):
-    r = _readings(spark, d).join(F.broadcast(_stations(spark, d)), "gauge_id")
+    r = _readings(spark, d).join(_stations(spark, d), "gauge_id")
     return r.groupBy("gauge_id", g.level_status("level_m", "warning_level_m", "danger_level_m", "highest_flood_level_m").alias("status")).agg(F.count("*").alias("hours"))
 
 

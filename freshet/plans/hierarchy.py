@@ -133,7 +133,7 @@ def provenance_checks(spark, d):
 def publish_mask(spark, d):
     """Excluded groups go, values that are not validated become null."""
     gone = spark.createDataFrame([("ASIA",)], "state string")
-    h = _hier(spark, d).join(F.broadcast(gone), "state", "left_anti")
+    h = _hier(spark, d).join(gone, "state", "left_anti")
     return h.select("district", "circle", F.when(F.col("circle") % 4 != 0, F.col("affected").cast("double")).alias("affected"))
 
 

@@ -99,11 +99,14 @@ def identity_dedupe(spark, d):
 
 @query("camps_for_locality", with_views("SELECT l.locality_id, count(DISTINCT p.point_id) AS camps FROM v_localities l JOIN v_points p ON p.owner_id = l.district_id AND (p.point_id % 10 = l.locality_id % 10 OR p.point_id % 3 = 0) GROUP BY 1", "v_localities", "v_points"))
 def camps_for_locality(spark, d):
-    """District must match; the circle matches or is unknown. The OR is two equi-joins."""
-    places, points = view(spark, d, "v_localities").select("locality_id", F.col("district_id").alias("owner_id")), view(spark, d, "v_points").select("owner_id", "point_id")
-    known = places.withColumn("c", F.col("locality_id") % 10).join(points.withColumn("c", F.col("point_id") % 10), ["owner_id", "c"]).select("locality_id", "point_id")
-    unknown = places.join(points.where("point_id % 3 = 0"), "owner_id").select("locality_id", "point_id")
-    return known.unionByName(unknown).distinct().groupBy("locality_id").agg(F.count("*").alias("camps"))
+    """District must match; the circle matches or is unknown. Points are counted per district and circle first, so no pairs
+    are made: those of unknown circle, plus those of the same circle that are not among them."""
+    points = view(spark, d, "v_points").select(F.col("owner_id").alias("district_id"), "point_id").distinct().select("district_id", (F.col("point_id") % 10).alias("c"), (F.col("point_id") % 3 == 0).alias("unknown"))
+    known = points.where("not unknown").groupBy("district_id", "c").agg(F.count("*").alias("known"))
+    unknown = points.where("unknown").groupBy("district_id").agg(F.count("*").alias("free"))
+    places = view(spark, d, "v_localities").select("locality_id", "district_id", (F.col("locality_id") % 10).alias("c"))
+    camps = F.coalesce("known", F.lit(0)) + F.coalesce("free", F.lit(0))
+    return places.join(known, ["district_id", "c"], "left").join(unknown, "district_id", "left").select("locality_id", camps.alias("camps")).where("camps > 0")
 
 
 @query("registry_union", with_views("SELECT kind, count(*) AS rows, count(DISTINCT id) AS ids, count(*) - count(DISTINCT id) AS duplicates FROM (SELECT 'base' AS kind, locality_id AS id FROM v_localities UNION ALL SELECT 'supplement', locality_id % 90 + 1000 FROM v_localities) GROUP BY 1", "v_localities"))

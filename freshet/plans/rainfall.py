@@ -54,7 +54,7 @@ def interval_in_window(spark, d):
 
 @query("zone_weight_join", with_views("SELECT zone_id, cell_id, count(*) AS intervals, round(sum(CAST(rate_mm_h AS DOUBLE) * share), 6) AS weighted FROM v_zone_weights JOIN v_grid_obs USING (cell_id) GROUP BY 1, 2", "v_zone_weights", "v_grid_obs"))
 def zone_weight_join(spark, d):
-    j = _obs(spark, d).join(F.broadcast(_weights(spark, d)), "cell_id")
+    j = _obs(spark, d).join(_weights(spark, d), "cell_id")
     return j.groupBy("zone_id", "cell_id").agg(F.count("*").alias("intervals"), F.round(F.sum(F.col("rate_mm_h").cast("double") * F.col("share")), 6).alias("weighted"))
 
 
@@ -131,7 +131,7 @@ def resolve_as_of(spark, d):
 @query("ordered_distinct", with_views("SELECT zone_id, string_agg(cell_id, ',' ORDER BY cell_id) AS cells FROM (SELECT DISTINCT zone_id, cell_id FROM v_zone_weights JOIN v_grid_obs USING (cell_id)) GROUP BY 1", "v_zone_weights", "v_grid_obs"))
 def ordered_distinct(spark, d):
     """Ids in order, each once: the set is collected, never the rows."""
-    j = _obs(spark, d).select("cell_id").distinct().join(F.broadcast(_weights(spark, d)), "cell_id")
+    j = _obs(spark, d).select("cell_id").distinct().join(_weights(spark, d), "cell_id")
     return j.groupBy("zone_id").agg(F.array_join(F.array_sort(F.collect_set("cell_id")), ",").alias("cells"))
 
 

@@ -80,7 +80,7 @@ def validate_submission(spark, d):
 @query("active_event", with_views("""SELECT gauge_id, newest, danger, danger > 0 AND h <= 6 AS active FROM (SELECT gauge_id, strftime(max(observed_at), '%Y-%m-%d %H:%M:%S') AS newest, count(*) FILTER (level_m >= danger_level_m AND observed_at > TIMESTAMP '2024-01-30 00:00:00') AS danger,
  date_diff('second', max(observed_at), TIMESTAMP '2024-01-31 00:00:00') / 3600.0 AS h FROM v_readings JOIN v_stations USING (gauge_id) GROUP BY 1)""", "v_readings", "v_stations"))
 def active_event(spark, d):
-    j = view(spark, d, "v_readings").join(F.broadcast(view(spark, d, "v_stations")), "gauge_id")
+    j = view(spark, d, "v_readings").join(view(spark, d, "v_stations"), "gauge_id")
     high = (F.col("level_m") >= F.col("danger_level_m")) & (F.col("observed_at") > _now("2024-01-30 00:00:00"))
     g = j.groupBy("gauge_id").agg(F.max("observed_at").alias("at"), F.count_if(high).alias("danger"))
     fresh = F.timestamp_diff("SECOND", F.col("at"), _now()) / 3600 <= 6

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from freshet.functions import text as t
@@ -44,3 +45,15 @@ def test_text_functions(spark):
     assert got["p"] == ["9864012345", "03612234567"] and got["i"] == 1
     none = spark.createDataFrame([("--", None, None, [1.0])], df.schema).select(t.slug(F.col("a")), t.first_sum(F.col("d"))).first()
     assert tuple(none) == ("unknown", None)
+
+
+def test_flags_equal_pairs_without_making_them(spark):
+    rng = random.Random(5)
+    rows = [(i, 91.0 + rng.randrange(3) / 1000, 26.0, start + timedelta(microseconds=rng.randrange(4 * 3600) * 10**6 + rng.choice([0, 500_000])), rng.choice(["dry", "dry", "knee", None])) for i, start in enumerate([datetime(2024, 1, 1)] * 300)]
+    rows += [(300, 95.0, 26.0, datetime(2024, 1, 1, 0, 0), "dry"), (301, 95.0, 26.0, datetime(2024, 1, 1, 0, 30), "knee"), (302, None, 26.0, datetime(2024, 1, 1), "dry"), (303, None, 26.0, datetime(2024, 1, 1), "knee"), (304, 95.0, 26.0, None, "knee")]
+    df = spark.createDataFrame(rows, "report_id int, lon double, lat double, submitted_at timestamp_ntz, depth_class string")
+    for minutes in (30, 5):
+        want = {x for pair in r.contradictions(df, minutes).collect() for x in pair}
+        got = r.flagged(df, minutes)
+        assert got.columns == [*df.columns, "contradicted"] and got.count() == len(rows)
+        assert {x["report_id"] for x in got.where("contradicted").collect()} == want and (minutes == 5 or {300, 301} <= want)
