@@ -12,6 +12,7 @@ and another seed is taken if they do. Texts are read whole; a piece or document
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -25,7 +26,7 @@ from freshet.llm.tries import Trie
 from freshet.shared import drop, keep
 
 #: Bytes of text that a task takes at a time.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Phrases of a trie: what is broadcast, and built on the driver, holds at most so many.
 TRIE = 500_000
 #: Bits of a level's filter, 16 MB at every size of the corpus, and bits set by one run.
@@ -33,6 +34,7 @@ FILTER, PROBES = 1 << 27, 3
 #: Languages that fill blocks of their own in a task; texts of more begin blocks anew.
 OPEN = 64
 
+_END = re.compile(r"[.,;:!?\x0A-\x0D]")
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP = _STOP.copy()
@@ -112,12 +114,24 @@ def _words(texts: list[str], lang: str, seed: int) -> tuple[np.ndarray, np.ndarr
     return raw, starts, ends, np.where(symbols == 0, U64(1), symbols), begins
 
 
+def _slices(text: str) -> Iterator[str]:
+    """A text in parts of about BLOCK characters that end where a piece ends."""
+    at = 0
+    while len(text) - at > BLOCK:
+        end = _END.search(text, at + BLOCK)
+        if not end:
+            break
+        yield text[at : end.end()]
+        at = end.end()
+    yield text[at:]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
-    """Texts of one language, about BLOCK bytes at a time; a longer text is a block of its own."""
+    """Texts of one language, about BLOCK characters at a time."""
     held: dict[str, list[str]] = {}
     size: dict[str, int] = {}
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for lang, text in ((x, part) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for part in _slices(y)):
             held.setdefault(lang, []).append(text)
             size[lang] = size.get(lang, 0) + len(text)
             if size[lang] >= BLOCK:

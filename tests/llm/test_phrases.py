@@ -36,6 +36,7 @@ def corpus():
     draw = random.Random(3)
     rows = [(" ".join(draw.choice("a b c D e É f g".split()) + draw.choice(["", "", ",", ".", "\t"]) for _ in range(60)), draw.choice(["en", "fr", None, "und"])) for _ in range(40)]
     rows += [("New York city new york CITY! new york", "en")] * 7 + [(None, "en"), ("", "fr"), (" ,. ", "de"), ("x " * 50, "x")]
+    rows.append(("cut, here. " * 200_000 + "never " * 300_000, "cut"))
     rows.append((" ".join(draw.choice(["long", "text", "word"]) for _ in range(300_000)), "long"))
     return rows
 
