@@ -90,7 +90,7 @@ def status_rollup(snap: DataFrame) -> DataFrame:
 
 def trend(readings: DataFrame, hours: int = 4, max_gap_minutes: int = 90) -> DataFrame:
     """Change per hour (cm) over the trailing window that ends at each gauge's latest reading; a gap above the
-    limit, or fewer than two readings, gives null and a reason."""
+    limit, fewer than two readings, or readings of one time only give null and a reason."""
     by = Window.partitionBy("gauge_id")
     last = readings.groupBy("gauge_id").agg(F.max("observed_at").alias("_last"))
     inside = readings.join(last, "gauge_id").where(seconds_between("observed_at", "_last") <= hours * 3600)
@@ -99,8 +99,8 @@ def trend(readings: DataFrame, hours: int = 4, max_gap_minutes: int = 90) -> Dat
         F.count("*").alias("readings"), F.max("_gap").alias("gap"), F.min("observed_at").alias("t0"), F.max("observed_at").alias("t1"),
         F.min_by("level_m", "observed_at").alias("l0"), F.max_by("level_m", "observed_at").alias("l1"),
     )
-    reason = F.when(F.col("readings") < 2, "too_few").when(F.col("gap") > max_gap_minutes * 60, "gap")
-    rate = F.round((F.col("l1") - F.col("l0")) * 100 / (seconds_between("t0", "t1") / 3600), 2)
+    reason = F.when(F.col("readings") < 2, "too_few").when(F.col("gap") > max_gap_minutes * 60, "gap").when(F.col("t0") == F.col("t1"), "one_time")
+    rate = F.round(F.try_divide((F.col("l1") - F.col("l0")) * 100, seconds_between("t0", "t1") / 3600), 2)
     return g.select("gauge_id", "readings", F.when(reason.isNull(), rate).alias("trend_cm_per_hour"), reason.alias("reason"))
 
 

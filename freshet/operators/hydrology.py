@@ -22,9 +22,11 @@ def quartiles(series: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def pearson(x: Column, y: Column, at_least: int = 3) -> Column:
-    """Correlation aggregate; null with fewer pairs than at_least or a constant side."""
-    n = F.count_if(x.isNotNull() & y.isNotNull())
-    return F.when((n >= at_least) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
+    """Correlation aggregate; null with fewer pairs than at_least or a constant side. Not corr(), which fails on a constant
+    side in ANSI mode even where its result is not asked for."""
+    both = x.isNotNull() & y.isNotNull()
+    u, v = F.when(both, x), F.when(both, y)
+    return F.when((F.count_if(both) >= at_least) & (F.min(u) < F.max(u)) & (F.min(v) < F.max(v)), F.try_divide(F.covar_pop(u, v), F.stddev_pop(u) * F.stddev_pop(v)))
 
 
 def yearly_stats(series: DataFrame, ceiling: Column, season: tuple[int, int]) -> DataFrame:
@@ -56,33 +58,70 @@ def winsorised(changes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lag_sweep(changes: DataFrame, pairs: DataFrame, lags: int, day: bool = True, quiet: float = 0.0) -> DataFrame:
-    """(up, down, year, lag, pairs, corr): u(t) against d(t + lag) for each lag from 0; pairs with both sides quiet
-    are left out. Only the upstream side is repeated per lag; the join is on (down, time)."""
+    """(up, down, year, lag, pairs, corr): u(t) against d(t + lag) for each lag from 0; pairs whose sides both move
+    less than quiet are left out. Only the upstream side is repeated per lag; the join is on (down, time)."""
     unit = "make_dt_interval(lag)" if day else "make_dt_interval(0, lag)"
     up = changes.join(pairs, F.col("gauge_id") == F.col("up")).select("up", "down", F.year("observed_at").alias("year"), "observed_at", F.col("change_m").alias("u"))
     moved = up.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).withColumn("observed_at", F.expr(f"observed_at + {unit}"))
     down = changes.select(F.col("gauge_id").alias("down"), "observed_at", F.col("change_m").alias("d"))
-    both = moved.join(down, ["down", "observed_at"]).where((F.abs("u") > quiet) | (F.abs("d") > quiet))
+    both = moved.join(down, ["down", "observed_at"]).where((F.abs("u") >= quiet) | (F.abs("d") >= quiet))
     return both.groupBy("up", "down", "year", "lag").agg(F.count("*").alias("pairs"), pearson(F.col("u"), F.col("d")).alias("corr"))
 
 
-def lag_year_fit(sweep: DataFrame, near: float = 0.02, least_pairs: int = 30) -> DataFrame:
-    """Per pair and year: the lag with the highest correlation (the smallest of equals), the range of lags within
-    `near` of it, the gain over lag 0, and the reasons against using the year."""
-    c = sweep.withColumn("c", F.round("corr", 8))
-    w = Window.partitionBy("up", "down", "year")
-    top = c.withColumn("best", F.max("c").over(w))
-    g = top.groupBy("up", "down", "year").agg(
-        F.max("best").alias("best_corr"), F.min(F.when(F.col("c") == F.col("best"), F.col("lag"))).alias("best_lag"),
-        F.min(F.when(F.col("c") >= F.col("best") - near, F.col("lag"))).alias("near_low"), F.max(F.when(F.col("c") >= F.col("best") - near, F.col("lag"))).alias("near_high"),
-        F.max(F.when(F.col("lag") == 0, F.col("c"))).alias("zero_corr"), F.max("pairs").alias("pairs"), F.max("lag").alias("last_lag"),
+def lag_years(
+    series: DataFrame, pairs: DataFrame, as_of: str, unit: str = "HOUR", change: int = 6, lags: int = 72, season: tuple[int, int] = (5, 10), quiet: float = 0.005, near: float = 0.02, least_coverage: float = 0.75,
+    least_pairs: int = 800, least_rises: int = 5, rise: float = 0.02, apart: int = 24,
+) -> DataFrame:
+    """The best lag of every pair(up, down) in every year of either gauge, and why a year counts against a stable lag.
+
+    Changes over `change` units within the season, of both gauges in the same year, are clipped to their 1 % and 99 %
+    bounds and correlated for each lag; pairs whose sides both move less than quiet are left out. best_lag has the highest
+    correlation (rounded to 8 places; the smallest of equals), near_low to near_high are within `near` of it, gain is
+    over lag 0 (null where lag 0 has none), ordinary_corr is without clipping.
+
+    reasons: year_in_progress, upstream_coverage and downstream_coverage (too few times of the season), no_changes (of
+    either gauge), no_variance (no lag can be correlated), few_pairs (at the best lag), few_rises (of the upstream
+    gauge, `apart` units from each other). eligible: none of them. Years of a gauge are aggregated before any join, and
+    only the upstream changes are repeated per lag; the joins are on gauge, year and time."""
+    step = lambda n: F.expr(f"make_dt_interval({n})" if unit == "DAY" else f"make_dt_interval(0, {n})")
+    of = lambda d, role: d.withColumnsRenamed({c: f"{role}_{c}" for c in d.columns if c not in ("gauge_id", "year")}).withColumnRenamed("gauge_id", role)
+    day = lambda month: F.make_date("year", F.lit(month), F.lit(1))
+    inside = F.month("observed_at").between(*season)
+    last = F.when(F.lit(season[1] == 12), F.make_date(F.col("year") + 1, F.lit(1), F.lit(1))).otherwise(day(season[1] % 12 + 1))
+    dated = series.withColumn("year", F.year("observed_at"))
+    steps = F.date_diff(last, day(season[0])) * (1 if unit == "DAY" else 24)
+    years = dated.groupBy("gauge_id", "year").agg(F.count_distinct(F.when(inside, F.col("observed_at"))).alias("n")).select("gauge_id", "year", (F.col("n") / steps).alias("coverage"))
+    changes = offset_change(series, step(change)).where(inside).withColumn("year", F.year("observed_at"))
+    bounds = changes.groupBy("gauge_id", "year").agg(F.percentile("change_m", F.lit(0.01)).alias("p01"), F.percentile("change_m", F.lit(0.99)).alias("p99"))
+    rises = rise_events(changes, rise, step(apart)).select("gauge_id", "year", F.col("events").alias("rises"))
+    known = years.join(bounds.select("gauge_id", "year", F.lit(True).alias("moves")), ["gauge_id", "year"], "left").join(rises, ["gauge_id", "year"], "left")
+    spans = pairs.join(years.select(F.col("gauge_id").alias("up"), "year"), "up").select("up", "down", "year").union(pairs.join(years.select(F.col("gauge_id").alias("down"), "year"), "down").select("up", "down", "year")).distinct()
+    frame = spans.join(of(known, "up"), ["up", "year"], "left").join(of(known, "down"), ["down", "year"], "left")
+
+    clipped = changes.join(bounds, ["gauge_id", "year"]).withColumn("clipped", F.least(F.greatest("change_m", "p01"), "p99"))
+    up = clipped.join(pairs, F.col("gauge_id") == F.col("up")).select("up", "down", "year", "observed_at", F.col("change_m").alias("u"), F.col("clipped").alias("cu"))
+    moved = up.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).withColumn("observed_at", F.col("observed_at") + F.expr("make_dt_interval(lag)" if unit == "DAY" else "make_dt_interval(0, lag)"))
+    down = clipped.select(F.col("gauge_id").alias("down"), "year", "observed_at", F.col("change_m").alias("d"), F.col("clipped").alias("cd"))
+    both = moved.join(down, ["down", "year", "observed_at"]).where((F.abs("u") >= quiet) | (F.abs("d") >= quiet))
+    sweep = both.groupBy("up", "down", "year", "lag").agg(F.count("*").alias("pairs"), F.round(pearson(F.col("cu"), F.col("cd")), 8).alias("c"), pearson(F.col("u"), F.col("d")).alias("ordinary"))
+    best = sweep.where("c is not null").groupBy("up", "down", "year").agg(
+        F.max_by(F.struct("lag", "c", "ordinary", "pairs"), F.struct("c", -F.col("lag"))).alias("b"), F.max(F.when(F.col("lag") == 0, F.col("c"))).alias("zero"), F.collect_list(F.struct("lag", "c")).alias("lags"),
+    )
+    close = F.transform(F.filter("lags", lambda x: x["c"] >= F.col("b.c") - near), lambda x: x["lag"])
+    fitted = frame.join(best, ["up", "down", "year"], "left").withColumn("close", close)
+    month = F.month(F.lit(as_of).cast("date"))
+    done = (F.col("year") < F.year(F.lit(as_of).cast("date"))) | ((F.col("year") == F.year(F.lit(as_of).cast("date"))) & (month > season[1]))
+    cover = lambda role: F.coalesce(F.col(f"{role}_coverage"), F.lit(0.0))
+    still = F.col("up_moves").isNull() | F.col("down_moves").isNull()
+    reasons = F.concat_ws(
+        ",", F.when(~done, "year_in_progress"), F.when(cover("up") < least_coverage, "upstream_coverage"), F.when(cover("down") < least_coverage, "downstream_coverage"), F.when(still, "no_changes"),
+        F.when(~still & F.col("b").isNull(), "no_variance"), F.when(F.col("b.pairs") < least_pairs, "few_pairs"), F.when(F.col("b").isNotNull() & (F.coalesce("up_rises", F.lit(0)) < least_rises), "few_rises"),
+    )
+    return fitted.select(
+        "up", "down", "year", F.col("b.lag").alias("best_lag"), F.round("b.c", 6).alias("best_corr"), F.round("b.ordinary", 6).alias("ordinary_corr"), F.array_min("close").alias("near_low"), F.array_max("close").alias("near_high"),
+        F.round(F.col("b.c") - F.col("zero"), 6).alias("gain"), F.coalesce("b.pairs", F.lit(0)).alias("pairs"), F.coalesce("up_rises", F.lit(0)).alias("rises"), F.round(cover("up"), 6).alias("up_coverage"),
+        F.round(cover("down"), 6).alias("down_coverage"), reasons.alias("reasons"), (reasons == "").alias("eligible"),
     )
-    reasons = F.filter(F.array(
-        F.when(F.col("pairs") < least_pairs, "few_pairs"), F.when(F.coalesce(F.col("best_corr"), F.lit(0.0)) < 0.2, "weak"), F.when(F.col("best_lag") == F.col("last_lag"), "at_edge"),
-        F.when(F.col("best_lag") == 0, "no_delay"),
-    ), lambda x: x.isNotNull())
-    gain = F.round(F.col("best_corr") - F.col("zero_corr"), 6)
-    return g.select("up", "down", "year", "best_lag", F.round("best_corr", 6).alias("best_corr"), "near_low", "near_high", gain.alias("gain"), F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("eligible"))
 
 
 def lag_quality(

@@ -43,14 +43,38 @@ def vertex_edges(vertices: DataFrame) -> DataFrame:
 
 
 def ring_area(edges: DataFrame) -> DataFrame:
-    """Planar area, centroid and the area on the sphere in square kilometres."""
+    """(shape_id, vertices, area, cx, cy, area_km2): planar area, centroid and the area on the sphere.
+
+    Each ring counts by itself, whichever way it is drawn: a ring inside an odd number of the shape's other rings is a
+    hole. On the sphere the integral of -sin(lat) d(lon) is exact along edges that are straight in degrees. A ring
+    without area adds nothing; if none has any, the centroid is the mean of the vertices."""
+    ring = ["shape_id", "ring_no"] if "ring_no" in edges.columns else ["shape_id"]
     cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
-    mean_sin = (F.sin(F.radians("y1")) + F.sin(F.radians("y2"))) / 2
-    g = edges.groupBy("shape_id").agg(
+    p1, p2 = F.radians("y1"), F.radians("y2")
+    along = F.when(F.abs(p2 - p1) < 1e-12, F.sin(p1)).otherwise(F.try_divide(F.cos(p1) - F.cos(p2), p2 - p1))
+    g = edges.groupBy(*ring).agg(
         (F.sum(cross) / 2).alias("a"), F.sum((F.col("x1") + F.col("x2")) * cross).alias("sx"), F.sum((F.col("y1") + F.col("y2")) * cross).alias("sy"),
-        (-F.sum(F.radians(F.col("x2") - F.col("x1")) * mean_sin) * EARTH_KM**2).alias("km2"), F.count("*").alias("vertices"),
+        (-F.sum(F.radians(F.col("x2") - F.col("x1")) * along) * EARTH_KM**2).alias("km2"), F.count("*").alias("n"), F.sum("x1").alias("vx"), F.sum("y1").alias("vy"),
+    )
+    sign = F.lit(1)
+    if len(ring) > 1:
+        g = g.join(_ring_depths(edges), ring, "left")
+        sign = F.when(F.coalesce("depth", F.lit(0)) % 2 == 1, -1).otherwise(1)
+    way = F.when(F.col("a") < 0, -sign).otherwise(sign)
+    g = g.groupBy("shape_id").agg(
+        F.sum("n").alias("vertices"), F.sum(way * F.col("a")).alias("a"), F.sum(way * F.col("sx")).alias("sx"), F.sum(way * F.col("sy")).alias("sy"), F.sum(sign * F.abs("km2")).alias("km2"), F.sum("vx").alias("vx"), F.sum("vy").alias("vy"),
     )
-    return g.select("shape_id", "vertices", F.abs("a").alias("area"), (F.col("sx") / (6 * F.col("a"))).alias("cx"), (F.col("sy") / (6 * F.col("a"))).alias("cy"), F.abs("km2").alias("area_km2"))
+    centre = lambda c: F.coalesce(F.try_divide(F.col(f"s{c}"), 6 * F.col("a")), F.col(f"v{c}") / F.col("vertices"))
+    return g.select("shape_id", "vertices", F.abs("a").alias("area"), centre("x").alias("cx"), centre("y").alias("cy"), F.abs("km2").alias("area_km2"))
+
+
+def _ring_depths(edges: DataFrame) -> DataFrame:
+    """(shape_id, ring_no, depth): how many of a shape's other rings hold the ring's first vertex, by the even-odd rule."""
+    first = edges.groupBy("shape_id", "ring_no").agg(F.min_by(F.struct("x1", "y1"), "seq").alias("p")).select("shape_id", F.col("ring_no").alias("own"), F.col("p.x1").alias("px"), F.col("p.y1").alias("py"))
+    met = first.join(edges, "shape_id").where((F.col("ring_no") != F.col("own")) & ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))))
+    left = F.col("px") < F.try_divide((F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1")
+    held = met.groupBy("shape_id", "own", "ring_no").agg((F.count_if(left) % 2).alias("odd"))
+    return held.groupBy("shape_id", F.col("own").alias("ring_no")).agg(F.sum("odd").alias("depth"))
 
 
 def rows_of(edges: DataFrame, step: float) -> DataFrame:
@@ -170,23 +194,32 @@ def coherent(points: DataFrame, key: str, km: float) -> DataFrame:
     return g.where("2 * near > n")
 
 
+# Kilometres of a degree of latitude, and of longitude at 26 degrees north.
+KM_LAT, KM_LON = 110.57, 111.32 * math.cos(math.radians(26.0))
+
+
 def distance_to_edges(points: DataFrame, edges: DataFrame, owner: str = "owner_id") -> DataFrame:
-    """Planar distance (degrees) of each point to the outline of its own shape: the nearest of its edges."""
+    """(point_id, shape_id, distance): kilometres in the local plane from each point to the outline of its own shape, the
+    nearest of its edges. A repeated vertex makes an edge without length, which is as near as the vertex."""
     j = points.join(edges, F.col(owner) == F.col("shape_id"))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("lon") - F.col("x1")) * dx + (F.col("lat") - F.col("y1")) * dy) / (dx * dx + dy * dy)))
-    return j.withColumn("_d", F.hypot(F.col("lon") - F.col("x1") - t * dx, F.col("lat") - F.col("y1") - t * dy)).groupBy("point_id", "shape_id").agg(F.min("_d").alias("distance"))
+    px, py, dx, dy = ((F.col("lon") - F.col("x1")) * KM_LON, (F.col("lat") - F.col("y1")) * KM_LAT, (F.col("x2") - F.col("x1")) * KM_LON, (F.col("y2") - F.col("y1")) * KM_LAT)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(px * dx + py * dy, dx * dx + dy * dy), F.lit(0.0))))
+    return j.withColumn("_d", F.hypot(px - t * dx, py - t * dy)).groupBy("point_id", "shape_id").agg(F.min("_d").alias("distance"))
 
 
-def shape_score(points: DataFrame, edges: DataFrame, close: float = 0.05) -> DataFrame:
-    """Per shape, over its own points: inside, outside but close, agreement, and how far the others stray."""
-    inside = points_in_shapes(points, edges).where("owner_id = shape_id").select("point_id", F.lit(True).alias("inside"))
+def shape_score(points: DataFrame, edges: DataFrame, close: float = 0.5) -> DataFrame:
+    """Per shape, over its own points: inside, outside but no further than `close` kilometres, agreement of both, and how
+    far the others, the strays, lie: their upper median and their maximum, null without strays."""
+    inside = points_in_shapes(points, edges).where("owner_id = shape_id").select("point_id", F.lit(True).alias("inside")).distinct()
     d = distance_to_edges(points, edges).join(inside, "point_id", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
     out = ~F.col("inside")
+    stray = F.when(out & (F.col("distance") > close), F.col("distance"))
     g = d.groupBy("shape_id").agg(
         F.count("*").alias("points"), F.count_if(F.col("inside")).alias("inside"), F.count_if(out & (F.col("distance") <= close)).alias("close"),
-        F.round(F.max(F.when(out, F.col("distance"))), 6).alias("max_stray"),
+        F.count(stray).alias("strays"), F.sort_array(F.collect_list(stray)).alias("_s"),
     )
+    at = lambda i: F.round(F.when(F.size("_s") > 0, F.get("_s", i)), 6)
+    g = g.withColumns({"median_stray_km": at(F.floor(F.size("_s") / 2).cast("int")), "max_stray_km": at(F.size("_s") - 1)}).drop("_s")
     return g.withColumn("agreement", F.round((F.col("inside") + F.col("close")) / F.col("points"), 6))
 
 

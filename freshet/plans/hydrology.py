@@ -96,7 +96,7 @@ def season_coverage(spark, d):
 LAGS = 24
 _SWEEP = f"""SELECT u.gauge_id AS up, v.gauge_id AS down, year(u.observed_at) AS year, lag, count(*) AS pairs, CASE WHEN count(*) >= 3 AND min(u.change_m) < max(u.change_m) AND min(v.change_m) < max(v.change_m) THEN corr(u.change_m, v.change_m) END AS corr
  FROM ({_CHANGES}) u CROSS JOIN (SELECT unnest(range(0, {LAGS + 1})) AS lag) JOIN ({_CHANGES}) v ON v.observed_at = u.observed_at + INTERVAL 1 DAY * CAST(lag AS INTEGER)
- WHERE (u.gauge_id, v.gauge_id) IN (('A', 'N'), ('N', 'R'), ('A', 'R')) AND (abs(u.change_m) > 5 OR abs(v.change_m) > 5) GROUP BY 1, 2, 3, 4"""
+ WHERE (u.gauge_id, v.gauge_id) IN (('A', 'N'), ('N', 'R'), ('A', 'R')) AND (abs(u.change_m) >= 5 OR abs(v.change_m) >= 5) GROUP BY 1, 2, 3, 4"""
 
 
 def _sweep(spark, d):
@@ -109,27 +109,56 @@ def lag_sweep(spark, d):
     return _sweep(spark, d).withColumn("corr", F.round("corr", 6))
 
 
-_FIT = f"""SELECT up, down, year, best_lag, round(best_corr, 6) AS best_corr, near_low, near_high, round(best_corr - zero_corr, 6) AS gain, reasons, reasons = '' AS eligible FROM (
- SELECT *, concat_ws(',', CASE WHEN pairs < 30 THEN 'few_pairs' END, CASE WHEN coalesce(best_corr, 0) < 0.2 THEN 'weak' END, CASE WHEN best_lag = last_lag THEN 'at_edge' END, CASE WHEN best_lag = 0 THEN 'no_delay' END) AS reasons FROM (
-  SELECT up, down, year, max(best) AS best_corr, CAST(min(lag) FILTER (c = best) AS INTEGER) AS best_lag, CAST(min(lag) FILTER (c >= best - 0.02) AS INTEGER) AS near_low, CAST(max(lag) FILTER (c >= best - 0.02) AS INTEGER) AS near_high,
-   max(c) FILTER (lag = 0) AS zero_corr, max(pairs) AS pairs, max(lag) AS last_lag FROM (SELECT *, max(c) OVER (PARTITION BY up, down, year) AS best FROM (SELECT *, round(corr, 8) AS c FROM ({_SWEEP}))) GROUP BY 1, 2, 3))"""
-
-
-@query("lag_year_fit", with_views(_FIT, "v_daily"))
+#: Three gauges, and one that repeats the first of them five days later with noise of its own.
+_LAGGED = """SELECT gauge_id, observed_at, level_m FROM v_daily UNION ALL SELECT 'A5' AS gauge_id, observed_at + INTERVAL 5 DAY AS observed_at, level_m + extract('day' FROM observed_at) % 4 * 9 AS level_m FROM v_daily WHERE gauge_id = 'A'"""
+_PAIRS = "(VALUES ('A', 'A5'), ('A', 'N'), ('N', 'R'), ('A', 'R'), ('N', 'none')) AS p(up, down)"
+_AT = "1998-07-15"
+_FIT = f"""SELECT up, down, year, best_lag, round(c, 6) AS best_corr, round(ordinary, 6) AS ordinary_corr, near_low, near_high, round(c - zero, 6) AS gain, coalesce(pairs, 0) AS pairs, rises, round(uc, 6) AS up_coverage, round(dc, 6) AS down_coverage, reasons, reasons = '' AS eligible FROM (
+ SELECT *, concat_ws(',', CASE WHEN NOT (year < 1998 OR (year = 1998 AND 7 > 10)) THEN 'year_in_progress' END, CASE WHEN uc < 0.75 THEN 'upstream_coverage' END, CASE WHEN dc < 0.75 THEN 'downstream_coverage' END, CASE WHEN still THEN 'no_changes' END,
+  CASE WHEN NOT still AND c IS NULL THEN 'no_variance' END, CASE WHEN pairs < 100 THEN 'few_pairs' END, CASE WHEN c IS NOT NULL AND rises < 5 THEN 'few_rises' END) AS reasons FROM (
+  SELECT y.up, y.down, y.year, coalesce(ku.coverage, 0) AS uc, coalesce(kd.coverage, 0) AS dc, coalesce(ku.rises, 0) AS rises, ku.moves IS NULL OR kd.moves IS NULL AS still, f.* EXCLUDE (up, down, year)
+  FROM (SELECT DISTINCT up, down, year FROM {_PAIRS} JOIN (SELECT DISTINCT gauge_id, year(observed_at) AS year FROM lg) g ON gauge_id IN (up, down)) y
+  LEFT JOIN kn ku ON ku.gauge_id = y.up AND ku.year = y.year LEFT JOIN kn kd ON kd.gauge_id = y.down AND kd.year = y.year LEFT JOIN (
+   SELECT up, down, year, min(lag) FILTER (c = best) AS best_lag, max(best) AS c, arg_min(ordinary, lag) FILTER (c = best) AS ordinary, arg_min(pairs, lag) FILTER (c = best) AS pairs, max(c) FILTER (lag = 0) AS zero,
+    min(lag) FILTER (c >= best - 0.02) AS near_low, max(lag) FILTER (c >= best - 0.02) AS near_high FROM (SELECT *, max(c) OVER (PARTITION BY up, down, year) AS best FROM sw WHERE c IS NOT NULL) GROUP BY 1, 2, 3) f ON f.up = y.up AND f.down = y.down AND f.year = y.year))"""
+_FIT_WITH = f"""WITH lg AS ({_LAGGED}), ch AS (SELECT a.gauge_id, year(a.observed_at) AS year, a.observed_at, a.level_m - b.level_m AS change_m FROM lg a JOIN lg b ON a.gauge_id = b.gauge_id AND a.observed_at = b.observed_at + INTERVAL 2 DAY WHERE month(a.observed_at) BETWEEN 5 AND 10),
+bd AS (SELECT gauge_id, year, quantile_cont(change_m, 0.01) AS p01, quantile_cont(change_m, 0.99) AS p99, greatest(5, quantile_cont(change_m, 0.9) FILTER (change_m > 0)) AS bound FROM ch GROUP BY 1, 2),
+ri AS (SELECT gauge_id, year, observed_at FROM ch JOIN bd USING (gauge_id, year) WHERE change_m >= bound),
+ev AS (SELECT gauge_id, year, min(observed_at) AS last, 1 AS n FROM ri GROUP BY 1, 2 UNION ALL SELECT e.gauge_id, e.year, min(ri.observed_at), e.n + 1 FROM ev e JOIN ri ON ri.gauge_id = e.gauge_id AND ri.year = e.year AND ri.observed_at >= e.last + INTERVAL 3 DAY GROUP BY e.gauge_id, e.year, e.n),
+kn AS (SELECT * FROM (SELECT gauge_id, year(observed_at) AS year, count(DISTINCT observed_at) FILTER (month(observed_at) BETWEEN 5 AND 10) / 184 AS coverage FROM lg GROUP BY 1, 2) LEFT JOIN (SELECT gauge_id, year, true AS moves FROM bd) USING (gauge_id, year) LEFT JOIN (SELECT gauge_id, year, max(n) AS rises FROM ev GROUP BY 1, 2) USING (gauge_id, year)),
+cl AS (SELECT ch.*, least(greatest(change_m, p01), p99) AS clipped FROM ch JOIN bd USING (gauge_id, year)),
+sw AS (SELECT up, down, u.year, CAST(lag AS INTEGER) AS lag, count(*) AS pairs, CASE WHEN count(*) >= 3 AND min(u.clipped) < max(u.clipped) AND min(d.clipped) < max(d.clipped) THEN round(corr(u.clipped, d.clipped), 8) END AS c,
+ CASE WHEN count(*) >= 3 AND min(u.change_m) < max(u.change_m) AND min(d.change_m) < max(d.change_m) THEN corr(u.change_m, d.change_m) END AS ordinary
+ FROM {_PAIRS} JOIN cl u ON u.gauge_id = up CROSS JOIN (SELECT unnest(range(0, {LAGS + 1})) AS lag) JOIN cl d ON d.gauge_id = down AND d.year = u.year AND d.observed_at = u.observed_at + INTERVAL 1 DAY * CAST(lag AS INTEGER) WHERE abs(u.change_m) >= 5 OR abs(d.change_m) >= 5 GROUP BY 1, 2, 3, 4)
+"""
+
+
+def _recursive(sql):
+    return with_views(sql, "v_daily").replace("WITH v_daily", "WITH RECURSIVE v_daily", 1)
+
+
+def _fits(spark, d):
+    daily = _daily(spark, d)
+    later = daily.where("gauge_id = 'A'").select(F.lit("A5").alias("gauge_id"), (F.col("observed_at") + F.expr("interval 5 days")).alias("observed_at"), (F.col("level_m") + F.day("observed_at") % 4 * 9).alias("level_m"))
+    pairs = spark.createDataFrame([("A", "A5"), ("A", "N"), ("N", "R"), ("A", "R"), ("N", "none")], "up string, down string")
+    return h.lag_years(daily.unionByName(later), pairs, _AT, "DAY", 2, LAGS, quiet=5.0, least_pairs=100, rise=5.0, apart=3)
+
+
+@query("lag_year_fit", _recursive(_FIT_WITH + _FIT))
 def lag_year_fit(spark, d):
-    return h.lag_year_fit(_sweep(spark, d))
+    return _fits(spark, d)
 
 
-@query("lag_quality", with_views(f"""SELECT *, CASE WHEN failed = '' THEN 'review' ELSE 'reject' END AS recommendation FROM (
+@query("lag_quality", _recursive(_FIT_WITH + f"""SELECT *, CASE WHEN failed = '' THEN 'review' ELSE 'reject' END AS recommendation FROM (
  SELECT up, down, years, eligible_years, recommended_lag, lowest_lag, highest_lag, lag_iqr, median_corr, median_gain, round(corr_part, 6) AS correlated_share, round(stable_part, 6) AS stable_share, concat_ws(',',
   CASE WHEN eligible_years < 3 THEN 'enough_completed_years' END, CASE WHEN NOT coalesce(median_corr >= 0.35, false) THEN 'median_correlation' END, CASE WHEN corr_part < 0.7 THEN 'correlated_year_fraction' END, CASE WHEN NOT coalesce(lag_iqr <= 12, false) THEN 'lag_iqr' END,
   CASE WHEN stable_part < 0.7 THEN 'stable_year_fraction' END, CASE WHEN NOT coalesce(recommended_lag >= 1, false) THEN 'positive_lead_time' END, CASE WHEN NOT coalesce(median_gain >= 0.02, false) THEN 'improves_on_zero_lag' END) AS failed
  FROM (SELECT *, coalesce(n_corr / nullif(eligible_years, 0), 0.0) AS corr_part, coalesce(len(list_filter(lags, lambda x: abs(x - recommended_lag) <= 12)) / nullif(eligible_years, 0), 0.0) AS stable_part FROM (
   SELECT up, down, count(*) AS years, count(*) FILTER (eligible) AS eligible_years, quantile_cont(CAST(best_lag AS DOUBLE), 0.5) FILTER (eligible) AS recommended_lag, min(best_lag) FILTER (eligible) AS lowest_lag, max(best_lag) FILTER (eligible) AS highest_lag,
    quantile_cont(CAST(best_lag AS DOUBLE), 0.75) FILTER (eligible) - quantile_cont(CAST(best_lag AS DOUBLE), 0.25) FILTER (eligible) AS lag_iqr, round(median(best_corr) FILTER (eligible), 6) AS median_corr, round(median(gain) FILTER (eligible), 6) AS median_gain,
-   count(*) FILTER (eligible AND best_corr >= 0.35) AS n_corr, list(best_lag) FILTER (eligible) AS lags FROM ({_FIT}) GROUP BY 1, 2)))""", "v_daily"))
+   count(*) FILTER (eligible AND best_corr >= 0.35) AS n_corr, list(best_lag) FILTER (eligible) AS lags FROM ({_FIT}) GROUP BY 1, 2)))"""))
 def lag_quality(spark, d):
-    return h.lag_quality(h.lag_year_fit(_sweep(spark, d)))
+    return h.lag_quality(_fits(spark, d))
 
 
 @query("rise_events", with_views(f"""WITH RECURSIVE c AS (SELECT *, year(observed_at) AS year FROM ({_CHANGES})), b AS (SELECT gauge_id, year, greatest(0.02, quantile_cont(change_m, 0.9)) AS bound FROM c WHERE change_m > 0 GROUP BY 1, 2),

@@ -66,7 +66,7 @@ def vertex_edges(spark, d):
 
 
 @query("ring_area", with_views(f"""SELECT shape_id, vertices, round(abs(a), 6) AS area, round(sx / (6 * a), 6) AS cx, round(sy / (6 * a), 6) AS cy, round(abs(km2), 3) AS area_km2 FROM (SELECT shape_id, count(*) AS vertices, sum(x1 * y2 - x2 * y1) / 2 AS a,
- sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS sx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS sy, -sum(radians(x2 - x1) * (sin(radians(y1)) + sin(radians(y2))) / 2) * 6371.0 * 6371.0 AS km2 FROM ({_EDGES}) GROUP BY 1)""", "v_ring_vertices"))
+ sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS sx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS sy, -sum(radians(x2 - x1) * CASE WHEN abs(radians(y2) - radians(y1)) < 1e-12 THEN sin(radians(y1)) ELSE (cos(radians(y1)) - cos(radians(y2))) / (radians(y2) - radians(y1)) END) * 6371.0 * 6371.0 AS km2 FROM ({_EDGES}) GROUP BY 1)""", "v_ring_vertices"))
 def ring_area(spark, d):
     a = s.ring_area(_edges(spark, d))
     return a.select("shape_id", "vertices", *[F.round(c, 6).alias(c) for c in ("area", "cx", "cy")], F.round("area_km2", 3).alias("area_km2"))
@@ -133,9 +133,10 @@ def stray_owners(spark, d):
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("shape_id").orderBy(F.desc("points"), "owner_id"))).where("rank <= 5")
 
 
-_DIST = f"""SELECT point_id, shape_id, min(sqrt(pow(lon - x1 - t * dx, 2) + pow(lat - y1 - t * dy, 2))) AS distance FROM (SELECT *, greatest(0.0, least(1.0, ((lon - x1) * dx + (lat - y1) * dy) / (dx * dx + dy * dy))) AS t
- FROM (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM v_points JOIN ({_EDGES}) ON owner_id = shape_id)) GROUP BY 1, 2"""
-_SCORE = f"""SELECT shape_id, points, inside, close, max_stray, round((inside + close) / points, 6) AS agreement FROM (SELECT shape_id, count(*) AS points, count(*) FILTER (inn) AS inside, count(*) FILTER (NOT inn AND distance <= 0.05) AS close, round(max(distance) FILTER (NOT inn), 6) AS max_stray
+_DIST = f"""SELECT point_id, shape_id, min(sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2))) AS distance FROM (SELECT *, greatest(0.0, least(1.0, coalesce((px * dx + py * dy) / nullif(dx * dx + dy * dy, 0), 0.0))) AS t
+ FROM (SELECT *, (lon - x1) * k.lon_km AS px, (lat - y1) * 110.57::DOUBLE AS py, (x2 - x1) * k.lon_km AS dx, (y2 - y1) * 110.57::DOUBLE AS dy FROM v_points JOIN ({_EDGES}) ON owner_id = shape_id, (SELECT 111.32::DOUBLE * cos(radians(26.0)) AS lon_km) k)) GROUP BY 1, 2"""
+_SCORE = f"""SELECT shape_id, points, inside, close, len(s) AS strays, round(s[len(s) // 2 + 1], 6) AS median_stray_km, round(s[len(s)], 6) AS max_stray_km, round((inside + close) / points, 6) AS agreement FROM (
+ SELECT shape_id, count(*) AS points, count(*) FILTER (inn) AS inside, count(*) FILTER (NOT inn AND distance <= 0.5) AS close, coalesce(list_sort(list(distance) FILTER (NOT inn AND distance > 0.5)), []) AS s
  FROM (SELECT d.*, i.point_id IS NOT NULL AS inn FROM ({_DIST}) d LEFT JOIN (SELECT * FROM ({_INSIDE}) WHERE owner_id = shape_id) i USING (point_id)) GROUP BY 1)"""
 
 

@@ -58,18 +58,28 @@ def test_coverage_classes(spark, share, want):
     assert h.reference_years(s, 100).first()["confidence"] == want
 
 
-def test_known_lag_is_recovered(spark):
-    import random
-
-    draw = random.Random(3)
-    base = [draw.gauss(0, 1) for _ in range(200)]
-    rows = [("u", T0 + timedelta(days=i), base[i]) for i in range(150)] + [("d", T0 + timedelta(days=i), base[i - 12]) for i in range(12, 162)]
-    ch = spark.createDataFrame(rows, "gauge_id string, observed_at timestamp_ntz, change_m double").where("year(observed_at) = 2024")
-    pairs = spark.createDataFrame([("u", "d")], "up string, down string")
-    fit = h.lag_year_fit(h.lag_sweep(ch, pairs, 24)).first()
-    assert fit["best_lag"] == 12 and fit["eligible"]
-    same = h.lag_year_fit(h.lag_sweep(ch.where("gauge_id = 'u'").unionByName(ch.where("gauge_id = 'u'").withColumn("gauge_id", F.lit("d"))), pairs, 24)).first()
-    assert same["best_lag"] == 0 and "no_delay" in same["reasons"]
+def levels(name, first, values, step=timedelta(hours=1)):
+    return [(name, first + i * step, float(v)) for i, v in enumerate(values)]
+
+
+def test_years_are_fitted_and_refused_for_every_reason(spark):
+    import math
+
+    wave = lambda i: 10 + math.sin(i / 17) + 0.4 * math.sin(i / 5.3) + (2 if i % 311 < 9 else 0)
+    whole, may = [wave(i) for i in range(184 * 24)], datetime(2020, 5, 1)
+    rows = levels("u", may, whole) + levels("d", may + timedelta(hours=9), whole)  # 2020: eligible
+    rows += levels("u", may.replace(2021), whole[:2000]) + levels("d", may.replace(2021), [5.0] * 4416)  # few times, no variance
+    rows += levels("u", may.replace(2022), [wave(min(i, 300)) for i in range(4416)]) + levels("d", may.replace(2022), [wave(min(max(i - 9, 0), 300)) for i in range(4416)])  # hardly moves
+    rows += levels("u", may.replace(2023), whole) + levels("d", datetime(2023, 1, 1), [1.0])  # nothing in season
+    rows += levels("u", may.replace(2024), whole) + levels("d", may.replace(2024), whole)  # the year of the clock
+    series = spark.createDataFrame(rows, "gauge_id string, observed_at timestamp_ntz, level_m double")
+    pairs = spark.createDataFrame([("u", "d"), ("x", "d")], "up string, down string")
+    got = {(r.up, r.year): r for r in h.lag_years(series, pairs, "2024-10-31 23:00:00", lags=24, rise=0.5).collect()}
+    assert {k[1]: r.reasons for k, r in got.items() if k[0] == "u"} == {2020: "", 2021: "upstream_coverage,no_variance", 2022: "few_pairs,few_rises", 2023: "downstream_coverage,no_changes", 2024: "year_in_progress"}
+    fit = got["u", 2020]
+    assert (fit.best_lag, fit.near_low <= 9 <= fit.near_high, fit.eligible) == (9, True, True) and fit.best_corr > 0.99 and fit.gain > 0.02 and fit.rises >= 5
+    assert (got["u", 2024].best_lag, got["u", 2024].gain) == (0, 0.0)
+    assert all("upstream_coverage" in r.reasons and not r.eligible for k, r in got.items() if k[0] == "x") and ("x", 2020) in got
 
 
 def test_rise_events_are_apart_from_the_last_one_counted(spark):
