@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.text import U64, range_hashes, release
+from freshet.llm.text import U64, range_hashes, release, unused
 from freshet.shared import small_batches
 
 MARK = "▁"
@@ -293,7 +293,7 @@ def _viterbi() -> F.Column:
         {back})""")
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = (), blocks: int | None = None, verify: bool = False, block_bytes: int = BLOCK) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = (), blocks: int | None = None, verify: bool = False, block_bytes: int = BLOCK, collapse: bool = False) -> DataFrame:
     """(<id_col>, <keep_cols...>, piece_ids array<int>) of every row; with verify also decodes, whether the ids decode to
     the text again, with spaces for space marks and as many spaces as the model keeps (null for a null text).
 
@@ -315,56 +315,84 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     kept = [id_col, *keep_cols]
     named = [f"c{i}" for i in range(len(kept))]
     d = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, named, strict=True)], F.col(text_col).alias("text"))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    if collapse:
+        named.append("times")
+        d = d.withColumn("times", F.lit(1))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if blocks is None:
         blocks = max(1, -(-size // block_bytes))
     buckets = max(1, -(-size // BUCKET))
-    spread = F.xxhash64(*named, F.when(F.col("c0").isNull(), F.col("text")))
+    spread = F.xxhash64(*named[: len(kept)], F.when(F.col("c0").isNull(), F.col("text")))
     d = d.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int"))
     shared = spark.sparkContext.broadcast(pieces)
 
-    packed = d.mapInArrow(_pack, "block int, z binary").repartition(min(blocks, PARTITIONS), "block")
+    packed = d.mapInArrow(_packer(collapse), "block int, z binary").repartition(min(blocks, PARTITIONS), "block")
     lists = packed.sortWithinPartitions("block").mapInArrow(_lister(shared, buckets), "h int, block int, first int, words string").repartition(min(buckets, PARTITIONS), "h")
     listed = lists.select("h", "block", "first", F.posexplode(F.split("words", pieces.separator)).alias("i", "word")).where("word <> ''")
     ref = F.expr("shiftleft(cast(block as bigint), 32) + first + i")
     words = listed.select("h", "word", ref.alias("ref")).groupBy("word", "h").agg(F.collect_list("ref").alias("refs"))
     coded = lattice(words, pieces, ("h",), "refs").select("refs", "word", "marks")
     back = coded.mapInArrow(_sender(shared), "block int, at binary, sizes binary, ids binary")
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    made = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "piece_ids array<int>", *(["decodes boolean"] if verify else [])])
-    return packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_assembler(shared, named, [*kept, "piece_ids", *(["decodes"] if verify else [])], verify), made)
+    more, often = ["decodes"] if verify else [], unused([*kept, "piece_ids", "decodes"], "times")
+    made = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *([f"`{often}` int"] if collapse else []), "piece_ids array<int>", *(f"{c} boolean" for c in more)])
+    names = [*kept, *([often] if collapse else []), "piece_ids", *more]
+    out = packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_assembler(shared, named, names, verify), made)
+    if not collapse:
+        return out
+    return out.withColumn(often, F.explode(F.sequence(F.lit(1), F.col(often)))).drop(often)
+
+
+def _collapsed(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows without those that equal the one before; times counts them."""
+    same = np.ones(max(0, len(rows) - 1), bool)
+    for name in rows.schema.names:
+        if name != "times":
+            c = rows.column(name)
+            a, b = c.slice(1), c.slice(0, len(same))
+            equal = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False)
+            same &= equal | (pc.is_null(a).to_numpy(zero_copy_only=False) & pc.is_null(b).to_numpy(zero_copy_only=False))
+    first = np.flatnonzero(np.concatenate([[True], ~same])) if len(rows) else np.zeros(0, np.int64)
+    kept = rows.take(pa.array(first))
+    return kept.set_column(kept.schema.get_field_index("times"), "times", pa.array(np.diff(np.append(first, len(rows))), pa.int32()))
+
+
+def _packer(collapse: bool):
+    """Rows (<columns>, block) as compressed Arrow streams per block, sent on at 8 MB."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        size = 0
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+
+        def sent() -> pa.RecordBatch:
+            out = []
+            for parts in held.values():
+                table = pa.Table.from_batches(parts).combine_chunks()
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=options) as to:
+                    to.write_table(table)
+                out.append(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(out, pa.binary())], ["block", "z"])
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (<columns>, block) as compressed Arrow streams per block, sent on at 8 MB."""
-    held: dict[int, list[pa.RecordBatch]] = {}
-    size = 0
-    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
-
-    def sent() -> pa.RecordBatch:
-        out = []
-        for parts in held.values():
-            table = pa.Table.from_batches(parts).combine_chunks()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=options) as to:
-                to.write_table(table)
-            out.append(sink.getvalue().to_pybytes())
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(out, pa.binary())], ["block", "z"])
-
-    for b in batches:
-        block = b.column("block").to_numpy()
-        order = np.argsort(block, kind="stable")
-        rows = b.drop_columns(["block"]).take(pa.array(order))
-        for lo, hi in _runs(block[order]):
-            held.setdefault(int(block[order[lo]]), []).append(rows.slice(lo, hi - lo))
-        size += rows.nbytes
-        if size > 8 << 20:
+        for b in batches:
+            if collapse:
+                b = _collapsed(b)
+            block = b.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            rows = b.drop_columns(["block"]).take(pa.array(order))
+            for lo, hi in _runs(block[order]):
+                held.setdefault(int(block[order[lo]]), []).append(rows.slice(lo, hi - lo))
+            size += rows.nbytes
+            if size > 8 << 20:
+                yield sent()
+                held, size = {}, 0
+        if held:
             yield sent()
-            held, size = {}, 0
-    if held:
-        yield sent()
-    held = rows = b = None
-    release()
+        held = rows = b = None
+        release()
+
+    return run
 
 
 def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:

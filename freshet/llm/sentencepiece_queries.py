@@ -9,10 +9,10 @@ from freshet.llm.sentencepiece import BLOCK, UNIGRAM, Pieces, changed, encode
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def encoded(docs, keep_cols=(), pieces=None, block_bytes=BLOCK):
+def encoded(docs, keep_cols=(), pieces=None, block_bytes=BLOCK, collapse=False):
     """(doc_id, <keep_cols...>, n_pieces, piece_ids, decodes) of documents; nulls for a null text. A text that holds
     the space mark itself decodes to spaces there, as in the library, and is compared so."""
-    out = encode(docs, pieces or Pieces.load(MODEL), keep_cols=keep_cols, verify=True, block_bytes=block_bytes)
+    out = encode(docs, pieces or Pieces.load(MODEL), keep_cols=keep_cols, verify=True, block_bytes=block_bytes, collapse=collapse)
     n = F.when(F.col("piece_ids").isNotNull(), F.size("piece_ids"))
     return out.select("doc_id", *keep_cols, n.alias("n_pieces"), "piece_ids", "decodes")
 

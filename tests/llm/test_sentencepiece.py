@@ -81,3 +81,19 @@ def test_decode_of_foreign_ids(spark):
 def test_empty_table(spark):
     _, df = rows(spark)
     assert encode(df.limit(0), Pieces.load(MODEL)).collect() == []
+
+
+def test_repeated_rows_are_encoded_once_and_given_back(spark):
+    import pyarrow as pa
+    from freshet.llm.sentencepiece import _collapsed
+
+    rows = pa.RecordBatch.from_pydict({"c0": [1, 1, 1, None, None, 2], "text": ["a", "a", None, None, None, "b"], "times": pa.array([1] * 6, pa.int32())})
+    assert _collapsed(rows).to_pydict() == {"c0": [1, 1, None, 2], "text": ["a", None, None, "b"], "times": [2, 1, 2, 1]}
+    assert len(_collapsed(rows.slice(0, 0))) == 0
+    docs = [(i // 3, None if i % 7 == 0 else f"some text {i // 6}", "x") for i in range(60)] + [(None, "tail", None)] * 5
+    df = spark.createDataFrame(docs, "doc_id long, text string, times string").coalesce(1)
+    p = Pieces.load(MODEL)
+    plain = encode(df, p, keep_cols=("times",), verify=True).collect()
+    once = encode(df, p, keep_cols=("times",), verify=True, collapse=True)
+    assert once.columns == ["doc_id", "times", "piece_ids", "decodes"]
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, plain))
