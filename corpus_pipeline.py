@@ -67,8 +67,9 @@ def mixing(spark, docs, sf_dir):
 def sentencepiece(spark, docs, sf_dir):
     """Piece ids of every text, and whether they decode to it again.
 
-    Null text: nulls. Empty text: no ids. Null ids and repeated rows are encoded like any others."""
-    return encoded(docs, ("lang", "source"), block_bytes=BLOCK_BYTES)
+    Null text: nulls. Empty text: no ids. Null ids and repeated rows are encoded like any others; the copies that mixing
+    puts next to each other are encoded once."""
+    return encoded(docs, ("lang", "source"), block_bytes=BLOCK_BYTES, collapse=True)
 
 
 STAGES = [
