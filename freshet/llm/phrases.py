@@ -28,7 +28,9 @@ from freshet.shared import drop, keep
 #: Bytes of text that a task takes at a time.
 BLOCK = 1 << 20
 #: Phrases of a trie: what is broadcast, and built on the driver, holds at most so many.
-TRIE = 500_000
+TRIE = 250_000
+#: Counts of neighbouring phrases that are summed as one row.
+PACK = 32
 #: Bits of a level's filter, 16 MB at every size of the corpus, and bits set by one run.
 FILTER, PROBES = 1 << 27, 3
 #: Languages that fill blocks of their own in a task; texts of more begin blocks anew.
@@ -208,24 +210,40 @@ def _grower(width: int, shared):
 
 
 def _walker(shared):
-    """Times of every phrase of a trie in the blocks of a task."""
+    """Times of a trie's phrases in the blocks of a task, PACK numbers to a row; rows of zeros are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, phrases = shared.value
-        times = np.zeros(trie.size, np.int64)
+        trie, _ = shared.value
+        times = np.zeros(-(-trie.size // PACK) * PACK, np.int64)
         for b in batches:
             for symbols, codes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 number = np.append(trie.codes(np.frombuffer(symbols, U64)), np.int32(-1))
-                times += trie.count(number[np.frombuffer(codes, np.int32)])
-        seen = np.flatnonzero(times)
-        for lo in range(0, len(seen), 100_000):
-            at = seen[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([*(pa.array(phrases[at, j].view(np.int64)) for j in range(phrases.shape[1])), pa.array(times[at])], [*(f"s{j + 1}" for j in range(phrases.shape[1])), "times"])
+                times[: trie.size] += trie.count(number[np.frombuffer(codes, np.int32)])
+        packs = times.reshape(-1, PACK)
+        seen = np.flatnonzero(packs.any(1))
+        for lo in range(0, len(seen), 4000):
+            at = seen[lo : lo + 4000]
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(packs[at].ravel()), PACK).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), lists], ["pack", "times"])
         release()
 
     return run
 
 
+def _named(shared):
+    """Summed packs -> the phrases and their times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, phrases = shared.value
+        for b in batches:
+            number = (b.column("pack").to_numpy().astype(np.int64)[:, None] * PACK + np.arange(PACK)).ravel()
+            times = b.column("times").flatten().to_numpy()
+            number, times = number[times > 0], times[times > 0]
+            yield pa.RecordBatch.from_arrays([*(pa.array(phrases[number, j].view(np.int64)) for j in range(phrases.shape[1])), pa.array(times)], [*(f"s{j + 1}" for j in range(phrases.shape[1])), "times"])
+
+    return run
+
+
 def _schema(width: int) -> str:
     return ", ".join(f"s{j + 1} long" for j in range(width)) + ", times long"
 
@@ -253,7 +271,10 @@ def _counted(blocks: DataFrame, candidates: DataFrame, longest: int) -> list[Dat
         phrases = np.stack([rows.column(c).to_numpy().view(U64) for c in names], 1)
         shared = spark.sparkContext.broadcast((Trie.of(phrases), phrases))
         with _batches(spark):
-            out.append(keep(blocks.mapInArrow(_walker(shared), _schema(longest)).groupBy(*names).agg(F.sum("times").alias("a")), "phrases"))
+            packs = blocks.mapInArrow(_walker(shared), "pack int, times array<long>")
+            summed = packs.groupBy("pack").agg(*[F.sum(F.get("times", F.lit(i))).alias(f"t{i}") for i in range(PACK)])
+            summed = summed.select("pack", F.array(*[f"t{i}" for i in range(PACK)]).alias("times"))
+            out.append(keep(summed.mapInArrow(_named(shared), _schema(longest)).withColumnRenamed("times", "a"), "phrases"))
         shared.destroy()
     return out
 
