@@ -57,10 +57,11 @@ def grid_text(spark: SparkSession, path: str, fill: float = -9999.9) -> DataFram
     """Grid text files ("lon, ...", "lat, ...", then one line per latitude) as (file, lon, lat, rate); the fill value
     is missing, a matrix of another shape than its axes gives no rows."""
     f = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
-    numbers = lambda line: F.transform(F.slice(F.split(line, ","), 2, 100_000), lambda x: x.cast("double"))
-    f = f.withColumns({"lons": numbers(F.element_at("lines", 1)), "lats": numbers(F.element_at("lines", 2)), "rows": F.slice("lines", 3, 100_000)})
+    after = lambda parts, n: F.slice(parts, n + 1, F.greatest(F.size(parts) - n, F.lit(0)))
+    numbers = lambda line: F.transform(after(F.split(line, ","), 1), lambda x: x.cast("double"))
+    f = f.withColumns({"lons": numbers(F.try_element_at("lines", F.lit(1))), "lats": numbers(F.try_element_at("lines", F.lit(2))), "rows": after(F.col("lines"), 2)})
     f = f.where(F.size("rows") == F.size("lats"))
-    r = f.select("file", "lons", "lats", F.posexplode("rows").alias("j", "line"))
+    r = f.select("file", "lons", F.explode(F.arrays_zip("lats", "rows")).alias("r")).select("file", "lons", F.col("r.lats").alias("lat"), F.col("r.rows").alias("line"))
     r = r.withColumn("vals", F.transform(F.split("line", ","), lambda x: x.cast("double"))).where(F.size("vals") == F.size("lons"))
-    c = r.select("file", "lons", F.element_at("lats", F.col("j") + 1).alias("lat"), F.posexplode("vals").alias("i", "rate"))
-    return c.select("file", F.element_at("lons", F.col("i") + 1).alias("lon"), "lat", F.when(F.col("rate") != fill, F.col("rate")).alias("rate"))
+    c = r.select("file", "lat", F.explode(F.arrays_zip("lons", "vals")).alias("c"))
+    return c.select("file", F.col("c.lons").alias("lon"), "lat", F.when(F.col("c.vals") != fill, F.col("c.vals")).alias("rate"))

@@ -79,3 +79,12 @@ def test_inbox_and_grid_files(spark, tmp_path):
     (grid / "h.txt").write_text("lon, 90.0, 90.1\nlat, 25.0\n1.0\n")
     cells = sorted((r["lon"], r["lat"], r["rate"]) for r in files.grid_text(spark, str(grid)).collect())
     assert cells == [(90.0, 25.0, 1.0), (90.0, 25.1, 2.0), (90.1, 25.0, None), (90.1, 25.1, 3.0)]
+
+
+def test_grid_rows_and_axes_have_no_limit(spark, tmp_path):
+    n = 100_100
+    lines = ["lon, 90.0", "lat, " + ", ".join(str(i / 1000) for i in range(n)), *("1.5" for _ in range(n))]
+    (tmp_path / "g.txt").write_text("\n".join(lines))
+    (tmp_path / "short.txt").write_text("lon")
+    (tmp_path / "empty.txt").write_text("")
+    assert files.grid_text(spark, str(tmp_path)).agg(F.count("*"), F.max("lat")).first() == (n, (n - 1) / 1000)
