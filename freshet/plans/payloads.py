@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from freshet.operators import privacy
 from freshet.plans.bindings import table
 from freshet.plans.registry import query
+from freshet.sources import contracts as c
 
 _LEAF = r"""SELECT doc_id AS id, fullkey AS path, type, atom, atom ->> '$' AS leaf, lon, lat, regexp_extract(fullkey, '\.([a-z_]+)(\[[0-9]+\])*$', 1) AS name, regexp_matches(fullkey, '\.[a-z_]+$') AS named FROM p, json_tree(p.body) WHERE type <> 'NULL'"""
 
@@ -33,3 +36,66 @@ def pii_paths(spark, d):
     )
     payloads = docs.select("doc_id", F.to_json(body).alias("body"), "lon", "lat")
     return privacy.findings(payloads, "doc_id", "body", F.array(F.col("lon").cast("string"), F.col("lat").cast("string")), levels=4)
+
+
+_OBS = """o AS (SELECT event_id, event_id // 20 AS payload, row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) - 1 AS i, CASE WHEN event_id % 101 <> 0 THEN 'C' || CAST(user_id % 4 AS VARCHAR) END AS cell,
+ 89 + user_id % 100 * 1.0::DOUBLE AS lon, CASE WHEN event_id % 97 = 0 THEN -value WHEN event_id % 89 <> 0 THEN value END AS rate, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t0, CASE WHEN event_id % 83 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(ts + INTERVAL 30 MINUTE, '%Y-%m-%dT%H:%M:%SZ') END AS t1 FROM events),
+f AS (SELECT payload, '$.observations[' || CAST(i AS VARCHAR) || ']' AS spot, o.* EXCLUDE (payload) FROM o), h AS (SELECT DISTINCT payload FROM o),
+b AS (SELECT payload, '$.units' AS path, 'not as pinned' AS reason FROM h WHERE payload % 17 = 0 UNION ALL SELECT payload, '$.product_version', 'not as pinned' FROM h WHERE payload % 23 = 0 UNION ALL SELECT payload, '$.product_short_name', 'not that of run' FROM h WHERE payload % 29 = 0
+ UNION ALL SELECT payload, spot || '.grid_cell_id', 'missing' FROM f WHERE cell IS NULL UNION ALL SELECT payload, spot || '.longitude', 'out of range' FROM f WHERE NOT lon BETWEEN -180 AND 180
+ UNION ALL SELECT payload, spot || '.precipitation_rate', 'not a number' FROM f WHERE rate IS NULL UNION ALL SELECT payload, spot || '.precipitation_rate', 'out of range' FROM f WHERE rate < 0
+ UNION ALL SELECT payload, spot || '.interval_end', 'not after its start' FROM f WHERE t0 >= t1)"""
+
+
+def _granules(spark, d):
+    """Rain payloads of twenty events each, some with a wrong head, some with wrong rows."""
+    e, k, n = table(spark, d, "events"), F.col("payload"), F.col("event_id")
+    stamp = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    obs = F.struct(
+        "event_id", F.when(n % 101 != 0, F.concat(F.lit("C"), (F.col("user_id") % 4).cast("string"))).alias("grid_cell_id"), (F.lit(89.0) + F.col("user_id") % 100).alias("longitude"), F.lit(26.0).alias("latitude"),
+        F.when(n % 97 == 0, -F.col("value")).when(n % 89 != 0, F.col("value")).alias("precipitation_rate"), stamp(F.col("ts")).alias("interval_start"),
+        F.when(n % 83 == 0, stamp(F.col("ts"))).otherwise(stamp(F.col("ts") + F.expr("interval 30 minutes"))).alias("interval_end"),
+    )
+    g = e.groupBy(F.floor(n / 20).alias("payload")).agg(F.array_sort(F.collect_list(obs)).alias("observations"))
+    short = F.when(k % 29 == 0, "other").when(k % 2 == 0, "GPM_3IMERGHHE.07").otherwise("GPM_3IMERGHHL.07")
+    body = F.struct(
+        F.when(k % 17 == 0, "mm").otherwise("mm/hour").alias("units"), F.when(k % 23 == 0, "06").otherwise("07").alias("product_version"),
+        F.when(k % 2 == 0, "early").otherwise("late").alias("run"), short.alias("product_short_name"), "observations",
+    )
+    return g.select("payload", F.to_json(body).alias("body"))
+
+
+@query("contract_breaches", f"WITH {_OBS} SELECT payload, path, reason FROM b")
+def contract_breaches(spark, d):
+    judged = c.judge(_granules(spark, d), "body", c.RAIN_GRID)
+    return judged.select("payload", F.explode("breaches").alias("b")).select("payload", "b.path", "b.reason")
+
+
+@query("contract_rows", f"WITH {_OBS} SELECT payload, cell AS grid_cell_id, lon AS longitude, rate AS precipitation_rate, t0 AS interval_start FROM o WHERE payload NOT IN (SELECT payload FROM b)")
+def contract_rows(spark, d):
+    """Rows of payloads that keep the contract; one breach refuses all rows of its payload."""
+    judged = c.judge(_granules(spark, d), "body", c.RAIN_GRID)
+    r = c.rows(judged, "body", c.RAIN_GRID, ("payload",))
+    return r.select("payload", "grid_cell_id", "longitude", "precipitation_rate", F.date_format("interval_start", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("interval_start"))
+
+
+@query("forecast_contract", """WITH v AS (SELECT l_orderkey AS k, CAST(l_shipdate AS DATE) AS due, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE l_linenumber END, l_shipdate) AS i FROM lineitem),
+w AS (SELECT k, due, lag(due) OVER (PARTITION BY k ORDER BY i) AS before FROM v), o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS issued FROM orders),
+b AS (SELECT k, 'no values' AS reason FROM o WHERE k NOT IN (SELECT k FROM v) UNION ALL SELECT k, 'outside the horizon' FROM o JOIN w USING (k) WHERE due < issued OR due > issued + 400
+ UNION ALL SELECT DISTINCT k, 'not in order of time' FROM o JOIN w USING (k) WHERE due < before UNION ALL SELECT k, 'not a number' FROM o JOIN w USING (k) WHERE k % 11 = 0)
+SELECT k AS payload, coalesce(reason, 'accepted') AS reason, count(*) AS n FROM o LEFT JOIN b USING (k) GROUP BY 1, 2""")
+def forecast_contract(spark, d):
+    """Orders as forecasts, shipping dates as their values; the horizon is 400 days here."""
+    stamp = lambda t: F.date_format(t, "yyyy-MM-dd'T00:00:00Z'")
+    k = F.col("l_orderkey")
+    line = F.struct(F.when(k % 2 == 0, 0).otherwise(F.col("l_linenumber")).alias("place"), stamp("l_shipdate").alias("valid_at"), F.when(k % 11 != 0, F.col("l_quantity")).alias("discharge_m3_per_second"))
+    values = table(spark, d, "lineitem").groupBy(k.alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("values"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate").join(values, "o_orderkey", "left")
+    point = F.struct(F.lit("g").alias("grid_cell_id"), F.array(F.lit(91.0), F.lit(26.5)).alias("coordinates"), F.coalesce("values", F.array().cast(values.schema["values"].dataType)).alias("values"))
+    body = F.struct(
+        F.lit("cems-glofas-forecast").alias("dataset"), F.lit("4.5").alias("system_version"), F.lit(30).alias("forecast_horizon_days"), F.lit("m3/s").alias("units"),
+        F.lit("ensemble_mean").alias("ensemble_statistic"), stamp("o_orderdate").alias("issued_at"), F.array(point).alias("grid_points"),
+    )
+    judged = c.judge(orders.select(F.col("o_orderkey").alias("payload"), F.to_json(body).alias("body")), "body", replace(c.DISCHARGE_FORECAST, horizon_days=400))
+    found = judged.select("payload", F.explode(F.when(F.col("accepted"), F.array(F.lit("accepted"))).otherwise(F.col("breaches.reason"))).alias("reason"))
+    return found.groupBy("payload", "reason").agg(F.count("*").alias("n"))
