@@ -11,6 +11,8 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freshet.shared import once
+
 # Fields of a bulletin, kinds of damage, published parts.
 CORE_FIELDS = (
     "affected_districts", "affected_revenue_circles", "affected_villages", "affected_population", "crop_area_submerged_hectares", "relief_camps_open",
@@ -41,7 +43,7 @@ _IST = timezone(timedelta(hours=5, minutes=30))
 def read(bulletins: DataFrame, json: str) -> DataFrame:
     """bulletins with `doc`, parsed by the pinned schema, and `unreadable`, true where the text is null or breaks it."""
     d = F.from_json(json, f"{SCHEMA}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
-    return bulletins.withColumn("doc", d).withColumn("unreadable", F.col("doc").isNull() | F.col("doc._broken").isNotNull())
+    return once(bulletins, doc=d).withColumn("unreadable", F.col("doc").isNull() | F.col("doc._broken").isNotNull())
 
 
 def _listed(value: Column, kind: str = "string") -> Column:
@@ -112,11 +114,14 @@ def _components(d: Column) -> Column:
     return _paths(*out)
 
 
-def _district_sums(d: Column) -> Column:
-    """Totals are compared only where every affected district has detail and the field; of a district that is there
-    twice the last one counts."""
+def _affected_rows(d: Column) -> Column:
+    """The detail of every affected district, null where there is none; of a district that is there twice the last."""
+    return F.transform(F.array_distinct(d["affected_district_names"]), lambda n: F.try_element_at(F.filter(d["districts"], lambda x: x["district"] == n), F.lit(-1)))
+
+
+def _district_sums(d: Column, rows: Column) -> Column:
+    """Totals are compared only where every affected district has detail and the field."""
     s, names = d["summary"], d["affected_district_names"]
-    rows = F.transform(F.array_distinct(names), lambda n: F.try_element_at(F.filter(d["districts"], lambda x: x["district"] == n), F.lit(-1)))
     complete = (F.size(rows) > 0) & ~F.exists(rows, lambda x: x.isNull())
     out = [(~_equal(s["affected_districts"], F.size(_listed(names)).cast("double")), "summary.affected_districts")]
     for f in CORE_FIELDS[1:]:
@@ -125,28 +130,28 @@ def _district_sums(d: Column) -> Column:
     return _paths(*out)
 
 
-def _actual(d: Column, kind: str) -> Column:
+def _record_count(d: Column, kind: str) -> Column:
     return F.coalesce(F.size(F.filter(d["infrastructure"], lambda x: x["incident_type"] == kind)), F.lit(0)).cast("double")
 
 
-def _record_counts(d: Column) -> Column:
+def _record_counts(d: Column, actual: dict[str, Column]) -> Column:
     seen = d["summary"]["infrastructure_records_extracted"]
-    return _paths(*[(~_part(seen, t, None).eqNullSafe(_actual(d, t)), f"summary.infrastructure_records_extracted.{t}") for t in INFRASTRUCTURE_TYPES])
+    return _paths(*[(~_part(seen, t, None).eqNullSafe(actual[t]), f"summary.infrastructure_records_extracted.{t}") for t in INFRASTRUCTURE_TYPES])
 
 
-def mismatched(d: Column) -> Column:
+def _mismatched(d: Column, actual: dict[str, Column]) -> Column:
     """Kinds of damage whose declared number is not that of the records."""
     declared = d["summary"]["infrastructure_incidents"]
-    return _paths(*[(~_part(declared, t, None).eqNullSafe(_actual(d, t)), t) for t in INFRASTRUCTURE_TYPES])
+    return _paths(*[(~_part(declared, t, None).eqNullSafe(actual[t]), t) for t in INFRASTRUCTURE_TYPES])
 
 
-def _source_counts(d: Column) -> tuple[Column, Column]:
+def _source_counts(d: Column, actual: dict[str, Column], kinds: Column) -> tuple[Column, Column]:
     """Status and paths: a mismatch is approved (warn) if the extractor warned of exactly these numbers."""
-    warned, kinds, declared = d["extraction_warnings"], mismatched(d), d["summary"]["infrastructure_incidents"]
+    warned, declared = d["extraction_warnings"], d["summary"]["infrastructure_incidents"]
     excused = F.lit(True)
     for t in INFRASTRUCTURE_TYPES:
         last = F.try_element_at(F.filter(warned, lambda w: (w["code"] == COUNT_MISMATCH) & (w["incident_type"] == t)), F.lit(-1))
-        same = last.isNotNull() & last["reported_count"].eqNullSafe(_part(declared, t, None)) & last["extracted_record_count"].eqNullSafe(_actual(d, t))
+        same = last.isNotNull() & last["reported_count"].eqNullSafe(_part(declared, t, None)) & last["extracted_record_count"].eqNullSafe(actual[t])
         excused = excused & (~F.array_contains(kinds, t) | F.coalesce(same, F.lit(False)))
     odd = F.coalesce(F.exists(warned, lambda w: ~F.coalesce((w["code"] == COUNT_MISMATCH) & F.array_contains(kinds, w["incident_type"]), F.lit(False))), F.lit(False))
     status = F.when((F.size(kinds) == 0) & ~odd, "pass").when((F.size(kinds) > 0) & excused & ~odd, "warn").otherwise("fail")
@@ -206,16 +211,21 @@ def _temporal(d: Column, now: str) -> Column:
 
 def suite(read_bulletins: DataFrame, now: str) -> DataFrame:
     """Bulletins from read() with `checks`, an array of (check, status, paths) in fixed order. now: ISO time with offset."""
-    d = F.col("doc")
-    status, paths = _source_counts(d)
+    d, kinds = F.col("doc"), F.col("_kinds")
+    actual = {t: F.col(f"_n_{t}") for t in INFRASTRUCTURE_TYPES}
+    rows = read_bulletins.withColumns({"_rows": _affected_rows(d)} | {f"_n_{t}": _record_count(d, t) for t in INFRASTRUCTURE_TYPES})
+    rows = rows.withColumn("_kinds", _mismatched(d, actual))
+    status, paths = _source_counts(d, actual, kinds)
     broken = F.when(F.col("unreadable"), F.array(F.lit("<root>"))).otherwise(F.array().cast("array<string>"))
     all_ = {
         "bulletin_schema": broken, "source_identity": _identity(d), "required_impact_fields": _required(d), "non_negative_metrics": _non_negative(d), "component_arithmetic": _components(d),
-        "district_arithmetic": _district_sums(d), "field_provenance": _provenance(d), "temporal_contract": _temporal(d, now), "infrastructure_record_count": _record_counts(d),
+        "district_arithmetic": _district_sums(d, F.col("_rows")), "field_provenance": _provenance(d), "temporal_contract": _temporal(d, now), "infrastructure_record_count": _record_counts(d, actual),
         "infrastructure_source_reconciliation": paths, "coordinate_scope": _coordinates(d),
     }
     verdict = lambda name, bad: status if name == "infrastructure_source_reconciliation" else F.when(F.size(bad) == 0, "pass").otherwise("fail")
-    return read_bulletins.withColumn("checks", F.array(*[F.struct(F.lit(n).alias("check"), verdict(n, p).alias("status"), p.alias("paths")) for n, p in all_.items()]))
+    found = rows.withColumns({f"_{n}": p for n, p in all_.items()})
+    listed = F.array(*[F.struct(F.lit(n).alias("check"), verdict(n, F.col(f"_{n}")).alias("status"), F.col(f"_{n}").alias("paths")) for n in all_])
+    return found.withColumn("checks", listed).drop("_rows", "_kinds", *[f"_n_{t}" for t in INFRASTRUCTURE_TYPES], *[f"_{n}" for n in all_])
 
 
 def long(checked: DataFrame, *ids: str) -> DataFrame:

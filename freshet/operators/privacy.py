@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freshet.shared import once
+
 # Field names that are personal data whatever they hold.
 PII_KEYS = (
     "name", "full_name", "first_name", "last_name", "phone", "phone_number", "mobile", "email", "email_address", "imei", "imsi",
@@ -63,7 +65,8 @@ def findings(
     The tree is opened level by level in one narrow stage, each level an explode; `levels` is measured over all
     payloads if not given. A payload given twice is reported once."""
     text = F.col(json_col)
-    base = payloads.select(F.col(id_col).alias("id"), (F.lit(None).cast("array<string>") if banned is None else banned).alias("banned"), F.try_parse_json(text).alias("v"), nesting(text).alias("depth"))
+    base = payloads.select(F.col(id_col).alias("id"), (F.lit(None).cast("array<string>") if banned is None else banned).alias("banned"), text.alias("text"))
+    base = once(base, v=F.try_parse_json(F.col("text")), depth=nesting(F.col("text"))).drop("text")
     if levels is None:
         levels = base.where((F.col("depth") <= deepest) & F.col("v").isNotNull()).agg(F.max("depth")).first()[0] or 0
     too_deep = F.col("depth") > min(levels, deepest)

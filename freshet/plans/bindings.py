@@ -38,6 +38,16 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_hierarchy": (("orders", "customer", "nation", "region"), """SELECT r_name AS state, n_name AS district, c_custkey AS circle, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(20, 2)) AS affected
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY 1, 2, 3"""),
     "v_deliveries": (("events",), "SELECT user_id AS subject_id, event_id AS delivery_id, ts, event_type FROM {events}"),
+    "v_bulletins": (("orders",), """SELECT o_orderkey AS k, o_custkey AS stream, CAST(o_orderdate AS DATE) AS day, concat('r', CAST(o_orderkey AS STRING)) AS revision_id,
+        concat('r', CAST(o_orderkey AS STRING), '-extractor-v', CASE WHEN o_orderkey % 41 = 0 THEN '2' ELSE '3' END) AS artifact_id,
+        concat(CAST(CAST(o_orderdate AS DATE) - CASE WHEN o_orderkey % 59 = 0 THEN 2 ELSE 0 END AS STRING), 'T20:00:00Z') AS fetched_at, CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 0 END AS more_people,
+        CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE 0 END AS more_stock, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS more_bridges, CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS warned,
+        CASE WHEN o_orderkey % 43 = 0 THEN 1 ELSE 0 END AS more_roads, CASE WHEN o_orderkey % 47 = 0 THEN 0 ELSE 1 END AS page, o_orderkey % 37 <> 0 AS with_villages FROM {orders}"""),
+    "v_bulletin_districts": (("lineitem",), """SELECT l_orderkey AS k, concat('D', CAST(l_linenumber AS STRING)) AS district, sum(l_quantity) AS people, CASE WHEN l_orderkey % 31 = 0 THEN -1.0D ELSE 1.0D END AS dead
+        FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""),
+    "v_bulletin_records": (("lineitem",), """SELECT l_orderkey AS k, l_partkey AS part, CASE l_partkey % 4 WHEN 0 THEN 'road' WHEN 1 THEN 'bridge' WHEN 2 THEN 'embankment_breached' ELSE 'embankment_affected' END AS incident_type,
+        CASE WHEN l_suppkey % 2 = 0 THEN 'valid' ELSE 'absent' END AS coordinate_validation, 89.5D + l_partkey % 800 / 100.0D AS longitude, CASE WHEN l_suppkey % 2 = 0 AND l_partkey % 50 <> 0 THEN 'coordinates' ELSE 'district' END AS match_scope,
+        CASE WHEN l_partkey % 200 = 1 THEN 0 ELSE 1 END AS page FROM {lineitem}"""),
     "v_links": (("pages",), "SELECT page_id, url, html FROM {pages}"),
 }
 

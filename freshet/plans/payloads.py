@@ -6,8 +6,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from freshet.operators import privacy
-from freshet.plans.bindings import table
+from freshet.operators import checks, privacy
+from freshet.plans.bindings import table, view, with_views
 from freshet.plans.registry import query
 from freshet.sources import contracts as c
 
@@ -99,3 +99,69 @@ def forecast_contract(spark, d):
     judged = c.judge(orders.select(F.col("o_orderkey").alias("payload"), F.to_json(body).alias("body")), "body", replace(c.DISCHARGE_FORECAST, horizon_days=400))
     found = judged.select("payload", F.explode(F.when(F.col("accepted"), F.array(F.lit("accepted"))).otherwise(F.col("breaches.reason"))).alias("reason"))
     return found.groupBy("payload", "reason").agg(F.count("*").alias("n"))
+
+
+#: The clock of the bulletins' checks, and how many days they stay fresh.
+NOW, FRESH = "2002-01-01T00:00:00+05:30", 1200
+_BULLETINS = ("v_bulletins", "v_bulletin_districts", "v_bulletin_records")
+
+
+def _bulletins(spark, d):
+    """Orders as bulletins in JSON: lines as districts and as records of damage, with breaches of every kind of check."""
+    b, dist, rec = (view(spark, d, n) for n in _BULLETINS)
+    field = lambda x: F.struct(x["district"].alias("district"), *[{"affected_population": x["people"], "confirmed_deaths": x["dead"]}.get(f, F.lit(1.0)).alias(f) for f in checks.CORE_FIELDS[1:]])
+    dist = dist.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("district", "people", "dead"))).alias("ds"))
+    rec = rec.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("part", "incident_type", "coordinate_validation", "longitude", "match_scope", "page"))).alias("rs"))
+    j = b.join(dist, "k", "left").join(rec, "k", "left")
+    j = j.withColumns({n: F.coalesce(n, F.array().cast(j.schema[n].dataType)) for n in ("ds", "rs")}).withColumn("report_date", F.col("day").cast("string"))
+    refs = lambda page: F.array(F.struct(F.col("revision_id").alias("source_revision_sha256"), "report_date", F.lit(3).alias("extractor_version"), page.alias("page"), F.lit(1).alias("table"), F.lit(1).alias("row")))
+    n = F.size("ds").cast("double")
+    add = lambda f: F.aggregate("ds", F.lit(0.0), lambda a, x: a + x[f])
+    core = {"affected_population": add("people") + F.col("more_people"), "confirmed_deaths": add("dead"), "affected_villages": F.when(F.col("with_villages"), n)}
+    actual = {t: F.size(F.filter("rs", lambda x: x["incident_type"] == t)) for t in checks.INFRASTRUCTURE_TYPES}
+    plus = lambda **more: F.struct(*[(c + F.col(more[t]) if t in more else c).alias(t) for t, c in actual.items()])
+    nothing = F.create_map().cast("map<string,double>")
+    summary = F.struct(
+        *[core.get(f, n).alias(f) for f in checks.CORE_FIELDS], F.struct(n.alias("big_animals"), n.alias("poultry"), (2 * n + F.col("more_stock")).alias("total")).alias("livestock_affected"),
+        *[nothing.alias(f) for f in checks.BREAKDOWN_FIELDS[1:]], plus(bridge="more_bridges").alias("infrastructure_incidents"), plus(road="more_roads").alias("infrastructure_records_extracted"),
+    )
+    warning = F.struct(F.lit(checks.COUNT_MISMATCH).alias("code"), F.lit("bridge").alias("incident_type"), (actual["bridge"] + F.col("more_bridges")).alias("reported_count"), actual["bridge"].alias("extracted_record_count"))
+    records = F.transform("rs", lambda x: F.struct(x["incident_type"].alias("incident_type"), x["coordinate_validation"].alias("coordinate_validation"), x["longitude"].alias("longitude"), F.lit(26.0).alias("latitude"), x["match_scope"].alias("match_scope"), refs(x["page"]).alias("provenance")))
+    body = F.struct(
+        "revision_id", "artifact_id", F.lit(3).alias("extractor_version"), "report_date", F.struct(F.col("revision_id").alias("sha256"), "fetched_at").alias("source"),
+        F.transform("ds", lambda x: x["district"]).alias("affected_district_names"), summary.alias("summary"), F.transform("ds", field).alias("districts"), records.alias("infrastructure"),
+        F.array().cast("array<string>").alias("relief_material_notes"), F.struct(refs(F.col("page")).alias("summary")).alias("field_provenance"), F.filter(F.array(warning), lambda _: F.col("warned") == 1).alias("extraction_warnings"),
+    )
+    return j.select("k", "stream", "day", "revision_id", "fetched_at", F.to_json(body).alias("body"))
+
+
+_CHECKS = """g AS (SELECT k, count(*) AS n, sum(people) AS people, sum(dead) AS dead, count(*) FILTER (dead < 0) AS below FROM v_bulletin_districts GROUP BY 1),
+i AS (SELECT k, count(*) FILTER (incident_type = 'bridge') AS bridges, count(*) FILTER (page < 1) AS unsourced, count(*) FILTER (coordinate_validation = 'valid' AND match_scope <> 'coordinates') AS lost FROM v_bulletin_records GROUP BY 1),
+a AS (SELECT b.*, coalesce(n, 0) AS n, coalesce(people, 0) AS people, coalesce(dead, 0) AS dead, coalesce(below, 0) AS below, coalesce(unsourced, 0) AS unsourced, coalesce(lost, 0) AS lost FROM v_bulletins b LEFT JOIN g USING (k) LEFT JOIN i USING (k)),
+c AS (SELECT k, 'bulletin_schema' AS "check", 0 AS bad FROM a UNION ALL SELECT k, 'source_identity', CASE WHEN artifact_id <> revision_id || '-extractor-v3' THEN 3 ELSE 0 END FROM a
+ UNION ALL SELECT k, 'required_impact_fields', CASE WHEN with_villages THEN 0 ELSE 1 END FROM a UNION ALL SELECT k, 'non_negative_metrics', below + CASE WHEN dead < 0 THEN 1 ELSE 0 END FROM a
+ UNION ALL SELECT k, 'component_arithmetic', CASE WHEN n + n <> 2 * n + more_stock THEN 1 ELSE 0 END FROM a UNION ALL SELECT k, 'district_arithmetic', CASE WHEN n > 0 AND people <> people + more_people THEN 1 ELSE 0 END FROM a
+ UNION ALL SELECT k, 'field_provenance', CASE WHEN page < 1 THEN 1 ELSE 0 END + unsourced FROM a UNION ALL SELECT k, 'temporal_contract', CASE WHEN day > DATE '2002-01-01' OR CAST(CAST(replace(left(fetched_at, 19), 'T', ' ') AS TIMESTAMP) + INTERVAL 330 MINUTE AS DATE) < day THEN 2 ELSE 0 END FROM a
+ UNION ALL SELECT k, 'infrastructure_record_count', more_roads FROM a UNION ALL SELECT k, 'infrastructure_source_reconciliation', more_bridges FROM a UNION ALL SELECT k, 'coordinate_scope', lost FROM a),
+l AS (SELECT k, "check", CASE WHEN bad = 0 THEN 'pass' WHEN "check" = 'infrastructure_source_reconciliation' AND warned = 1 THEN 'warn' ELSE 'fail' END AS status, CAST(bad AS INTEGER) AS n_paths FROM c JOIN v_bulletins USING (k))"""
+
+
+@query("bulletin_checks", with_views(f'WITH {_CHECKS} SELECT k, "check", status, n_paths FROM l', *_BULLETINS))
+def bulletin_checks(spark, d):
+    checked = checks.suite(checks.read(_bulletins(spark, d), "body"), NOW)
+    return checks.long(checked, "k").select("k", "check", "status", F.size("paths").alias("n_paths"))
+
+
+@query("bulletin_states", with_views(f"""WITH {_CHECKS},
+f AS (SELECT k, count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'warn') AS warned, coalesce(string_agg("check", ',' ORDER BY "check") FILTER (status = 'fail'), '') AS failures FROM l GROUP BY 1),
+p AS (SELECT stream, arg_max(day, (day, k)) AS cday, arg_max(k, (day, k)) AS ck, arg_max(fetched_at, (day, k)) AS cf FROM v_bulletins WHERE k % 2 = 0 GROUP BY 1)
+SELECT k, CASE WHEN failed > 0 THEN 'quarantined' WHEN day < cday THEN 'historical' WHEN day = cday AND k <> ck AND fetched_at <= cf THEN 'superseded' WHEN date_diff('day', day, DATE '2002-01-01') > {FRESH} THEN 'historical' WHEN f.warned > 0 THEN 'validated_partial' ELSE 'validated' END AS state,
+ CASE WHEN failed > 0 THEN 'none' WHEN f.warned > 0 THEN '{checks.COUNT_PROFILE}' ELSE 'impact-v1' END AS profile, CASE WHEN failed > 0 THEN 0 WHEN f.warned > 0 THEN 7 ELSE 6 END AS n_allowed, failures FROM v_bulletins JOIN f USING (k) LEFT JOIN p USING (stream)""", *_BULLETINS))
+def bulletin_states(spark, d):
+    """Each bulletin against the current one of its stream: here the newest with an even number."""
+    newest = F.max(F.struct("day", "k", "revision_id", "fetched_at"))
+    current = view(spark, d, "v_bulletins").where("k % 2 = 0").groupBy("stream").agg(newest.alias("m"))
+    current = current.select("stream", F.struct(F.col("m.day").alias("report_date"), "m.revision_id", F.col("m.fetched_at").cast("timestamp").alias("fetched_at")).alias("current"))
+    checked = checks.suite(checks.read(_bulletins(spark, d).join(current, "stream", "left"), "body"), NOW)
+    s = checks.state(checked, NOW, FRESH)
+    return s.select("k", "state", "profile", F.size("allowed_fields").alias("n_allowed"), F.array_join(F.array_sort("failures"), ",").alias("failures"))

@@ -48,6 +48,14 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return rows.join(begins, "_part").withColumn(name, F.col("_before") + F.col("_nth") + 1).drop("_part", "_nth", "_before")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once per row. The optimizer copies an expression such as a parsed text into
+    every field access; behind a generator of one element it stays one, without a shuffle."""
+    for name, expr in columns.items():
+        df = df.select("*", F.explode(F.array(expr)).alias(name))
+    return df
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table from keep() that no later step reads."""
     spark, path = df.sparkSession, getattr(df, "kept_at", None)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freshet.shared import once
+
 
 @dataclass(frozen=True)
 class Contract:
@@ -119,10 +121,10 @@ def _row_breaches(c: Contract, v: Column, row: Column, at: Column) -> Column:
     return F.concat(found, empty, unordered, each)
 
 
-def breaches(json: Column | str, contract: Contract) -> Column:
-    """All breaches of a payload as array<struct<path, reason>>; empty: it keeps the contract. Null or unreadable text is
-    one breach of `$`. A pinned number is compared by its text."""
-    c, v = contract, F.try_parse_json(F.col(json) if isinstance(json, str) else json)
+def breaches(v: Column, contract: Contract) -> Column:
+    """All breaches of a parsed payload as array<struct<path, reason>>; empty: it keeps the contract. Null, which is also
+    unreadable text, is one breach of `$`. A pinned number is compared by its text."""
+    c = contract
     head = [_breach(~_text(v, n).isin(*allowed), f"$.{n}", "not as pinned") for n, allowed in c.pins.items()]
     if c.paired:
         name, other, pairs = c.paired
@@ -139,7 +141,8 @@ def breaches(json: Column | str, contract: Contract) -> Column:
 
 def judge(payloads: DataFrame, json: str, contract: Contract) -> DataFrame:
     """payloads with breaches and accepted; narrow, so nothing is shuffled."""
-    judged = payloads.withColumn("breaches", breaches(json, contract))
+    parsed = once(payloads, _v=F.try_parse_json(F.col(json)))
+    judged = once(parsed, breaches=breaches(F.col("_v"), contract)).drop("_v")
     return judged.withColumn("accepted", F.size("breaches") == 0)
 
 
@@ -147,7 +150,7 @@ def rows(judged: DataFrame, json: str, contract: Contract, keep: tuple[str, ...]
     """The rows of accepted payloads, typed: head pins, texts, numbers and times; with values, one row per value and its
     tier: `medium_range` up to 15 days after issue, `extended_range` later."""
     c = contract
-    v = judged.where("accepted").select(*keep, F.try_parse_json(F.col(json)).alias("_v"))
+    v = once(judged.where("accepted").select(*keep, json), _v=F.try_parse_json(F.col(json)))
     v = v.withColumn("_r", F.explode(_list(F.col("_v"), c.rows)))
     r = F.col("_r")
     cols = [_text(F.col("_v"), n).alias(n) for n in c.pins] + [_text(r, n).alias(n) for n in c.texts]
