@@ -5,57 +5,18 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.operators.spatial import grid_key, haversine_km, points_in_shapes, rasterize
-
-
-def clipped_area(xs: np.ndarray, ys: np.ndarray, west: float, south: float, east: float, north: float) -> float:
-    """Area of a ring inside a box: the ring is cut at the four sides in turn."""
-    ring = np.stack([np.asarray(xs, float), np.asarray(ys, float)], axis=1)
-    for axis, bound, sign in ((0, west, 1), (0, east, -1), (1, south, 1), (1, north, -1)):
-        if not len(ring):
-            return 0.0
-        nxt = np.roll(ring, -1, axis=0)
-        a, b = sign * (ring[:, axis] - bound), sign * (nxt[:, axis] - bound)
-        out = []
-        for p, q, u, v in zip(ring, nxt, a, b, strict=True):
-            if u >= 0:
-                out.append(p)
-            if (u >= 0) != (v >= 0):
-                out.append(p + (q - p) * (u / (u - v)))
-        ring = np.array(out).reshape(-1, 2)
-    if len(ring) < 3:
-        return 0.0
-    x, y = ring[:, 0], ring[:, 1]
-    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
-
-
-@F.pandas_udf(T.DoubleType())
-def _clip(xs: pd.Series, ys: pd.Series, west: pd.Series, south: pd.Series, size: pd.Series) -> pd.Series:
-    return pd.Series([clipped_area(x, y, w, s, w + d, s + d) for x, y, w, s, d in zip(xs, ys, west, south, size, strict=True)])
+from freshet.operators import outlines
+from freshet.operators.spatial import haversine_km, points_in_shapes, rasterize, vertex_edges
 
 
 def cell_weights(vertices: DataFrame, step: float, sliver: float = 1e-9) -> DataFrame:
-    """(shape_id, col, row, share, closure): each cell's share of a shape's area, slivers left out, and by how much
-    the cells' areas miss the shape's. A shape is one row, its candidate cells come from its box."""
-    v = vertices.groupBy("shape_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("v"), F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("n"))
-    v = v.select("shape_id", F.transform("v", lambda p: p["x"]).alias("xs"), F.transform("v", lambda p: p["y"]).alias("ys"), "w", "e", "s", "n")
-    c = v.withColumn("col", F.explode(F.sequence(grid_key("w", step), grid_key("e", step)))).withColumn("row", F.explode(F.sequence(grid_key("s", step), grid_key("n", step))))
-    c = c.withColumn("area", _clip("xs", "ys", F.col("col") * step, F.col("row") * step, F.lit(step)))
-    whole = c.groupBy("shape_id").agg(F.sum("area").alias("sum"), F.first("xs").alias("xs"), F.first("ys").alias("ys"))
-    ring = F.abs(F.aggregate(F.sequence(F.lit(1), F.size("xs")), F.lit(0.0), lambda a, i: a + _cross(i))) / 2
-    whole = whole.select("shape_id", "sum", F.abs(F.col("sum") - ring).alias("closure"))
-    return c.join(whole, "shape_id").where(F.col("area") > sliver).select("shape_id", "col", "row", (F.col("area") / F.col("sum")).alias("share"), "closure")
-
-
-def _cross(i: Column) -> Column:
-    nxt = i % F.size("xs") + 1
-    return F.element_at("xs", i.cast("int")) * F.element_at("ys", nxt.cast("int")) - F.element_at("xs", nxt.cast("int")) * F.element_at("ys", i.cast("int"))
+    """`outlines.cell_weights` of rings given as vertices."""
+    return outlines.cell_weights(vertex_edges(vertices), step, sliver)
 
 
 def interior_points(edges: DataFrame, centroids: DataFrame, step: float) -> DataFrame:

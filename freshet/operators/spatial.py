@@ -77,24 +77,52 @@ def _ring_depths(edges: DataFrame) -> DataFrame:
     return held.groupBy("shape_id", F.col("own").alias("ring_no")).agg(F.sum("odd").alias("depth"))
 
 
+def ring_signs(edges: DataFrame) -> DataFrame:
+    """Edges with the sign that makes what their rings enclose count as positive: 1 for rings drawn against the clock,
+    -1 for the others, turned round for holes, 0 for rings without area."""
+    ring = ["shape_id", "ring_no"] if "ring_no" in edges.columns else ["shape_id"]
+    way = edges.groupBy(*ring).agg(F.signum(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))).alias("sign"))
+    if len(ring) > 1:
+        way = way.join(_ring_depths(edges), ring, "left").withColumn("sign", F.when(F.coalesce("depth", F.lit(0)) % 2 == 1, -F.col("sign")).otherwise(F.col("sign"))).drop("depth")
+    return edges.join(way, ring)
+
+
 def rows_of(edges: DataFrame, step: float) -> DataFrame:
     """Edges repeated for every grid row they touch: the join key of points and scanlines."""
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     return edges.withColumn("row", F.explode(F.sequence(grid_key(lo, step), grid_key(hi, step))))
 
 
+def cover(edges: DataFrame, step: float, slack: float = 1e-6) -> DataFrame:
+    """(shape_id, col, row, full): the cells of a shape. Border cells are those that an edge meets or nearly meets (within
+    `slack` of a cell); of the others the centre decides, by the even-odd rule over all rings, so full cells lie inside
+    as a whole. Inner cells outnumber border cells by the shape's width in cells and carry no edges."""
+    wide = lambda lo, hi: F.sequence(F.floor(lo / step - slack).cast("int"), F.floor(hi / step + slack).cast("int"))
+    e = edges.select("shape_id", "x1", "y1", "x2", "y2").withColumn("row", F.explode(wide(F.least("y1", "y2"), F.greatest("y1", "y2"))))
+    t = lambda n: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (n * step - F.col("y1")) / (F.col("y2") - F.col("y1"))))
+    steep = F.abs(F.col("y2") - F.col("y1")) > slack * step
+    x = lambda n, flat: F.when(steep, F.col("x1") + (F.col("x2") - F.col("x1")) * t(n)).otherwise(F.col(flat))
+    e = e.withColumns({"_a": x(F.col("row") - slack, "x1"), "_b": x(F.col("row") + 1 + slack, "x2")})
+    border = e.select("shape_id", F.explode(wide(F.least("_a", "_b"), F.greatest("_a", "_b"))).alias("col"), "row").distinct()
+    inner = rasterize(edges, step).join(border, ["shape_id", "col", "row"], "left_anti")
+    return border.withColumn("full", F.lit(False)).unionByName(inner.select("shape_id", "col", "row", F.lit(True).alias("full")))
+
+
 def points_in_shapes(points: DataFrame, edges: DataFrame, step: float = 0.1) -> DataFrame:
     """(point columns, shape_id) for every shape that holds the point by the even-odd rule over all its rings.
 
-    Points and edges are joined on the grid row of the latitude; the crossing test is strict on one side, so a
-    point on a shared border belongs to one side only. Counts combine before the final shuffle. Equal point rows are
-    tested once and come back as often as they were given."""
-    p = points.groupBy(*points.columns).agg(F.count("*").alias("_n")).withColumn("row", grid_key("lat", step))
-    j = p.join(rows_of(edges.drop("seq", "ring_no"), step), "row")
+    Points meet the cells that shapes cover: in a full cell a point is inside at once, in a border cell it is tested
+    against the edges of that shape alone, in its row. The crossing test is strict on one side, so a point on a shared
+    border belongs to one side only. Counts combine before the final shuffle. Equal point rows are tested once and come
+    back as often as they were given."""
+    p = points.groupBy(*points.columns).agg(F.count("*").alias("_n")).withColumns({"col": grid_key("lon", step), "row": grid_key("lat", step)})
+    met = p.join(cover(edges, step), ["col", "row"]).drop("col")
+    j = met.where("not full").join(rows_of(edges.drop("seq", "ring_no"), step), ["shape_id", "row"])
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
     hit = j.where((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))).where(crosses)
-    held = hit.groupBy(*points.columns, "shape_id", "_n").agg(F.count("*").alias("_c")).where("_c % 2 = 1")
-    return held.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_c", "_n", "_i")
+    held = hit.groupBy(*points.columns, "shape_id", "_n").agg(F.count("*").alias("_c")).where("_c % 2 = 1").drop("_c")
+    held = held.unionByName(met.where("full").select(*held.columns))
+    return held.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n", "_i")
 
 
 def first_shape(points: DataFrame, edges: DataFrame) -> DataFrame:

@@ -26,6 +26,16 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         CAST(24.2 + ((c_custkey * 59) % 480) / 100.0 + 0.0017 AS DOUBLE) AS lat FROM {customer}"""),
     "v_ring_vertices": (("nation",), """SELECT n_nationkey AS shape_id, k AS seq, CAST(90.0 + (n_nationkey % 5) * 1.3 + dx AS DOUBLE) AS x, CAST(24.5 + floor(n_nationkey / 5) * 0.9 + dy AS DOUBLE) AS y
         FROM {nation} CROSS JOIN (VALUES (0, 0.0D, 0.0D), (1, 1.35D, 0.1D), (2, 1.2D, 0.5D), (3, 1.3D, 0.95D), (4, 0.6D, 0.7D), (5, 0.05D, 0.9D)) AS o(k, dx, dy)"""),
+    "v_reviewed_rings": (("nation",), """SELECT shape_id, k AS seq, CAST(90.0 + (n % 5) * 1.3 + dx AS DOUBLE) AS x, CAST(24.5 + floor(n / 5) * 0.9 + dy AS DOUBLE) AS y
+        FROM (SELECT n_nationkey AS n, n_nationkey + copy AS shape_id, copy FROM {nation} CROSS JOIN (VALUES (0), (100)) AS c(copy) WHERE copy = 0 OR n_nationkey % 5 = 0)
+        CROSS JOIN (VALUES (0, 0, 0.0D, 0.0D), (0, 1, 1.35D, 0.1D), (0, 2, 1.2D, 0.5D), (0, 3, 1.3D, 0.95D), (0, 4, 0.6D, 0.7D), (0, 5, 0.05D, 0.9D),
+            (100, 3, 0.0D, 0.0D), (100, 2, 1.35D, 0.1D), (100, 1, 1.2D, 0.5D), (100, 0, 1.3D, 0.95D), (100, 5, 0.6D, 0.7D), (100, 4, 0.05D, 0.9D)) AS o(c, k, dx, dy) WHERE c = copy"""),
+    "v_review_points": (("customer",), """SELECT c_custkey AS point_id, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey ELSE 1000 + c_custkey % 20 END AS owner_id,
+        CAST(CASE WHEN c_custkey % 3 <> 0 THEN 90.1 + (c_nationkey % 5) * 1.3 + (c_custkey % 13) * 0.08 ELSE 89.6 + (c_custkey % 20 * 37) % 70 / 10.0 + (c_custkey % 7) * 0.01 END + 0.0013 AS DOUBLE) AS lon,
+        CAST(CASE WHEN c_custkey % 3 <> 0 THEN 24.6 + floor(c_nationkey / 5) * 0.9 + (c_custkey % 7) * 0.09 ELSE 24.3 + (c_custkey % 20 * 53) % 47 / 10.0 + (c_custkey % 11) * 0.01 END + 0.0017 AS DOUBLE) AS lat FROM {customer}"""),
+    "v_outlines": (("customer",), """SELECT c_custkey AS shape_id, CASE WHEN c_custkey % 2 = 0 THEN (k + floor(c_custkey / 500)) % 6 ELSE 5 - (k + floor(c_custkey / 500)) % 6 END AS seq,
+        CAST(89.5 + c_custkey % 500 * 0.013 + dx AS DOUBLE) AS x, CAST(24.2 + c_custkey % 500 * 0.007 + dy * CASE WHEN c_custkey % 17 = 0 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS y
+        FROM {customer} CROSS JOIN (VALUES (0, 0.0D, 0.0D), (1, 0.135D, 0.01D), (2, 0.12D, 0.05D), (3, 0.13D, 0.095D), (4, 0.06D, 0.07D), (5, 0.005D, 0.09D)) AS o(k, dx, dy)"""),
     "v_grid_obs": (("events",), """SELECT concat('C', CAST(user_id % 4 AS STRING)) AS cell_id,
         CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) + (CASE WHEN minute(ts) >= 30 THEN INTERVAL '30' MINUTE ELSE INTERVAL '0' MINUTE END) AS interval_start,
         CAST(max(value) AS DECIMAL(18, 6)) AS rate_mm_h FROM {events} GROUP BY 1, 2"""),

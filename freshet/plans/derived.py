@@ -19,11 +19,6 @@ from freshet.sources import files
 from freshet.streaming import operators as st
 
 
-@query("cell_weights")
-def cell_weights(spark, d):
-    return sh.cell_weights(view(spark, d, "v_ring_vertices"), 0.1)
-
-
 @query("interior_point")
 def interior_point(spark, d):
     e = pq._edges(spark, d)

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from freshet.plans import bulletins, derived, gauges, hierarchy, hydrology, matching, payloads, places, rainfall, reports, stateful, streams  # noqa: E402, F401
+from freshet.plans import bulletins, derived, gauges, hierarchy, hydrology, matching, outlines, payloads, places, rainfall, reports, stateful, streams  # noqa: E402, F401
