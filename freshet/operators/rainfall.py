@@ -101,3 +101,42 @@ def cell_except(weights: DataFrame, obs: DataFrame) -> DataFrame:
     """Cells that zones need and the feed lacks, and the other way round."""
     need, have = weights.select("cell_id").distinct(), obs.select("cell_id").distinct()
     return need.subtract(have).withColumn("side", F.lit("missing")).unionByName(have.subtract(need).withColumn("side", F.lit("extra")))
+
+
+def _first_reason(reasons: list[tuple[Column, str]]) -> Column:
+    """The name of the first condition that holds; null if none does."""
+    return F.coalesce(*[F.when(holds, name) for holds, name in reasons])
+
+
+def zone_accumulation(weights: DataFrame, given: DataFrame) -> DataFrame:
+    """(zone_id, run, interval_start, interval_end, cells, missing, extra, total_mm, refused): the area-weighted total of
+    a zone from the half hours that it was given, or the first reason why there is none.
+
+    weights(zone_id, cell_id, share), one row per zone and cell; given(zone_id, cell_id, interval_start, rate_mm_h, run).
+    Reasons, in order: no_observations, missing_cells, extra_cells (given but not in the zone), mixed_runs of a cell,
+    series_overlaps (a half hour twice, or one that does not begin on the cell's own half hours), series_broken (a gap),
+    mixed_runs of the zone, mixed_windows (cells begin or end at different times). Rows without a rate, run or start
+    are no readings. Sums are exact decimals; shares keep twelve digits. A zone without weights has extra cells only."""
+    ok = given.where("rate_mm_h is not null and interval_start is not null and run is not null")
+    half = F.col("rate_mm_h").cast("decimal(18,6)") * F.lit("0.5").cast("decimal(2,1)")
+    once = ok.groupBy("zone_id", "cell_id", "interval_start").agg(F.count("*").alias("_n"), F.sum(half).alias("_mm"), F.min("run").alias("_r0"), F.max("run").alias("_r1"))
+    minutes = F.unix_seconds(F.col("interval_start").cast("timestamp")) / 60
+    cell = once.groupBy("zone_id", "cell_id").agg(
+        F.sum("_n").alias("_n"), F.count("*").alias("_d"), F.sum("_mm").cast("decimal(20,7)").alias("_mm"), F.min("_r0").alias("_r0"), F.max("_r1").alias("_r1"), F.min("interval_start").alias("_t0"), F.max("interval_start").alias("_t1"),
+        (F.min(minutes % 30) != F.max(minutes % 30)).alias("_off"),
+    )
+    j = weights.select("zone_id", "cell_id", F.col("share").cast("decimal(13,12)").alias("_share")).join(cell, ["zone_id", "cell_id"], "full")
+    inside = F.col("_share").isNotNull() & F.col("_n").isNotNull()
+    g = j.groupBy("zone_id").agg(
+        F.count("_n").alias("_given"), F.count("_share").alias("cells"), F.count_if(F.col("_n").isNull()).alias("missing"), F.count_if(F.col("_share").isNull()).alias("extra"),
+        F.bool_or(inside & (F.col("_r0") != F.col("_r1"))).alias("_mixed"), F.bool_or(inside & ((F.col("_n") > F.col("_d")) | F.col("_off"))).alias("_twice"),
+        F.bool_or(inside & (F.timestamp_diff("MINUTE", "_t0", "_t1") != 30 * (F.col("_d") - 1))).alias("_gap"),
+        F.min("_r0").alias("run"), F.max("_r1").alias("_run"), F.min("_t0").alias("_a"), F.max("_t0").alias("_b"), F.min("_t1").alias("_c"), F.max("_t1").alias("_e"), F.sum(F.col("_mm") * F.col("_share")).alias("_total"),
+    )
+    why = _first_reason([
+        (F.col("_given") == 0, "no_observations"), (F.col("missing") > 0, "missing_cells"), (F.col("extra") > 0, "extra_cells"), (F.col("_mixed"), "mixed_runs"), (F.col("_twice"), "series_overlaps"),
+        (F.col("_gap"), "series_broken"), (F.col("run") != F.col("_run"), "mixed_runs"), ((F.col("_a") != F.col("_b")) | (F.col("_c") != F.col("_e")), "mixed_windows"),
+    ])
+    g = g.withColumn("refused", why)
+    good = lambda c: F.when(F.col("refused").isNull(), c)
+    return g.select("zone_id", good(F.col("run")).alias("run"), good(F.col("_a")).alias("interval_start"), good(F.col("_c") + F.expr(HALF_HOUR)).alias("interval_end"), "cells", "missing", "extra", good(F.round("_total", 6).cast("decimal(20,6)")).alias("total_mm"), "refused")

@@ -58,6 +58,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_bulletin_records": (("lineitem",), """SELECT l_orderkey AS k, l_partkey AS part, CASE l_partkey % 4 WHEN 0 THEN 'road' WHEN 1 THEN 'bridge' WHEN 2 THEN 'embankment_breached' ELSE 'embankment_affected' END AS incident_type,
         CASE WHEN l_suppkey % 2 = 0 THEN 'valid' ELSE 'absent' END AS coordinate_validation, 89.5D + l_partkey % 800 / 100.0D AS longitude, CASE WHEN l_suppkey % 2 = 0 AND l_partkey % 50 <> 0 THEN 'coordinates' ELSE 'district' END AS match_scope,
         CASE WHEN l_partkey % 200 = 1 THEN 0 ELSE 1 END AS page FROM {lineitem}"""),
+    "v_share": (("customer",), """SELECT c_custkey AS zone_id, concat('c', CAST(k AS STRING)) AS cell_id, CAST(share AS DECIMAL(13, 12)) AS share FROM {customer} CROSS JOIN (VALUES (0, 0.2), (1, 0.3), (2, 0.5)) AS w(k, share)"""),
+    "v_given": (("customer",), """SELECT c_custkey AS zone_id, concat('c', CAST(k AS STRING)) AS cell_id, TIMESTAMP_NTZ '2024-01-30 00:00:00' + (t + CASE WHEN c_custkey % 13 = 6 AND k = 0 AND t = 2 THEN -1 WHEN c_custkey % 13 = 7 AND k = 2 THEN 1 ELSE 0 END) * INTERVAL '30' MINUTE AS interval_start,
+        CAST((c_custkey * 7 + k * 3 + t) % 50 / 10.0 AS DECIMAL(18, 6)) AS rate_mm_h, CASE WHEN c_custkey % 13 = 3 AND k = 1 OR c_custkey % 13 = 4 AND k = 0 AND t = 2 THEN 'early' ELSE 'late' END AS run
+        FROM {customer} CROSS JOIN (VALUES (0), (1), (2), (3)) AS c(k) CROSS JOIN (VALUES (0), (1), (2), (3)) AS h(t)
+        WHERE (k < 3 OR c_custkey % 13 = 2) AND NOT (c_custkey % 13 = 1 AND k = 2) AND NOT (c_custkey % 13 = 5 AND k = 0 AND t = 1) AND c_custkey % 13 <> 8"""),
+    "v_landed": (("pages",), """SELECT page_id, page_id % 50 AS site, concat('https://s', CAST(page_id % 50 AS STRING), '.example.org/a/', CAST(page_id AS STRING), CASE WHEN page_id % 3 = 0 THEN '/?q=1' ELSE '' END) AS url,
+        concat(replace(html, 'href="/', CASE page_id % 8 WHEN 0 THEN 'href="../' WHEN 1 THEN 'href="./x/../y/' WHEN 2 THEN 'href="//docs.example.net/' WHEN 3 THEN 'href="?p=' WHEN 4 THEN 'href="https://m.example.org/a/./' WHEN 5 THEN 'href="mailto:' WHEN 6 THEN 'href="#' ELSE 'href="/../b/./' END),
+        CASE WHEN page_id % 4 = 0 THEN '<a class="d" href="../files/plan.pdf?v=2">Relief  <b>camps</b> &amp; more</a>' WHEN page_id % 4 = 1 THEN concat('<a href="/a/', CAST(page_id + 2 AS STRING), '#top">DDMP</a>') WHEN page_id % 4 = 3 THEN '<a href="annex.pdf">Annex</a>' ELSE '' END) AS html FROM {pages}"""),
     "v_links": (("pages",), "SELECT page_id, url, html FROM {pages}"),
 }
 

@@ -150,3 +150,15 @@ def granule_cache_plan(spark, d):
 def estimate_staleness(spark, d):
     age = F.timestamp_diff("SECOND", F.col("interval_start"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")) / 3600
     return _obs(spark, d).groupBy("cell_id", F.when(age > 72, "dropped").when(age > 6, "stale").otherwise("current").alias("wording")).agg(F.count("*").alias("intervals"))
+
+
+@query("zone_accumulation", with_views("""SELECT zone_id, CASE WHEN refused IS NULL THEN run END AS run, CASE WHEN refused IS NULL THEN a END AS interval_start, CASE WHEN refused IS NULL THEN c + INTERVAL 30 MINUTE END AS interval_end, cells, missing, extra,
+ CASE WHEN refused IS NULL THEN CAST(round(total, 6) AS DECIMAL(20, 6)) END AS total_mm, refused FROM (SELECT *, CASE WHEN given = 0 THEN 'no_observations' WHEN missing > 0 THEN 'missing_cells' WHEN extra > 0 THEN 'extra_cells' WHEN mixed THEN 'mixed_runs'
+  WHEN twice THEN 'series_overlaps' WHEN gap THEN 'series_broken' WHEN run <> run1 THEN 'mixed_runs' WHEN a <> b OR c <> e THEN 'mixed_windows' END AS refused
+ FROM (SELECT zone_id, count(n) AS given, count(share) AS cells, count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (share IS NULL) AS extra, bool_or(r0 <> r1) AS mixed, bool_or(least_step < 30) AS twice, bool_or(most_step > 30) AS gap,
+   min(r0) AS run, max(r1) AS run1, min(t0) AS a, max(t0) AS b, min(t1) AS c, max(t1) AS e, sum(mm * share) AS total
+  FROM v_share FULL JOIN (SELECT zone_id, cell_id, count(*) AS n, min(run) AS r0, max(run) AS r1, min(interval_start) AS t0, max(interval_start) AS t1, min(step) AS least_step, max(step) AS most_step, CAST(sum(rate_mm_h * 0.5) AS DECIMAL(20, 7)) AS mm
+   FROM (SELECT *, date_diff('minute', lag(interval_start) OVER (PARTITION BY zone_id, cell_id ORDER BY interval_start), interval_start) AS step FROM v_given) GROUP BY 1, 2) USING (zone_id, cell_id) GROUP BY 1))""", "v_share", "v_given"))
+def zone_accumulation(spark, d):
+    """A zone per customer, with every kind of refusal among them."""
+    return r.zone_accumulation(view(spark, d, "v_share"), view(spark, d, "v_given"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freshet.functions import text as t
+from freshet.operators import links
 from freshet.operators import reports as r
 from freshet.plans.bindings import AS_OF, table, view, with_views
 from freshet.plans.registry import query
@@ -166,3 +167,35 @@ def link_discovery(spark, d):
     links = view(spark, d, "v_links").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
     kind = F.when(F.lower("link").rlike(r"\.pdf($|\?)"), "pdf").when(F.col("link").rlike("^https?://"), "page").otherwise("relative")
     return links.groupBy("page_id", "link", kind.alias("kind")).agg(F.count("*").alias("times"))
+
+
+_P = r"'^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$'"
+_DOTS = """(SELECT array_to_string(CASE WHEN string_split(raw, '/')[-1] IN ('.', '..') THEN list_append(kept, '') ELSE kept END, '/') FROM (SELECT list_reduce(list_transform(string_split(raw, '/'), lambda x: [x]),
+ lambda acc, x: CASE WHEN x[1] = '.' THEN acc WHEN x[1] = '..' THEN CASE WHEN len(acc) > 1 THEN acc[:-2] ELSE acc END ELSE list_concat(acc, x) END, []::VARCHAR[]) AS kept))"""
+_RESOLVED = f"""SELECT site, page_id, url AS base, href, title, CASE WHEN scheme <> '' THEN href WHEN host <> '' THEN head || href WHEN path = '' THEN root || bpath || CASE WHEN q = '' THEN bq ELSE q END || frag ELSE root || {_DOTS} || q || frag END AS link
+ FROM (SELECT *, CASE WHEN path[1:1] = '/' THEN path ELSE regexp_replace(CASE WHEN bpath = '' THEN '/' ELSE bpath END, '[^/]*$', '') || path END AS raw FROM (
+  SELECT *, regexp_extract(href, {_P}, 1) AS scheme, regexp_extract(href, {_P}, 2) AS host, regexp_extract(href, {_P}, 3) AS path, regexp_extract(href, {_P}, 4) AS q, regexp_extract(href, {_P}, 5) AS frag,
+   regexp_extract(url, {_P}, 1) || ':' AS head, regexp_extract(url, {_P}, 1) || ':' || regexp_extract(url, {_P}, 2) AS root, regexp_extract(url, {_P}, 3) AS bpath, regexp_extract(url, {_P}, 4) AS bq
+  FROM (SELECT site, page_id, url, regexp_extract(tag, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&amp;', '&'), '[ ]+', ' ', 'g')) AS title
+   FROM (SELECT site, page_id, url, unnest(regexp_extract_all(html, '<a ([^>]*)>(.*?)</a>', 1)) AS tag, unnest(regexp_extract_all(html, '<a ([^>]*)>(.*?)</a>', 2)) AS body FROM v_landed)) WHERE href <> ''))"""
+_FOUND = f"SELECT * FROM ({_RESOLVED}) WHERE regexp_matches(lower(link), '^[a-z]+://([^/?#]*[.])?example[.]org([/?#]|$)')"
+_DOCUMENTS = f"""SELECT site, link AS url, min(title) AS title FROM (SELECT site, link, title FROM ({_FOUND}) WHERE regexp_matches(title, '(?i)relief camps?|ddmp') AND regexp_matches(lower(link), '^[^?]*[.]pdf([?]|$)')
+ UNION ALL SELECT a.site, b.link, a.title FROM ({_FOUND}) a JOIN ({_FOUND}) b ON regexp_replace(a.link, '#.*$', '') = b.base AND regexp_matches(a.title, '(?i)relief camps?|ddmp') AND NOT regexp_matches(lower(a.link), '^[^?]*[.]pdf([?]|$)') AND regexp_matches(lower(b.link), '^[^?]*[.]pdf([?]|$)')) GROUP BY 1, 2"""
+
+
+@query("link_resolution", with_views(f"SELECT page_id, href, link AS url, title, count(*) AS times FROM ({_RESOLVED}) GROUP BY 1, 2, 3, 4", "v_landed"))
+def link_resolution(spark, d):
+    """Every anchor of every page, made absolute from its page."""
+    return links.links(view(spark, d, "v_landed"), "page_id").groupBy("page_id", "href", "url", "title").agg(F.count("*").alias("times"))
+
+
+@query("link_documents", with_views(f"SELECT site, url, title, CASE WHEN regexp_matches(title, '(?i)relief') THEN 'dedicated_camp_list' ELSE 'contingency_plan' END AS document_type FROM ({_DOCUMENTS})", "v_landed"))
+def link_documents(spark, d):
+    """Documents by one hop or two, per site."""
+    return links.documents(view(spark, d, "v_landed"), "site", ["example.org"])
+
+
+@query("link_groups", with_views(f"SELECT site, pages, landed, coalesce(documents, 0) AS documents, CASE WHEN documents > 0 THEN 'found' ELSE 'no_candidate_found' END AS status FROM (SELECT site, count(*) AS pages, count(html) AS landed FROM v_landed GROUP BY 1) LEFT JOIN (SELECT site, count(*) AS documents FROM ({_DOCUMENTS}) GROUP BY 1) USING (site)", "v_landed"))
+def link_groups(spark, d):
+    pages = view(spark, d, "v_landed")
+    return links.group_status(pages, links.documents(pages, "site", ["example.org"]), "site")
