@@ -58,6 +58,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_bulletin_records": (("lineitem",), """SELECT l_orderkey AS k, l_partkey AS part, CASE l_partkey % 4 WHEN 0 THEN 'road' WHEN 1 THEN 'bridge' WHEN 2 THEN 'embankment_breached' ELSE 'embankment_affected' END AS incident_type,
         CASE WHEN l_suppkey % 2 = 0 THEN 'valid' ELSE 'absent' END AS coordinate_validation, 89.5D + l_partkey % 800 / 100.0D AS longitude, CASE WHEN l_suppkey % 2 = 0 AND l_partkey % 50 <> 0 THEN 'coordinates' ELSE 'district' END AS match_scope,
         CASE WHEN l_partkey % 200 = 1 THEN 0 ELSE 1 END AS page FROM {lineitem}"""),
+    "v_granules": (("events",), """SELECT run, concat('g', CAST(day AS STRING)) AS granule, CAST(day AS TIMESTAMP_NTZ) + INTERVAL '1' DAY + copy * INTERVAL '6' HOUR AS fetched_at, part, cell_id, interval_start, CAST(rate + CASE WHEN copy = 1 AND user = 3 AND dayofmonth(day) % 4 = 1 THEN 1 ELSE 0 END AS DECIMAL(18, 6)) AS rate_mm_h
+        FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'early' ELSE 'late' END AS run, CAST(ts AS DATE) AS day, user_id % 6 AS user, concat('C', CAST(user_id % 6 AS STRING)) AS cell_id, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS interval_start, max(value) AS rate FROM {events} GROUP BY 1, 2, 3, 4, 5)
+        CROSS JOIN (VALUES (0, 0), (1, 1)) AS c(copy, part) WHERE copy = 0 OR dayofmonth(day) % 2 = 1"""),
     "v_share": (("customer",), """SELECT c_custkey AS zone_id, concat('c', CAST(k AS STRING)) AS cell_id, CAST(share AS DECIMAL(13, 12)) AS share FROM {customer} CROSS JOIN (VALUES (0, 0.2), (1, 0.3), (2, 0.5)) AS w(k, share)"""),
     "v_given": (("customer",), """SELECT c_custkey AS zone_id, concat('c', CAST(k AS STRING)) AS cell_id, TIMESTAMP_NTZ '2024-01-30 00:00:00' + (t + CASE WHEN c_custkey % 13 = 6 AND k = 0 AND t = 2 THEN -1 WHEN c_custkey % 13 = 7 AND k = 2 THEN 1 ELSE 0 END) * INTERVAL '30' MINUTE AS interval_start,
         CAST((c_custkey * 7 + k * 3 + t) % 50 / 10.0 AS DECIMAL(18, 6)) AS rate_mm_h, CASE WHEN c_custkey % 13 = 3 AND k = 1 OR c_custkey % 13 = 4 AND k = 0 AND t = 2 THEN 'early' ELSE 'late' END AS run

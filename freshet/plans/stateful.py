@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from freshet.plans.bindings import table, view, with_views
 from freshet.plans.registry import query
 from freshet.shared import new_path
+from freshet.streaming import granules as gr
 from freshet.streaming import stateful as st
 
 
@@ -143,3 +144,30 @@ def rate_verdicts(spark, d):
     )
     out = _drained(rows, spark, "ts", lambda s: st.rate_verdicts(s, "1 hour", *_BUSY), "verdicts")
     return out.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+_CUTS = {"C0,C1,C2": ("C0", "C1", "C2"), "C0,C1,C2,C3": ("C0", "C1", "C2", "C3")}
+_CUT = """SELECT substr(sha256('{name}'), 1, 12) AS digest, run, granule, part, count(*) AS readings, string_agg(cell_id || interval_start || rate_mm_h, ',' ORDER BY cell_id, interval_start) AS content, sum(rate_mm_h) AS mm
+ FROM v_granules WHERE cell_id IN ({cells}) GROUP BY run, granule, part"""
+_BOTH_CUTS = " UNION ALL ".join(_CUT.format(name=n, cells=", ".join(f"'{c}'" for c in cs)) for n, cs in _CUTS.items())
+
+
+@query("granule_store", with_views(f"""SELECT digest, run, granule, max(readings) FILTER (part = 0) AS readings, count(*) AS payloads, count(*) FILTER (part = 1 AND content = kept) AS same, count(*) FILTER (part = 1 AND content <> kept) AS changed,
+ CAST(max(mm) FILTER (part = 0) AS DECIMAL(28, 6)) AS rate_sum FROM (SELECT *, first_value(content) OVER (PARTITION BY digest, run, granule ORDER BY part) AS kept FROM ({_BOTH_CUTS})) GROUP BY 1, 2, 3""", "v_granules"))
+def granule_store(spark, d):
+    """Granules by run and day, fetched and, for odd days, fetched again; first for three cells, then for a wider set."""
+    source, path = new_path(spark, "granules-in"), new_path(spark, "granules")
+    rows = view(spark, d, "v_granules")
+    cells = {n: spark.createDataFrame([(c,) for c in cs], "cell_id string") for n, cs in _CUTS.items()}
+    for part in (0, 1):
+        rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(source)
+        for name, wanted in cells.items():
+            stream = spark.readStream.schema(rows.drop("part").schema).parquet(source)
+            gr.store(stream, wanted, path, f"{path}/checkpoint-{len(name)}").awaitTermination()
+    sums = None
+    for wanted in cells.values():
+        got = gr.read_cuts(spark, path, wanted).groupBy("digest", "run", "granule").agg(F.count("*").alias("readings"), F.sum("rate_mm_h").alias("rate_sum"))
+        sums = got if sums is None else sums.unionByName(got)
+    of = lambda o: F.count_if(F.col("outcome") == o)
+    seen = gr.ledger(spark, path).groupBy("digest", "run", "granule").agg(F.count("*").alias("payloads"), of("same").alias("same"), of("changed").alias("changed"))
+    return seen.join(sums, ["digest", "run", "granule"])
