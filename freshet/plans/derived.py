@@ -76,7 +76,7 @@ def alert_engine(spark, d):
     return r.cooled_pushes(e, "gauge_id", 6).select("gauge_id", "events", "pushed", F.date_format(F.col("last_push") + F.expr("interval 12 hours"), "yyyy-MM-dd HH:mm:ss").alias("expires"))
 
 
-@query("decision_problems", with_views("""SELECT problem, count(*) AS decisions FROM (SELECT unnest(list_filter([CASE WHEN locality_id % 6 = 0 THEN 'no_reviewer' END, CASE WHEN locality_id % 4 = 1 AND locality_id % 10 = 1 THEN 'no_gauge' END, CASE WHEN locality_id % 9 = 4 THEN 'unknown_gauge' END], lambda x: x IS NOT NULL)) AS problem FROM v_localities) GROUP BY 1""", "v_localities"))
+@query("decision_problems", with_views("""SELECT problem, count(*) AS decisions FROM (SELECT unnest(list_filter([CASE WHEN locality_id % 6 = 0 THEN 'no_reviewer' END, CASE WHEN locality_id % 4 = 1 AND locality_id % 10 = 1 AND locality_id % 9 <> 4 THEN 'no_gauge' END, CASE WHEN locality_id % 9 = 4 THEN 'unknown_gauge' END], lambda x: x IS NOT NULL)) AS problem FROM v_localities) GROUP BY 1""", "v_localities"))
 def decision_problems(spark, d):
     """All problems of the reviewed decisions, one row per problem, not only the first."""
     k = lambda n: F.col("locality_id") % n
