@@ -55,42 +55,67 @@ def _bag(names: list[str], letters: dict[str, int]) -> tuple[np.ndarray, np.ndar
     return out, np.array([len(t) for t in texts], np.int64)
 
 
-def best_two(left: list[tuple[str, str]], right: list[tuple[str, str]], bonus: float = 5.0, agree: float = 90.0) -> list[list[tuple[float, bool, int]]]:
+@lru_cache(1 << 18)
+def _pair(a: str, b: str) -> float:
+    return token_set(a, b)
+
+
+def best_two(left: list[tuple[str, str]], right: list[tuple[str, str]], bonus: float = 5.0, agree: float = 90.0, step: int = 16) -> list[list[tuple[float, bool, int]]]:
     """For each (name, village) of left, the two best of right as (score with bonus, villages agree, index), and all
     that tie with the second.
 
-    Names that share a word are scored first. Names that share none differ as a whole, so 200 times their common letters
-    over their lengths bounds the ratio from above; those below the second best so far by it are not scored."""
-    same = lru_cache(None)(lambda a, b: bool(a and b) and token_set(a, b) >= agree)
+    A pair of distinct names is scored once, whatever the number of their villages; the villages only choose who gets the
+    bonus. The ratio is bounded from above by the greater of 200 times the common letters over both lengths and of what the
+    common words alone give (100 if one name has all words of the other). Names are scored from the highest bound down,
+    until bound and bonus are below the second best of every village of the name."""
+    if not right:
+        return [[] for _ in left]
+    names, at = np.unique(np.array([n for n, _ in right], object), return_inverse=True)
+    towns, town = np.unique(np.array([v for _, v in right], object), return_inverse=True)
+    names, rows_of = list(names), {}
+    for k, (n, v) in enumerate(left):
+        rows_of.setdefault(n, {}).setdefault(v, []).append(k)
     letters = {c: i for i, c in enumerate(sorted({c for n, _ in [*left, *right] for c in n} | {" "}))}
-    bag_l, len_l = _bag([n for n, _ in left], letters)
-    bag_r, len_r = _bag([n for n, _ in right], letters)
+    mine = list(rows_of)
+    bag_l, len_l = _bag(mine, letters)
+    bag_r, len_r = _bag(names, letters)
     holds: dict[str, set[int]] = {}
-    for i, (n, _) in enumerate(right):
+    for i, n in enumerate(names):
         for word in set(n.split()):
             holds.setdefault(word, set()).add(i)
-    agrees = {v: np.array([same(v, x) for _, x in right]) for v in {x for _, x in left}}
-    out = []
-    for k, (name, village) in enumerate(left):
-        found: list[tuple[float, bool, int]] = []
-        top = [-1.0, -1.0]
-
-        def score(i: int, name=name, village=village, found=found, top=top) -> None:
-            agreed = same(village, right[i][1])
-            total = token_set(name, right[i][0]) + (bonus if agreed else 0.0)
-            found.append((total, agreed, i))
-            top.append(total)
-            top.sort(reverse=True)
-            top.pop()
-
-        shared = set().union(*(holds.get(w, set()) for w in name.split())) if name.split() else set()
-        for i in shared:
-            score(i)
-        bound = 200.0 * np.minimum(bag_r, bag_l[k]).sum(axis=1) / np.maximum(1, len_r + len_l[k]) + bonus * agrees[village] + 1e-6
-        for i in np.argsort(-bound, kind="stable"):
-            if bound[i] < top[1]:
+    n_words = np.array([len(set(n.split())) for n in names])
+    same = {v: np.array([bool(v and x) and _pair(v, x) >= agree for x in towns]) for v in {x for _, x in left}}
+    agrees = {v: hit[town] for v, hit in same.items()}
+    out: list[list[tuple[float, bool, int]]] = [[] for _ in left]
+    for k, name in enumerate(mine):
+        scores = np.full(len(names), -np.inf)
+        words = set(name.split())
+        common, both = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        for w in words:
+            for i in holds.get(w, ()):
+                common[i] += 1
+                both[i] += len(w) + 1
+        both = np.maximum(0, both - 1)
+        letters_ = 200.0 * np.minimum(bag_r, bag_l[k]).sum(axis=1) / np.maximum(1, len_r + len_l[k])
+        bound = np.maximum(letters_, 200.0 * both / np.maximum(1, both + np.minimum(len_r, len_l[k])))
+        bound = np.where((common > 0) & ((common == len(words)) | (common == n_words)), 100.0, bound) + 1e-6
+        later = np.argsort(-bound, kind="stable").tolist()
+        plus = {v: bonus * agrees[v] for v in rows_of[name]}
+        least = bonus if any(agrees[v].any() for v in plus) else 0.0
+
+        def second(v: str, scores=scores, plus=plus) -> float:
+            totals = scores[at] + plus[v]
+            return float(np.partition(totals, -2)[-2]) if len(totals) > 1 else -np.inf
+
+        while later:
+            if bound[later[0]] + least < min(second(v) for v in plus):
                 break
-            if int(i) not in shared:
-                score(int(i))
-        out.append([x for x in found if x[0] >= top[1]])
+            for i in later[:step]:
+                scores[i] = _pair(name, names[i])
+            later = later[step:]
+        for v, rows in rows_of[name].items():
+            totals, hit = scores[at] + plus[v], agrees[v]
+            found = [(float(totals[i]), bool(hit[i]), int(i)) for i in np.flatnonzero(totals >= max(second(v), 0.0))]
+            for r in rows:
+                out[r] = found
     return out

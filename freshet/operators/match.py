@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import nsmallest
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -62,7 +63,7 @@ def fuzzy(left: DataFrame, right: DataFrame, block: str, gap: float = 5.0, high:
     return g.select("id", F.when(level.isin("high", "medium"), F.col("a.rid")).alias("rid"), F.col("a.score").alias("score"), level.alias("confidence"))
 
 
-def school_match(left: DataFrame, right: DataFrame, block: str, words: tuple[str, ...] = SCHOOL_WORDS, gap: float = 5.0, high: float = 92.0, medium: float = 80.0, bonus: float = 5.0, size: int = 100) -> DataFrame:
+def school_match(left: DataFrame, right: DataFrame, block: str, words: tuple[str, ...] = SCHOOL_WORDS, gap: float = 5.0, high: float = 92.0, medium: float = 80.0, bonus: float = 5.0, size: int = 1000) -> DataFrame:
     """(id, rid, score, village_match, ambiguous, confidence): the best of right(rid, name, village) in the block of each
     left(id, name, village), names being normalised.
 
@@ -71,8 +72,9 @@ def school_match(left: DataFrame, right: DataFrame, block: str, words: tuple[str
     the best also where nothing is confident; ties go to the smallest rid.
 
     Equal names of a block are scored once, with their two smallest rids. Distinct names are dealt into chunks of about
-    `size`, each pair of chunks is one row, and the two best of each name leave every task (group limit before the
-    shuffle). No pair is left unscored unless an exact bound puts it below two others."""
+    `size`, all villages of a name into the same one, each pair of chunks is one row, and the two best of each name leave
+    every task (group limit before the shuffle). Two names are scored once, not once per pair of villages. No pair is left
+    unscored unless an exact bound puts it below two others."""
     small_batches(left.sparkSession, 50)
     gate = F.lit(False)
     for w in words:
@@ -86,7 +88,7 @@ def school_match(left: DataFrame, right: DataFrame, block: str, words: tuple[str
 
     def chunks(rows: DataFrame, names: str, number: str, what: Column) -> tuple[DataFrame, DataFrame]:
         n = rows.groupBy("_b").agg(F.ceil(F.count("*") / size).cast("int").alias("_n"))
-        at = rows.join(n, "_b").withColumn(number, F.pmod(F.xxhash64("name", "_v"), F.col("_n")).cast("int"))
+        at = rows.join(n, "_b").withColumn(number, F.pmod(F.xxhash64("name"), F.col("_n")).cast("int"))
         return n.withColumnRenamed("_n", f"{number}_n"), at.groupBy("_b", number).agg(F.collect_list(what).alias(names))
 
     rid = right.schema["rid"].dataType
@@ -101,11 +103,14 @@ def school_match(left: DataFrame, right: DataFrame, block: str, words: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ls, rs = [(x["name"], x["_v"]) for x in row["_l"]], row["_r"]
-                out = []
+                ls, rs = [(x["name"], x["_v"]) for x in row["_l"]], sorted(row["_r"], key=lambda x: x["one"])
+                out, tops = [], {}
                 for (name, v), found in zip(ls, best_two(ls, [(x["name"], x["_v"]) for x in rs], bonus), strict=True):
-                    mine = [(-round(s, 6), rid, agreed) for s, agreed, i in found for rid in (rs[i]["one"], rs[i]["two"]) if rid is not None]
-                    out += [{"_b": row["_b"], "name": name, "_v": v, "total": -s, "agreed": agreed, "rid": rid} for s, rid, agreed in sorted(mine)[:2]]
+                    if id(found) not in tops:
+                        # of equal totals those with the smallest rids come first, and two rows hold the two best
+                        kept = nsmallest(2, ((-round(s, 6), rs[i]["one"], agreed, i) for s, agreed, i in found))
+                        tops[id(found)] = sorted((s, rid, agreed) for s, _, agreed, i in kept for rid in (rs[i]["one"], rs[i]["two"]) if rid is not None)[:2]
+                    out += [{"_b": row["_b"], "name": name, "_v": v, "total": -s, "agreed": agreed, "rid": rid} for s, rid, agreed in tops[id(found)]]
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     schema = T.StructType([T.StructField("_b", left.schema[block].dataType), T.StructField("name", T.StringType()), T.StructField("_v", T.StringType()), T.StructField("total", T.DoubleType()), T.StructField("agreed", T.BooleanType()), T.StructField("rid", rid)])
