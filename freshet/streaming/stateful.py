@@ -12,6 +12,8 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -273,40 +275,50 @@ def silences(readings: DataFrame, hours: float = 6, late: str = "30 minutes") ->
 
 
 class _Limits(StatefulProcessor):
-    """Counters of fixed windows per key; a timer drops windows that lie two windows back."""
+    """Counters of fixed windows per key, as one JSON text that is read and written once per micro-batch; windows that lie
+    two windows behind the watermark are dropped then, or by the key's one timer if it sends nothing more."""
 
     def __init__(self, limits: tuple[tuple[str, int, int], ...]):
         self.limits = limits
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.counts = handle.getMapState("counts", "scope string, start long", "n long")
+        self.held = handle.getValueState("held", "counts string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        counts: dict[tuple[str, int], int] = {}
-        for r in sorted(rows, key=lambda r: (r["_at"], str(r["_id"]).rjust(20))):
-            over = r["over"]
-            if over is None and r["counts"]:
-                for scope, seconds, limit in self.limits:  # all are counted, also when one refuses
-                    at = scope, r["_at"] // (seconds * 1_000_000) * seconds * 1_000_000
-                    if at not in counts:
-                        counts[at] = self.counts.getValue(at)[0] if self.counts.exists() and self.counts.containsKey(at) else 0
-                    counts[at] += 1
-                    if counts[at] > limit and over is None:
-                        over = scope
-            yield Row(**{**{c: r[c] for c in r.asDict() if c not in ("limit_key", "counts")}, "over": over})
-        for at, n in counts.items():
-            self.counts.updateValue(at, (n,))
-            self.handle.registerTimer((at[1] + 2 * self._seconds(at[0]) * 1_000_000) // 1000)
-
-    def _seconds(self, scope: str) -> int:
-        return next(s for name, s, _ in self.limits if name == scope)
+    def _read(self) -> dict[str, dict[int, int]]:
+        text = json.loads(self.held.get()[0]) if self.held.exists() else {}
+        return {scope: {int(at): n for at, n in text.get(scope, {}).items()} for scope, _, _ in self.limits}
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        for at in [tuple(k) for k in self.counts.keys()]:
-            if at[1] + 2 * self._seconds(at[0]) * 1_000_000 <= now:
-                self.counts.removeKey(at)
+    def _write(self, counts: dict[str, dict[int, int]], now: int) -> None:
+        span = {scope: 2 * seconds * 1_000_000 for scope, seconds, _ in self.limits}
+        kept = {scope: {at: n for at, n in starts.items() if at + span[scope] > now} for scope, starts in counts.items()}
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not any(kept.values()):
+            self.held.clear()
+            return
+        self.held.update((json.dumps(kept),))
+        self.handle.registerTimer(max(max(starts) + span[scope] for scope, starts in kept.items() if starts) // 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        df = pd.concat(list(rows), ignore_index=True)
+        df = df.assign(_k=df["row_id"].str.rjust(20)).sort_values(["at_us", "_k"], kind="stable", ignore_index=True)
+        over = df["over"].astype(object).where(df["over"].notna(), None).to_numpy(copy=True)
+        counted = np.flatnonzero(df["over"].isna().to_numpy() & df["counts"].to_numpy(bool))
+        if len(counted):
+            held, at, refused = self._read(), df["at_us"].to_numpy(np.int64)[counted], np.full(len(counted), None, object)
+            for scope, seconds, limit in self.limits:  # all are counted, also when one refuses
+                starts, first, window, n = np.unique(at - at % (seconds * 1_000_000), return_index=True, return_inverse=True, return_counts=True)
+                before = np.array([held[scope].get(x, 0) for x in starts.tolist()])
+                beyond = before[window] + np.arange(len(at)) - first[window] + 1 > limit
+                refused[beyond & pd.isna(refused)] = scope
+                held[scope].update(zip(starts.tolist(), (before + n).tolist(), strict=True))
+            over[counted] = refused
+            self._write(held, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield df.drop(columns=["limit_key", "counts", "over", "_k"]).assign(over=over)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._write(self._read(), expiredTimerInfo.getExpiryTimeInMs() * 1000)
         yield from ()
 
     def close(self) -> None:
@@ -321,10 +333,12 @@ RETRY_SECONDS = {"network_day": 3600}
 
 
 def _limited(rows: DataFrame, key: Column, counts: Column, limits) -> DataFrame:
-    """rows with over, the first scope whose limit a row passes. Only rows that are not over yet and that counts."""
+    """rows with over, the first scope whose limit a row passes. Only rows that are not over yet and that counts. A key's
+    rows of one micro-batch are one frame; names with a leading underscore would be lost there."""
     keep = [c for c in rows.columns if c != "over"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "over") + ", over string"
-    return _run(rows.select(*keep, "over", counts.alias("counts"), key.alias("limit_key")), ["limit_key"], _Limits(limits), schema, "ts")
+    keyed = rows.select(*keep, "over", counts.alias("counts"), key.alias("limit_key")).groupBy("limit_key")
+    return keyed.transformWithStateInPandas(_Limits(limits), schema, "Append", "EventTime", eventTimeColumnName="ts")
 
 
 def rate_verdicts(events: DataFrame, late: str = "1 hour", event_limits=EVENT_LIMITS, network_limits=NETWORK_LIMITS, report_limits=REPORT_LIMITS) -> DataFrame:
@@ -334,7 +348,7 @@ def rate_verdicts(events: DataFrame, late: str = "1 hour", event_limits=EVENT_LI
     A subject's event counts in both its windows, also when one refuses it. What passes counts for its network, on the
     web channel and if the network is known; what passes that and is a report counts against the report limits. over
     names the first limit passed; retry_after is 0 where none is. Events without a time are left out."""
-    rows = _timed(events, "ts", late, "event_id").select("_at", F.col("_id").cast("string").alias("_id"), "channel", F.col("subject_id").cast("string").alias("subject_id"), "network", "ts", F.coalesce("is_report", F.lit(False)).alias("is_report"), F.lit(None).cast("string").alias("over"))
+    rows = _timed(events, "ts", late, "event_id").select(F.col("_at").alias("at_us"), F.col("_id").cast("string").alias("row_id"), "channel", F.col("subject_id").cast("string").alias("subject_id"), "network", "ts", F.coalesce("is_report", F.lit(False)).alias("is_report"), F.lit(None).cast("string").alias("over"))
     subject = F.concat_ws("|", F.lit("s"), "channel", "subject_id")
     web = (F.col("channel") == "web") & F.col("network").isNotNull()
     one = _limited(rows, subject, F.lit(True), event_limits)
@@ -343,4 +357,4 @@ def rate_verdicts(events: DataFrame, late: str = "1 hour", event_limits=EVENT_LI
     wait = F.when(F.col("over").isNull(), 0)
     for scope, seconds in RETRY_SECONDS.items():
         wait = wait.when(F.col("over") == scope, seconds)
-    return three.select(F.col("_id").alias("event_id"), "channel", "subject_id", "ts", F.col("over").isNull().alias("allowed"), "over", wait.otherwise(600).cast("int").alias("retry_after"))
+    return three.select(F.col("row_id").alias("event_id"), "channel", "subject_id", "ts", F.col("over").isNull().alias("allowed"), "over", wait.otherwise(600).cast("int").alias("retry_after"))
