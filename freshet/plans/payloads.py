@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from freshet.operators import checks, privacy
 from freshet.plans.bindings import table, view, with_views
 from freshet.plans.registry import query
+from freshet.shared import spread
 from freshet.sources import contracts as c
 
 _LEAF = r"""SELECT doc_id AS id, fullkey AS path, type, atom, atom ->> '$' AS leaf, lon, lat, regexp_extract(fullkey, '\.([a-z_]+)(\[[0-9]+\])*$', 1) AS name, regexp_matches(fullkey, '\.[a-z_]+$') AS named FROM p, json_tree(p.body) WHERE type <> 'NULL'"""
@@ -62,7 +63,7 @@ def _granules(spark, d):
         F.when(k % 17 == 0, "mm").otherwise("mm/hour").alias("units"), F.when(k % 23 == 0, "06").otherwise("07").alias("product_version"),
         F.when(k % 2 == 0, "early").otherwise("late").alias("run"), short.alias("product_short_name"), "observations",
     )
-    return g.select("payload", F.to_json(body).alias("body"))
+    return spread(g.select("payload", F.to_json(body).alias("body")))
 
 
 @query("contract_breaches", f"WITH {_OBS} SELECT payload, path, reason FROM b")
@@ -96,7 +97,8 @@ def forecast_contract(spark, d):
         F.lit("cems-glofas-forecast").alias("dataset"), F.lit("4.5").alias("system_version"), F.lit(30).alias("forecast_horizon_days"), F.lit("m3/s").alias("units"),
         F.lit("ensemble_mean").alias("ensemble_statistic"), stamp("o_orderdate").alias("issued_at"), F.array(point).alias("grid_points"),
     )
-    judged = c.judge(orders.select(F.col("o_orderkey").alias("payload"), F.to_json(body).alias("body")), "body", replace(c.DISCHARGE_FORECAST, horizon_days=400))
+    payloads = spread(orders.select(F.col("o_orderkey").alias("payload"), F.to_json(body).alias("body")))
+    judged = c.judge(payloads, "body", replace(c.DISCHARGE_FORECAST, horizon_days=400))
     found = judged.select("payload", F.explode(F.when(F.col("accepted"), F.array(F.lit("accepted"))).otherwise(F.col("breaches.reason"))).alias("reason"))
     return found.groupBy("payload", "reason").agg(F.count("*").alias("n"))
 
@@ -132,7 +134,7 @@ def _bulletins(spark, d):
         F.transform("ds", lambda x: x["district"]).alias("affected_district_names"), summary.alias("summary"), F.transform("ds", field).alias("districts"), records.alias("infrastructure"),
         F.array().cast("array<string>").alias("relief_material_notes"), F.struct(refs(F.col("page")).alias("summary")).alias("field_provenance"), F.filter(F.array(warning), lambda _: F.col("warned") == 1).alias("extraction_warnings"),
     )
-    return j.select("k", "stream", "day", "revision_id", "fetched_at", F.to_json(body).alias("body"))
+    return spread(j.select("k", "stream", "day", "revision_id", "fetched_at", F.to_json(body).alias("body")))
 
 
 _CHECKS = """g AS (SELECT k, count(*) AS n, sum(people) AS people, sum(dead) AS dead, count(*) FILTER (dead < 0) AS below FROM v_bulletin_districts GROUP BY 1),

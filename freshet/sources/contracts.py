@@ -52,20 +52,23 @@ DISCHARGE_FORECAST = Contract(
 _OFFSET = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)$"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used: inside lambdas nothing else shares it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _text(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "string")
 
 
 def _number(v: Column, name: str) -> Column:
     """A finite number, or null."""
-    x = F.try_variant_get(v, f"$.{name}", "double")
-    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    return _let(F.try_variant_get(v, f"$.{name}", "double"), lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x))
 
 
 def _time(v: Column, name: str) -> Column:
     """An instant, or null for a text that is none or has no offset."""
-    t = _text(v, name)
-    return F.when(t.rlike(_OFFSET), t.try_cast("timestamp"))
+    return _let(_text(v, name), lambda t: F.when(t.rlike(_OFFSET), t.try_cast("timestamp")))
 
 
 def _list(v: Column, name: str) -> Column:
@@ -79,15 +82,15 @@ def _breach(bad: Column, path: Column | str, reason: str) -> Column:
 
 
 def _bounded(v: Column, at: Column, numbers: dict[str, tuple[float | None, float | None]]) -> list[Column]:
-    out = []
-    for name, (low, high) in numbers.items():
-        x, path = _number(v, name), F.concat(at, F.lit(f".{name}"))
-        beyond = reduce(lambda a, b: a | b, [c for c in (x < low if low is not None else None, x > high if high is not None else None) if c is not None], F.lit(False))
-        out += [_breach(x.isNull(), path, "not a number"), F.when(x.isNotNull(), _breach(beyond, path, "out of range"))]
-    return out
+    def judged(name: str, low: float | None, high: float | None) -> Column:
+        path = F.concat(at, F.lit(f".{name}"))
+        beyond = lambda x: reduce(lambda a, b: a | b, [c for c in (x < low if low is not None else None, x > high if high is not None else None) if c is not None], F.lit(False))
+        return _let(_number(v, name), lambda x: F.when(x.isNull(), _breach(F.lit(True), path, "not a number")).otherwise(_breach(beyond(x), path, "out of range")))
+
+    return [judged(name, low, high) for name, (low, high) in numbers.items()]
 
 
-def _row_breaches(c: Contract, v: Column, row: Column, at: Column) -> Column:
+def _row_breaches(c: Contract, row: Column, at: Column, issued: Column) -> Column:
     here = lambda n: F.concat(at, F.lit(f".{n}"))
     out = [_breach(F.coalesce(F.trim(_text(row, n)), F.lit("")) == "", here(n), "missing") for n in c.texts]
     out += _bounded(row, at, c.numbers or {})
@@ -102,23 +105,26 @@ def _row_breaches(c: Contract, v: Column, row: Column, at: Column) -> Column:
     found = F.array_compact(F.array(*out))
     if not c.values:
         return found
-    values, issued = _list(row, c.values), _time(v, c.issued)
-    empty = F.array_compact(F.array(_breach(F.coalesce(F.size(values), F.lit(0)) < 1, here(c.values), "no values")))
 
     def one(value: Column, j: Column) -> Column:
         spot = F.concat(at, F.lit(f".{c.values}["), j.cast("string"), F.lit("]"))
-        when = _time(value, c.valid)
-        outside = (when < issued) | (F.unix_micros(when) > F.unix_micros(issued) + c.horizon_days * 86_400_000_000)
-        return F.array_compact(F.array(
+        outside = lambda when: (when < issued) | (F.unix_micros(when) > F.unix_micros(issued) + c.horizon_days * 86_400_000_000)
+        return _let(_time(value, c.valid), lambda when: F.array_compact(F.array(
             *_bounded(value, spot, c.value_numbers or {}), _breach(when.isNull(), F.concat(spot, F.lit(f".{c.valid}")), "not a time with offset"),
-            F.when(when.isNotNull() & issued.isNotNull(), _breach(outside, F.concat(spot, F.lit(f".{c.valid}")), "outside the horizon")),
-        ))
+            F.when(when.isNotNull() & issued.isNotNull(), _breach(outside(when), F.concat(spot, F.lit(f".{c.valid}")), "outside the horizon")),
+        )))
+
+    def back(times: Column) -> Column:
+        n = F.size(times)
+        return F.exists(F.arrays_zip(F.slice(times, 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(times, 2, F.greatest(n, F.lit(1))).alias("b")), lambda p: F.coalesce(p["a"] > p["b"], F.lit(False)))
+
+    def all_of(values: Column) -> Column:
+        empty = F.array_compact(F.array(_breach(F.coalesce(F.size(values), F.lit(0)) < 1, here(c.values), "no values")))
+        unordered = F.array_compact(F.array(F.when(F.size(values) > 1, _breach(_let(F.transform(values, lambda x: _time(x, c.valid)), back), here(c.values), "not in order of time"))))
+        each = F.flatten(F.transform(F.coalesce(values, F.array().cast("array<variant>")), one))
+        return F.concat(found, empty, unordered, each)
 
-    times = F.transform(values, lambda x: _time(x, c.valid))
-    back = F.exists(F.arrays_zip(F.slice(times, 1, F.greatest(F.size(times) - 1, F.lit(0))).alias("a"), F.slice(times, 2, F.greatest(F.size(times), F.lit(1))).alias("b")), lambda p: F.coalesce(p["a"] > p["b"], F.lit(False)))
-    unordered = F.array_compact(F.array(F.when(F.size(values) > 1, _breach(back, here(c.values), "not in order of time"))))
-    each = F.flatten(F.transform(F.coalesce(values, F.array().cast("array<variant>")), one))
-    return F.concat(found, empty, unordered, each)
+    return _let(_list(row, c.values), all_of)
 
 
 def breaches(v: Column, contract: Contract) -> Column:
@@ -135,7 +141,8 @@ def breaches(v: Column, contract: Contract) -> Column:
     rows = _list(v, c.rows)
     head.append(_breach(F.coalesce(F.size(rows), F.lit(0)) < 1, f"$.{c.rows}", "no rows"))
     at = lambda i: F.concat(F.lit(f"$.{c.rows}["), i.cast("string"), F.lit("]"))
-    each = F.flatten(F.transform(F.coalesce(rows, F.array().cast("array<variant>")), lambda r, i: _row_breaches(c, v, r, at(i))))
+    issued = _time(v, c.issued) if c.issued else F.lit(None).cast("timestamp")
+    each = _let(issued, lambda t: F.flatten(F.transform(F.coalesce(rows, F.array().cast("array<variant>")), lambda r, i: _row_breaches(c, r, at(i), t))))
     return F.when(v.isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("unreadable").alias("reason")))).otherwise(F.concat(F.array_compact(F.array(*head)), each))
 
 
