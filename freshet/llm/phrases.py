@@ -304,7 +304,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         if width > 2:
             shared = spark.sparkContext.broadcast(_filter(levels[-1], width - 1))
         with _batches(spark):
-            level = blocks.mapInArrow(_grower(width, shared), _schema(width)).groupBy(*names).agg(F.sum("times").alias("times")).where(F.col("times") >= least)
+            # dealt by run before it is grouped: a block's runs differ already, so maps of a task's runs would take much
+            # memory to merge little
+            runs = blocks.mapInArrow(_grower(width, shared), _schema(width)).repartition(*names)
+            level = runs.groupBy(*names).agg(F.sum("times").alias("times")).where(F.col("times") >= least)
             levels.append(keep(level.select(*names, *[F.lit(0).cast("long").alias(f"s{j + 1}") for j in range(width, longest)]), "level"))
         shared.destroy()
     candidates = levels[0]

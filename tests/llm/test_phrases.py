@@ -8,6 +8,7 @@ import pytest
 from freshet.llm import phrases
 from freshet.llm.phrases import collocations
 from freshet.llm.tries import Trie
+from freshet.shared import keep
 
 
 def brute(rows, least, longest=4, first=2000):
@@ -99,3 +100,19 @@ def test_trie_counts_like_a_dictionary(n):
 def test_trie_of_nothing():
     trie = Trie.of(np.zeros((0, 4), np.uint64))
     assert trie.count(trie.codes(np.array([1, 2], np.uint64))).tolist() == []
+
+
+def test_runs_are_dealt_before_they_are_grouped(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name):
+        if name == "level":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(phrases, "keep", kept)
+    phrases.collocations(spark.createDataFrame([("en", "a b c d. " * 40)], "lang string, text string")).collect()
+    assert len(plans) == 3
+    for plan in plans:
+        above, _, below = plan.partition("Exchange hashpartitioning")
+        assert "HashAggregate" in above and "MapInArrow" in below and "HashAggregate" not in below
