@@ -108,7 +108,7 @@ def _first_reason(reasons: list[tuple[Column, str]]) -> Column:
     return F.coalesce(*[F.when(holds, name) for holds, name in reasons])
 
 
-def zone_accumulation(weights: DataFrame, given: DataFrame) -> DataFrame:
+def zone_accumulation(weights: DataFrame, given: DataFrame, tasks: int | None = None) -> DataFrame:
     """(zone_id, run, interval_start, interval_end, cells, missing, extra, total_mm, refused): the area-weighted total of
     a zone from the half hours that it was given, or the first reason why there is none.
 
@@ -116,8 +116,12 @@ def zone_accumulation(weights: DataFrame, given: DataFrame) -> DataFrame:
     Reasons, in order: no_observations, missing_cells, extra_cells (given but not in the zone), mixed_runs of a cell,
     series_overlaps (a half hour twice, or one that does not begin on the cell's own half hours), series_broken (a gap),
     mixed_runs of the zone, mixed_windows (cells begin or end at different times). Rows without a rate, run or start
-    are no readings. Sums are exact decimals; shares keep twelve digits. A zone without weights has extra cells only."""
-    ok = given.where("rate_mm_h is not null and interval_start is not null and run is not null")
+    are no readings. Sums are exact decimals; shares keep twelve digits. A zone without weights has extra cells only.
+
+    Half hours of a cell hardly repeat, so rows are dealt to so many tasks (as many as shuffles have) before they are
+    grouped: grouping where they are read would sort a whole file in one task and merge next to nothing."""
+    tasks = tasks or int(given.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ok = given.where("rate_mm_h is not null and interval_start is not null and run is not null").repartition(tasks, "zone_id", "cell_id")
     half = F.col("rate_mm_h").cast("decimal(18,6)") * F.lit("0.5").cast("decimal(2,1)")
     once = ok.groupBy("zone_id", "cell_id", "interval_start").agg(F.count("*").alias("_n"), F.sum(half).alias("_mm"), F.min("run").alias("_r0"), F.max("run").alias("_r1"))
     minutes = F.unix_seconds(F.col("interval_start").cast("timestamp")) / 60
@@ -127,7 +131,7 @@ def zone_accumulation(weights: DataFrame, given: DataFrame) -> DataFrame:
     )
     j = weights.select("zone_id", "cell_id", F.col("share").cast("decimal(13,12)").alias("_share")).join(cell, ["zone_id", "cell_id"], "full")
     inside = F.col("_share").isNotNull() & F.col("_n").isNotNull()
-    g = j.groupBy("zone_id").agg(
+    g = j.repartition(tasks, "zone_id").groupBy("zone_id").agg(
         F.count("_n").alias("_given"), F.count("_share").alias("cells"), F.count_if(F.col("_n").isNull()).alias("missing"), F.count_if(F.col("_share").isNull()).alias("extra"),
         F.bool_or(inside & (F.col("_r0") != F.col("_r1"))).alias("_mixed"), F.bool_or(inside & ((F.col("_n") > F.col("_d")) | F.col("_off"))).alias("_twice"),
         F.bool_or(inside & (F.timestamp_diff("MINUTE", "_t0", "_t1") != 30 * (F.col("_d") - 1))).alias("_gap"),

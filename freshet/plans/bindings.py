@@ -77,9 +77,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, **read: DataFrame) -> DataFrame:
+    """The view over the driver tables; read: tables that the caller has already."""
     tables, sql = VIEWS[name]
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables}) if tables else spark.sql(sql)
+    return spark.sql(sql, **{t: read[t] if t in read else table(spark, sf_dir, t) for t in tables}) if tables else spark.sql(sql)
 
 
 def with_views(body: str, *names: str) -> str:

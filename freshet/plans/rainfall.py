@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freshet.operators import rainfall as r
-from freshet.plans.bindings import view, with_views
+from freshet.plans.bindings import table, view, with_views
 from freshet.plans.registry import query
 
 AS_OF, HOURS = "2024-01-20 12:00:00", (1, 3, 6, 24, 72)
@@ -160,5 +160,9 @@ def estimate_staleness(spark, d):
   FROM v_share FULL JOIN (SELECT zone_id, cell_id, count(*) AS n, min(run) AS r0, max(run) AS r1, min(interval_start) AS t0, max(interval_start) AS t1, min(step) AS least_step, max(step) AS most_step, CAST(sum(rate_mm_h * 0.5) AS DECIMAL(20, 7)) AS mm
    FROM (SELECT *, date_diff('minute', lag(interval_start) OVER (PARTITION BY zone_id, cell_id ORDER BY interval_start), interval_start) AS step FROM v_given) GROUP BY 1, 2) USING (zone_id, cell_id) GROUP BY 1))""", "v_share", "v_given"))
 def zone_accumulation(spark, d):
-    """A zone per customer, with every kind of refusal among them."""
-    return r.zone_accumulation(view(spark, d, "v_share"), view(spark, d, "v_given"))
+    """A zone per customer, with every kind of refusal among them. A customer becomes some 15 rows, so customers are
+    dealt first, at most about 20,000 to a task at any size."""
+    customers = table(spark, d, "customer").select("c_custkey")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-customers.count() // 20_000))
+    dealt = customers.repartition(tasks, "c_custkey")
+    return r.zone_accumulation(view(spark, d, "v_share", customer=dealt), view(spark, d, "v_given", customer=dealt), tasks)

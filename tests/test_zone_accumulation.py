@@ -33,3 +33,11 @@ def test_every_reason_in_order(spark):
     assert g.total_mm == Decimal("1.725") and (g.run, g.interval_start, g.interval_end) == ("late", T0, T0 + timedelta(minutes=90))
     assert got["both"].missing == 1 and got["both"].extra == 1 and got["twice"].total_mm is None
     assert r.zone_accumulation(weights.limit(0), obs.limit(0)).count() == 0
+
+
+def test_rows_are_dealt_before_they_are_grouped(spark):
+    weights = spark.createDataFrame([("z", "a", 1.0)], "zone_id string, cell_id string, share double")
+    obs = spark.createDataFrame(given("z", "a", (0, 30)), "zone_id string, cell_id string, interval_start timestamp_ntz, rate_mm_h decimal(18,6), run string")
+    plan = r.zone_accumulation(weights, obs)._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.rpartition("Exchange hashpartitioning(zone_id")
+    assert "Aggregate" in above and "Filter" in below and "Aggregate" not in below
