@@ -4,7 +4,7 @@ Texts are cut into words wherever no piece of the model holds the two neighbouri
 across a cut. For the distinct words, all substrings up to the longest piece are exploded and equi-joined to the piece
 table; what matches are the edges of the word's lattice. Edges are grouped by word and folded with Spark's aggregate():
 
-- unigram models: Viterbi, the path with the highest sum of scores;
+- unigram models: Viterbi, the path with the highest sum of scores, over the pieces that can be on such a path;
 - BPE models: their scores are merge ranks, for which the best sum is not what SentencePiece computes, so the fold
   applies the merges in rank order to the word's boundaries. That gives the library's ids.
 """
@@ -232,6 +232,21 @@ def _out_of_order(p: Pieces) -> set[str]:
     return found
 
 
+def _needed(p: Pieces) -> list[tuple[str, int, float]]:
+    """The rows of a unigram model without pieces that are on no best path: wherever such a piece fits, so do others that
+    make up the same characters and sum to more. The difference must exceed what sums of a word's scores may round."""
+    score = {x: s for x, _, s in p.rows}
+    slack = LONGEST_WORD * max(map(abs, score.values()), default=0) * 2.0**-40
+    kept = []
+    for x, i, own in p.rows:
+        best = [0.0]
+        for j in range(1, len(x) + 1):
+            best.append(max((best[a] + score[x[a:j]] for a in range(j) if j - a < len(x) and x[a:j] in score), default=-np.inf))
+        if best[-1] <= own + slack:
+            kept.append((x, i, own))
+    return kept
+
+
 def lattice(words: DataFrame, p: Pieces, keys: tuple[str, ...], carry: str) -> DataFrame:
     """words(<keys>, word, <carry>), one row per key and word -> (<keys>, word, <carry>, marks string).
 
@@ -240,13 +255,14 @@ def lattice(words: DataFrame, p: Pieces, keys: tuple[str, ...], carry: str) -> D
     <keys>; nothing here is shuffled again. The piece table is broadcast: it is as large as the model file. Words must
     have at most LONGEST_WORD characters.
     """
-    longest = max(len(x) for x, _, _ in p.rows)
+    bpe = p.kind == BPE
+    rows = p.rows if bpe else _needed(p)
+    longest = max(len(x) for x, _, _ in rows)
     if longest >= 1 << _LENGTH:
         raise ValueError("pieces of at most 255 characters")
-    bpe = p.kind == BPE
     late = _out_of_order(p) if bpe else set()
     turn = {s: r for r, s in enumerate(sorted({s for _, _, s in p.rows}, reverse=True))}
-    table = words.sparkSession.createDataFrame([(x, turn[s] << (_LENGTH + _START) | len(x), x in late, s) for x, _, s in p.rows if len(x) > 1 or not bpe], "sub string, e long, late boolean, score double")
+    table = words.sparkSession.createDataFrame([(x, turn[s] << (_LENGTH + _START) | len(x), x in late, s) for x, _, s in rows if len(x) > 1 or not bpe], "sub string, e long, late boolean, score double")
     starts = words.select(*keys, "word", carry, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
     # BPE starts from single characters, which need no edges; one row of each word stays to carry it
     least = F.when(F.col("i") == 0, 1).otherwise(2) if bpe else F.lit(1)
@@ -286,7 +302,7 @@ def _viterbi() -> F.Column:
     position before the current end, b the start of its last edge. Ties: the earliest start."""
     back = """a -> aggregate(sequence(1, length(word)), named_struct('at', length(word), 'b', array_append(a.b, a.i), 'm', concat(repeat('0', length(word)), '1')),
         (x, _) -> if(x.at > 0, named_struct('at', x.b[x.at], 'b', x.b, 'm', overlay(x.m placing '1' from length(word) - x.at + 1)), x), x -> x.m)"""
-    return F.expr(f"""aggregate(array_sort(edges), named_struct('k', 0, 'v', 0D, 'i', -1, 's', cast(array() as array<double>), 'b', cast(array() as array<int>)),
+    return F.expr(f"""aggregate(sort_array(edges), named_struct('k', 0, 'v', 0D, 'i', -1, 's', cast(array() as array<double>), 'b', cast(array() as array<int>)),
         (a, e) -> if(e.k = a.k,
             if(a.s[e.i] + e.v > a.v, named_struct('k', a.k, 'v', a.s[e.i] + e.v, 'i', e.i, 's', a.s, 'b', a.b), a),
             named_struct('k', e.k, 'v', if(e.i = a.k, a.v, a.s[e.i]) + e.v, 'i', e.i, 's', array_append(a.s, a.v), 'b', array_append(a.b, a.i))),

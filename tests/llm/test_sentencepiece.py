@@ -4,7 +4,7 @@ import struct
 import pytest
 import sentencepiece
 from freshet.llm import sentencepiece as module
-from freshet.llm.sentencepiece import BPE, UNIGRAM, Pieces, _fields, changed, decode, encode
+from freshet.llm.sentencepiece import BPE, UNIGRAM, Pieces, _fields, _needed, changed, decode, encode
 from freshet.llm.sentencepiece_queries import MODEL
 
 TEXTS = [
@@ -97,3 +97,22 @@ def test_repeated_rows_are_encoded_once_and_given_back(spark):
     once = encode(df, p, keep_cols=("times",), verify=True, collapse=True)
     assert once.columns == ["doc_id", "times", "piece_ids", "decodes"]
     assert sorted(map(repr, once.collect())) == sorted(map(repr, plain))
+
+
+def test_pieces_that_others_beat_are_on_no_best_path():
+    with open(MODEL, "rb") as f:
+        pieces = Pieces.of(changed(f.read(), kind=UNIGRAM))
+    needed = _needed(pieces)
+    assert {x for x, _, _ in pieces.rows if len(x) == 1} <= {x for x, _, _ in needed} and 2 * len(needed) < len(pieces.rows)
+
+    def path(word, rows):
+        best = [(0.0, -1)]
+        for j in range(1, len(word) + 1):
+            best.append(max(((best[i][0] + rows[word[i:j]], -i) for i in range(max(0, j - 16), j) if word[i:j] in rows), default=(best[j - 1][0] - 1e10, 1 - j)))
+        return best
+
+    some, whole = {x: s for x, _, s in needed}, {x: s for x, _, s in pieces.rows}
+    draw = random.Random(7)
+    for _ in range(2000):
+        word = "".join(draw.choice(pieces.rows)[0] for _ in range(draw.randint(1, 5)))
+        assert path(word, some) == path(word, whole)
